@@ -43,23 +43,27 @@ def lexicon(docs: DataFrame, least: float = LEAST, most: float = MOST) -> DataFr
     return saved(terms.unionByName(docs.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(0).cast("long").alias("lanes"))))
 
 
-def fingerprints(texts: DataFrame, by: list[str], column: str, lexicon_: DataFrame) -> DataFrame:
-    """by, fingerprint: by must tell the rows apart; if texts are dealt by one of its columns, nothing is dealt again."""
+def lanes_of(texts: DataFrame, by: list[str], column: str, lexicon_: DataFrame) -> DataFrame:
+    """by, lanes: 16-bit hashes, null where a lane holds no term. by must tell the rows apart; if texts are dealt by one of its columns, nothing is dealt again."""
     rows = texts.select(*by, F.xxhash64(F.lower(column)).alias("_whole"), F.explode(terms_of(F.col(column))).alias("term"))
     kept = rows.join(small(lexicon_), "term").groupBy(*by, "_whole").agg(F.array_sort(F.collect_list(F.struct("term", "lanes"))).alias("_terms"))
-    kept = kept.withColumn("_terms", F.filter("_terms", lambda t: t["term"] != ""))
-    tail = lambda h: F.right(F.concat(F.lit("0" * DIGITS), F.hex(h)), F.lit(DIGITS))
-    lanes = F.transform(F.sequence(F.lit(0), F.lit(len(LANES) - 1)), lambda k: F.transform(F.filter("_terms", lambda t: F.getbit(t["lanes"], k) == 1), lambda t: t["term"]))
-    lanes = F.transform(lanes, lambda x, k: F.when(F.size("_terms") == 0, tail(F.xxhash64(k, "_whole"))).otherwise(F.when(F.size(x) == 0, F.lit(NONE)).otherwise(tail(F.xxhash64(k, x)))))
-    return kept.select(*by, F.array_join(lanes, "").alias("fingerprint"))
+    full = F.filter("_terms", lambda t: t["term"] != "")
+    once = F.array(F.struct(F.transform(full, lambda t: F.xxhash64(t["term"])).alias("t"), F.transform(full, lambda t: t["lanes"]).alias("m")))  # a lambda's argument is computed once
+    at, part = F.sequence(F.lit(0), F.lit(len(LANES) - 1)), lambda h: h.bitwiseAND((1 << 4 * DIGITS) - 1).cast("int")
+    # A hash passes over nulls, so what zip_with leaves is the sorted terms of the lane.
+    lane = lambda p, k: F.xxhash64(F.zip_with(p["t"], p["m"], lambda t, m: F.when(F.getbit(m, k) == 1, t)))
+    some = lambda h: F.when(h != F.xxhash64(F.array().cast("array<bigint>")), part(h))
+    lanes = F.transform(once, lambda p: F.when(F.size(p["t"]) == 0, F.transform(at, lambda k: part(F.xxhash64(k, "_whole")))).otherwise(F.transform(F.transform(at, lambda k: lane(p, k)), some)))
+    return kept.select(*by, lanes[0].alias("lanes"))
 
 
-def likeness(a: str, b: str) -> Column:
-    part = lambda c, k: F.substr(F.col(c), k * DIGITS + 1, F.lit(DIGITS))
-    at = F.sequence(F.lit(0), F.lit(len(LANES) - 1))
-    full = F.size(F.filter(at, lambda k: (part(a, k) != NONE) | (part(b, k) != NONE)))
-    same = F.size(F.filter(at, lambda k: (part(a, k) != NONE) & (part(a, k) == part(b, k))))
-    return F.coalesce(same / full, F.lit(0.0))
+def fingerprint(lanes: Column) -> Column:
+    return F.array_join(F.transform(lanes, lambda x: F.when(x.isNull(), F.lit(NONE)).otherwise(F.lpad(F.hex(x), DIGITS, "0"))), "")
+
+
+def likeness(a: Column, b: Column) -> Column:
+    same = F.zip_with(a, b, lambda x, y: F.when(x.isNotNull() | y.isNotNull(), F.coalesce(x == y, F.lit(False))))
+    return F.aggregate(same, F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("all")), lambda s, x: F.struct((s["n"] + x.isNotNull().cast("int") * F.coalesce(x, F.lit(False)).cast("int")).alias("n"), (s["all"] + x.isNotNull().cast("int")).alias("all")), lambda s: F.when(s["all"] > 0, s["n"] / s["all"]).otherwise(F.lit(0.0)))
 
 
 def stretches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -100,9 +104,10 @@ def op6_imatch(spark, sf_dir: str) -> DataFrame:
     place = ["stretch", "at", "next_stretch", "next_at"]
     both = rows.select(*place, "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.explode(F.array(F.struct(F.lit(False).alias("is_edited"), F.col("text").alias("t")), F.struct(F.lit(True).alias("is_edited"), F.col("edited").alias("t")))).alias("v"))
     both = both.select(*place, "doc_id", "n_chars", "edited_sha256", "v.is_edited", "v.t")
-    prints = fingerprints(both, [*place, "doc_id", "n_chars", "edited_sha256", "is_edited"], "t", words)
-    one = lambda edited: F.max(F.when(F.col("is_edited") == edited, F.col("fingerprint")))
-    prints = saved(prints.groupBy(*place, "doc_id", "n_chars", "edited_sha256").agg(one(False).alias("fingerprint"), one(True).alias("edited_fingerprint")))
-    after = prints.select(F.col("stretch").alias("next_stretch"), F.col("at").alias("next_at"), F.col("fingerprint").alias("next_fingerprint"))
+    prints = lanes_of(both, [*place, "doc_id", "n_chars", "edited_sha256", "is_edited"], "t", words)
+    one = lambda edited: F.first(F.when(F.col("is_edited") == edited, F.col("lanes")), True)
+    prints = saved(prints.groupBy(*place, "doc_id", "n_chars", "edited_sha256").agg(one(False).alias("own"), one(True).alias("edited")))
+    after = prints.select(F.col("stretch").alias("next_stretch"), F.col("at").alias("next_at"), F.col("own").alias("next"))
     out = prints.join(after, ["next_stretch", "next_at"])
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"))
+    near = lambda other: likeness(F.col("own"), F.col(other))
+    return out.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), near("edited").alias("near_edited"), near("next").alias("near_next"))
