@@ -1,7 +1,8 @@
 """Document fingerprints [native]: I-Match over several randomised lexicons.
 
 Method. The lexicon holds the terms whose document frequency lies in a band of shares of all documents, so it has at
-most (mean number of distinct terms in a document) / (lower share) terms however many documents there are. A document
+most (mean number of distinct terms in a document) / (lower share) terms however many documents there are, and the plan
+holds it as a set of literals. A document
 keeps its lexicon terms, distinct and sorted; lane 0 hashes all of them, each other lane those in a random subset of
 the lexicon. Subsets keep from a quarter down to a 256th of the terms, so that short and long documents have lanes with a
 few terms. The likeness of two fingerprints is the share of lanes with equal hashes among those that hold a term.
@@ -15,46 +16,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, saved, small
+from .common import documents, saved
 
 #: Shares of all documents between which a lexicon term's document frequency lies (at least 2 documents).
 LEAST, MOST = 1 / 50, 1 / 20
-#: For each lane, how often the lexicon is halved at random; at most 63 lanes.
-LANES = [0] + [h for h in range(2, 9) for _ in range(8)]
+#: Lane 0 has the whole lexicon; for each of these, PER_LEVEL lanes have subsets that halve it so often at random. At most 64 bits a level.
+LEVELS, PER_LEVEL = range(2, 9), 8
 DIGITS, NONE = 4, "...."
 #: Rows of a stretch of doc_ids, and the number of equal ranges of doc_id from which stretches are made.
 STRETCH, RANGES = 4096, 65536
 
 
 def terms_of(text: Column) -> Column:
-    """Distinct terms: runs of letters and digits, lower case; always with the empty string."""
-    return F.array_distinct(F.concat(F.array(F.lit("")), F.split(F.lower(text), r"[^\p{L}\p{N}]+")))
+    """Runs of letters and digits, lower case; the empty string may stand first or last."""
+    return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
 
 
-def lexicon(docs: DataFrame, least: float = LEAST, most: float = MOST) -> DataFrame:
-    """term, lanes (bit k: lane k keeps the term); the empty term has no lane."""
+def lexicon(docs: DataFrame, least: float = LEAST, most: float = MOST) -> list[str]:
+    """Terms of the band; at most (mean number of distinct terms of a document) / least of them."""
     n = docs.count()
-    counted = docs.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    counted = docs.select(F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     counted = counted.where(F.col("df").between(max(2.0, least * n), max(2.0, most * n)) & (F.col("term") != ""))
-    lanes = F.lit(0).cast("long")
-    for k, halvings in enumerate(LANES):
-        lanes = lanes.bitwiseOR(F.when(F.pmod(F.xxhash64(F.lit(k), "term"), F.lit(1 << halvings)) == 0, F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
-    terms = counted.select("term", lanes.alias("lanes"))
-    return saved(terms.unionByName(docs.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(0).cast("long").alias("lanes"))))
-
-
-def lanes_of(texts: DataFrame, by: list[str], column: str, lexicon_: DataFrame) -> DataFrame:
-    """by, lanes: 16-bit hashes, null where a lane holds no term. by must tell the rows apart; if texts are dealt by one of its columns, nothing is dealt again."""
-    rows = texts.select(*by, F.xxhash64(F.lower(column)).alias("_whole"), F.explode(terms_of(F.col(column))).alias("term"))
-    kept = rows.join(small(lexicon_), "term").groupBy(*by, "_whole").agg(F.array_sort(F.collect_list(F.struct("term", "lanes"))).alias("_terms"))
-    full = F.filter("_terms", lambda t: t["term"] != "")
-    once = F.array(F.struct(F.transform(full, lambda t: F.xxhash64(t["term"])).alias("t"), F.transform(full, lambda t: t["lanes"]).alias("m")))  # a lambda's argument is computed once
-    at, part = F.sequence(F.lit(0), F.lit(len(LANES) - 1)), lambda h: h.bitwiseAND((1 << 4 * DIGITS) - 1).cast("int")
-    # A hash passes over nulls, so what zip_with leaves is the sorted terms of the lane.
-    lane = lambda p, k: F.xxhash64(F.zip_with(p["t"], p["m"], lambda t, m: F.when(F.getbit(m, k) == 1, t)))
-    some = lambda h: F.when(h != F.xxhash64(F.array().cast("array<bigint>")), part(h))
-    lanes = F.transform(once, lambda p: F.when(F.size(p["t"]) == 0, F.transform(at, lambda k: part(F.xxhash64(k, "_whole")))).otherwise(F.transform(F.transform(at, lambda k: lane(p, k)), some)))
-    return kept.select(*by, lanes[0].alias("lanes"))
+    return sorted(r.term for r in counted.select("term").collect())
+
+
+def _hashes(terms: Column, seed: int) -> Column:
+    return F.transform(terms, lambda x: F.xxhash64(F.lit(seed), x))
+
+
+def _subset(hashes: Column, dice: Column, level: int, i: int) -> Column:
+    """hashes, null where the i-th draw of the dice, level bits of it, isn't 0."""
+    return F.zip_with(hashes, dice, lambda x, y: F.when(F.shiftrightunsigned(y, i * level).bitwiseAND((1 << level) - 1) == 0, x))
+
+
+def lanes_of(text: Column, words: list[str]) -> Column:
+    """16-bit hashes, null where a lane holds no term."""
+    part = lambda h: h.bitwiseAND((1 << 4 * DIGITS) - 1).cast("int")
+    own = F.array_sort(F.array_distinct(F.filter(terms_of(text), lambda t: t.isin(words) if words else F.lit(False))))
+    once = lambda value, f: F.transform(F.array(value), f)[0]  # noqa: E731  a lambda's argument is computed once
+
+    def lanes(t: Column) -> Column:
+        hashes = F.struct(F.transform(t, lambda x: F.xxhash64(x)).alias("all"), *(_hashes(t, level).alias(f"l{level}") for level in LEVELS))
+
+        def levels(h: Column) -> Column:
+            out = [F.array(F.xxhash64(h["all"]))]
+            for level in LEVELS:
+                # A hash passes over nulls, so what zip_with leaves is the sorted terms of the lane.
+                out.append(F.array(*(F.xxhash64(_subset(h["all"], h[f"l{level}"], level, i)) for i in range(PER_LEVEL))))
+            return F.transform(F.concat(*out), lambda x: F.when(x != F.xxhash64(F.array().cast("array<bigint>")), part(x)))
+
+        without = F.transform(F.sequence(F.lit(0), F.lit(len(LEVELS) * PER_LEVEL)), lambda k: part(F.xxhash64(k, F.lower(text))))
+        return F.when(F.size(t) == 0, without).otherwise(once(hashes, levels))
+
+    return once(own, lanes)
 
 
 def fingerprint(lanes: Column) -> Column:
@@ -101,12 +115,7 @@ def op6_imatch(spark, sf_dir: str) -> DataFrame:
     rows = followed(docs)
     third = F.floor(F.length("text") / 3).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - third), F.substring("next_text", F.lit(1), third)))
-    place = ["stretch", "at", "next_stretch", "next_at"]
-    both = rows.select(*place, "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.explode(F.array(F.struct(F.lit(False).alias("is_edited"), F.col("text").alias("t")), F.struct(F.lit(True).alias("is_edited"), F.col("edited").alias("t")))).alias("v"))
-    both = both.select(*place, "doc_id", "n_chars", "edited_sha256", "v.is_edited", "v.t")
-    prints = lanes_of(both, [*place, "doc_id", "n_chars", "edited_sha256", "is_edited"], "t", words)
-    one = lambda edited: F.first(F.when(F.col("is_edited") == edited, F.col("lanes")), True)
-    prints = saved(prints.groupBy(*place, "doc_id", "n_chars", "edited_sha256").agg(one(False).alias("own"), one(True).alias("edited")))
+    prints = saved(rows.select("stretch", "at", "next_stretch", "next_at", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), lanes_of(F.col("text"), words).alias("own"), lanes_of(F.col("edited"), words).alias("edited")))
     after = prints.select(F.col("stretch").alias("next_stretch"), F.col("at").alias("next_at"), F.col("own").alias("next"))
     out = prints.join(after, ["next_stretch", "next_at"])
     near = lambda other: likeness(F.col("own"), F.col(other))
