@@ -2,11 +2,11 @@
 
 Method. Sets of equal content collapse into one representative. A set of n shingles is dealt by hash into the
 P parts of its size band, with P above the largest symmetric difference that a similar pair of the band can have;
-so a similar pair has a part in which both hold the same shingles (pigeonhole), and the tile of a band's part and
-content gathers all such pairs, however frequent single shingles are. Within a tile, bit counts of hashed bitmaps
-bound the overlap from above, and pairs that the bound admits are verified by intersecting the sorted sets.
-Before that, pairs with the smallest member of a min-hash group are verified; tiles then look only at pairs of
-documents that are not connected yet, which keeps groups of thousands of near copies linear.
+so a similar pair has a part in which both hold the same shingles (pigeonhole), however frequent single shingles are.
+Among the sets that share a part, bit counts of hashed bitmaps bound the overlap from above; a spanning forest of the
+admitted pairs goes on, never the pairs. Its components are families, which hold all similar pairs. A family's sets,
+ordered by size, are cut into blocks of a bounded number of shingles; each two blocks whose sizes are compatible make a
+tile. In a tile wider bitmaps admit pairs that are not connected yet, and the sorted sets are intersected exactly.
 
 Defined cases: no text or no words: an empty set, linked with nothing. Fewer words than a shingle has: the whole
 sequence is the one shingle. Rows that share a doc_id are one document. A null doc_id: component_id null.
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import documents, map_text, saved, small
 
-#: Ratio of neighbouring size bands, rows of a tile side, min-hashes, partners that a task verifies against one set.
-BAND, TILE, STARS, PARTNERS = 0.62, 2048, 4, 512
+#: Ratio of neighbouring size bands, rows of a group that a task compares with each other, shingles of a tile's side.
+BAND, GROUP, SIDE = 0.62, 16384, 2_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -77,9 +77,9 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    """A hashed bitmap of as many bits as the next power of two has from the set's size on, at least 64."""
-    bits = max(64, 1 << int(max(1, len(s) - 1)).bit_length())
+def bitmap(s: np.ndarray, bits: int = 0) -> bytes:
+    """A hashed bitmap of bits, or of as many as the next power of two has from the set's size on, at least 64."""
+    bits = bits or max(64, 1 << int(max(1, len(s) - 1)).bit_length())
     x = np.zeros(bits, np.uint8)
     x[(_mix(s ^ np.uint64(0xD6E8FEB86659FD93)) & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(x, bitorder="little").tobytes()
@@ -89,16 +89,73 @@ def _folded(rows: list[bytes], words: int) -> np.ndarray:
     return np.stack([np.bitwise_or.reduce(np.frombuffer(r, np.uint64).reshape(-1, words), axis=0) for r in rows])
 
 
-def _admitted(na: np.ndarray, a: list[bytes], nb: np.ndarray, b: list[bytes], num: int, den: int) -> np.ndarray:
-    """Row by row: can the sets have the similarity, by their sizes and the bits in which the bitmaps differ?"""
-    out = np.zeros(len(na), bool)
-    words = np.array([min(len(x), len(y)) // 8 for x, y in zip(a, b, strict=True)])
-    for w in np.unique(words):
-        at = np.flatnonzero(words == w)
-        differ = np.bitwise_count(_folded([a[i] for i in at], w) ^ _folded([b[i] for i in at], w)).sum(axis=1)
-        total = na[at] + nb[at]
-        out[at] = ((total - differ) // 2 * (den + num) >= num * total) & (np.minimum(na, nb)[at] * den >= np.maximum(na, nb)[at] * num)
-    return out
+def _bound(n: int, m: np.ndarray, differ: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Can sets of n and m shingles have the similarity if their bitmaps differ in so many bits?"""
+    return ((n + m - differ) // 2 * (den + num) >= num * (n + m)) & (np.minimum(n, m) * den >= np.maximum(n, m) * num)
+
+
+class Forest:
+    """Union-find over rows of a task."""
+
+    def __init__(self, n: int):
+        self.of = np.arange(n)
+        self.members = [[i] for i in range(n)]
+        self.edges: list[tuple[int, int]] = []
+
+    def join(self, a: int, b: int) -> None:
+        x, y = self.of[a], self.of[b]
+        if x != y:
+            self.edges.append((a, b))
+            if len(self.members[x]) < len(self.members[y]):
+                x, y = y, x
+            self.of[self.members[y]] = x
+            self.members[x] += self.members[y]
+            self.members[y] = []
+
+
+def group_forest(n: np.ndarray, bits: list[bytes], num: int, den: int, own: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges that connect the rows (ordered by n) of each component of the admitted pairs. own: only rows of different blocks pair."""
+    forest, folded, words = Forest(len(n)), {}, np.array([len(x) // 8 for x in bits])
+
+    def at(w: int) -> np.ndarray:
+        if w not in folded:
+            folded[w] = _folded(bits[int(np.searchsorted(words, w)) :], w)
+        return folded[w]
+
+    for x in range(len(n) - 1):
+        end = int(np.searchsorted(n, int(n[x]) * den // num, side="right"))
+        y = x + 1 + np.flatnonzero(forest.of[x + 1 : end] != forest.of[x])
+        if own is not None:
+            y = y[own[y] != own[x]]
+        while len(y):
+            part, y = y[:512], y[512:]
+            first = int(np.searchsorted(words, words[x]))
+            differ = np.bitwise_count(at(words[x])[part - first] ^ at(words[x])[x - first]).sum(axis=1)
+            ok = part[_bound(int(n[x]), n[part], differ, num, den)]
+            for z in ok:
+                forest.join(x, int(z))
+            if len(ok) and len(y):
+                y = y[forest.of[y] != forest.of[x]]
+    return forest.edges
+
+
+def tile_links(sets: list[np.ndarray], num: int, den: int, own: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges that connect the rows (ordered by size) of each component of the similar pairs; exact."""
+    forest, n = Forest(len(sets)), np.array([len(s) for s in sets])
+    wide = max(64, 1 << int(8 * n[-1] - 1).bit_length())
+    bits = np.stack([np.frombuffer(bitmap(s, wide), np.uint64) for s in sets])
+    for x in range(len(n) - 1):
+        end = int(np.searchsorted(n, int(n[x]) * den // num, side="right"))
+        y = x + 1 + np.flatnonzero(forest.of[x + 1 : end] != forest.of[x])
+        if own is not None:
+            y = y[own[y] != own[x]]
+        for part in np.array_split(y, max(1, len(y) * bits.shape[1] // (1 << 20))):
+            differ = np.bitwise_count(bits[part] ^ bits[x]).sum(axis=1)
+            ok = _bound(int(n[x]), n[part], differ, num, den)
+            for z in part[ok][np.argsort(differ[ok], kind="stable")]:  # the likeliest first
+                if forest.of[z] != forest.of[x] and similar(sets[x], sets[z], num, den):
+                    forest.join(x, int(z))
+    return forest.edges
 
 
 def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -114,19 +171,14 @@ def _longs(x: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, digest of the set, min-hashes and bitmap of every row."""
+    """doc_id, n, digest of the set and bitmap of every row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, digest, stars, maps = [], [], [], []
-        for t in batch.column("text").to_pylist():
-            s = shingles(t, k)
-            n.append(len(s))
-            digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-            stars.append([int(_longs(_mix(s + np.uint64(i)).min(keepdims=True))[0]) for i in range(1, STARS + 1)] if len(s) else [])
-            maps.append(bitmap(s) if len(s) else b"")
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(stars, pa.list_(pa.int64())), pa.array(maps, pa.binary())], names=["doc_id", "n", "digest", "stars", "bits"])
+        sets = [shingles(t, k) for t in batch.column("text").to_pylist()]
+        digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array([bitmap(s) if len(s) else b"" for s in sets], pa.binary())], names=["doc_id", "n", "digest", "bits"])
 
-    return map_text(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n long, digest binary, stars array<long>, bits binary")
+    return map_text(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n long, digest binary, bits binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -142,97 +194,79 @@ def components(edges: DataFrame) -> DataFrame:
         large = saved(large)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         edges = saved(large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
-    return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+    out = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+    return out.unionByName(out.select(F.col("component").alias("node"), "component").distinct())
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar. A set meets at most PARTNERS or so others in a task."""
-    pairs = saved(pairs)
-    ids = saved(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(small(ids), "id")
-    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("long").alias("parts"))
-    dealt = saved(pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part")))
-    rows = dealt.select("a", "part", F.col("b").alias("id")).unionByName(dealt.select("a", "part", F.col("a").alias("id")).distinct())
-    rows = rows.join(texts, "id").select("a", "part", "id", "text").repartition("a", "part").sortWithinPartitions("a", "part", F.col("id") != F.col("a"), "id")
+def _grouped(rows: DataFrame, by: list[str], columns: list[str], find) -> DataFrame:
+    """Edges (a, b) that find(list of rows) yields for each group of rows, which stand together in a partition."""
 
     def run(batches):
-        at, own = None, []
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        out = lambda edges: pa.RecordBatch.from_arrays([pa.array([min(e) for e in edges], pa.int64()), pa.array([max(e) for e in edges], pa.int64())], schema=schema)
+        group: list[tuple] = []
         for batch in batches:
-            a, b = [], []
-            for key, part, i, text in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "id", "text")), strict=True):
-                if at != (key, part):
-                    at, own = (key, part), []
-                s = shingles(text, k)
-                if i == key:
-                    own.append(s)
-                elif any(similar(s, x, num, den) for x in own):
-                    a.append(key)
-                    b.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return saved(rows.mapInArrow(run, "a long, b long").distinct())
-
-
-def _starred(reps: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of a representative b and the smallest a with one of its min-hashes, where the bitmaps admit them."""
-    rows = reps.where("n > 0").select("doc_id", "n", "bits", F.posexplode("stars").alias("i", "h"))
-    first = Window.partitionBy("i", "h").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.select("doc_id", "n", "bits", F.first(F.struct(F.col("doc_id").alias("a"), F.col("n").alias("m"), F.col("bits").alias("own"))).over(first).alias("f")).where("f.a <> doc_id").select("f.a", "f.m", "f.own", F.col("doc_id").alias("b"), "n", "bits")
-
-    def run(batches):
-        for x in batches:
-            x = x.filter(pa.array(_admitted(*(y for c in (("m", "own"), ("n", "bits")) for y in (x.column(c[0]).to_numpy(), x.column(c[1]).to_pylist())), num, den)))
-            yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b")], names=["a", "b"])
+            edges: set[tuple[int, int]] = set()
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group and group[0][: len(by)] != row[: len(by)]:
+                    edges.update(find(group))
+                    group = []
+                group.append(row)
+            yield out(edges)
+        if group:
+            yield out(set(find(group)))
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.select(*by, *columns).mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
-def _tiled(docs: DataFrame, reps: DataFrame, cluster: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of representatives in different clusters that share a tile and whose bitmaps admit them."""
-    nodes = saved(reps.where("n > 0").select("doc_id").distinct().join(cluster, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("cluster")))
+def _families(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(node, component): representatives that may be similar are in one component."""
+    nodes = saved(reps.select("doc_id").distinct())
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).join(small(nodes), "doc_id")
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [signatures(shingles(t, k), num, den) for t in batch.column("text").to_pylist()]
         at = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        return pa.RecordBatch.from_arrays([pa.array(_longs(np.concatenate(sets))), batch.column("doc_id").take(pa.array(at)), batch.column("cluster").take(pa.array(at))], names=["sig", "doc_id", "cluster"])
-
-    rows = map_text(texts.select("doc_id", "cluster", "text"), sign, "sig long, doc_id long, cluster long")
-    w = Window.partitionBy("sig")
-    rows = rows.withColumns({"low": F.min("cluster").over(w), "high": F.max("cluster").over(w), "count": F.count(F.lit(1)).over(w)}).where("low <> high")
-    blocks = F.ceil(F.col("count") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("own", own).select("sig", "doc_id", "cluster", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "cluster")
+        return pa.RecordBatch.from_arrays([pa.array(_longs(np.concatenate(sets))), batch.column("doc_id").take(pa.array(at))], names=["sig", "doc_id"])
+
+    rows = map_text(texts.select("doc_id", "text"), sign, "sig long, doc_id long")
+    rows = rows.withColumn("count", F.count(F.lit(1)).over(Window.partitionBy("sig"))).where("count > 1")
+    blocks = F.ceil(F.col("count") / GROUP).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
+    rows = rows.select("sig", "doc_id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id")
     rows = rows.join(reps.select("doc_id", "n", "bits"), "doc_id").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "n", "doc_id")
 
-    def pairs_of(tile: list[tuple]) -> set[tuple[int, int]]:
-        found: set[tuple[int, int]] = set()
-        i, j = tile[0][1:3]
-        own, ids, clusters, n = (np.array([t[c] for t in tile], np.int64) for c in (3, 4, 5, 6))
-        bits = [t[7] for t in tile]
-        for x in range(len(tile)):  # by size, so that partners of a row stand close above it
-            end = int(np.searchsorted(n, n[x] * den // num, side="right"))
-            at = x + 1 + np.flatnonzero((clusters[x + 1 : end] != clusters[x]) & ((own[x + 1 : end] != own[x]) if i != j else True))
-            if len(at):
-                ok = _admitted(np.full(len(at), n[x]), [bits[x]] * len(at), n[at], [bits[y] for y in at], num, den)
-                found |= {(min(ids[x], y), max(ids[x], y)) for y in ids[at[ok]] if y != ids[x]}
-        return found
+    def find(group: list[tuple]):
+        own = np.array([g[3] for g in group])
+        for x, y in group_forest(np.array([g[5] for g in group], np.int64), [g[6] for g in group], num, den, own if group[0][1] != group[0][2] else None):
+            yield group[x][4], group[y][4]
 
-    def run(batches):
-        tile: list[tuple] = []
-        for batch in batches:
-            found: set[tuple[int, int]] = set()
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if tile and tile[0][:3] != row[:3]:
-                    found |= pairs_of(tile)
-                    tile = []
-                tile.append(row)
-            yield pa.RecordBatch.from_pylist([{"a": int(a), "b": int(b)} for a, b in found], schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-        if tile:
-            yield pa.RecordBatch.from_pylist([{"a": int(a), "b": int(b)} for a, b in pairs_of(tile)], schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+    return components(_grouped(rows, ["sig", "i", "j"], ["own", "doc_id", "n", "bits"], find))
+
+
+def _links(docs: DataFrame, reps: DataFrame, families: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Edges (a, b) of similar sets that connect what is connected by similar sets."""
+    families = saved(families.select(F.col("component").alias("family"), F.col("node").alias("doc_id")))
+    rows = families.join(reps.groupBy("doc_id").agg(F.max("n").alias("n"), F.min("n").alias("least")), "doc_id")
+    rows = rows.withColumn("block", F.floor(F.sum("n").over(Window.partitionBy("family").orderBy("n", "doc_id")) / SIDE).cast("int"))
+    rows = saved(rows)
+    blocks = rows.groupBy("family", "block").agg(F.min("least").alias("low"), F.max("n").alias("high"))
+    left, right = (blocks.select("family", *(F.col(c).alias(f"{c}_{s}") for c in ("block", "low", "high"))) for s in "ij")
+    tiles = left.join(right, "family").where(f"block_i <= block_j and low_j * {num} <= high_i * {den}").select("family", F.col("block_i").alias("i"), F.col("block_j").alias("j"))
+    members = rows.select("family", "block", "doc_id")
+    placed = saved(members.join(tiles.select("family", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"), "i", "j"), ["family", "block"]))
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).join(small(families.select("doc_id").distinct()), "doc_id")
+    dealt = placed.join(texts, "doc_id").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "doc_id")
+
+    def find(group: list[tuple]):
+        sets = [(len(s := shingles(g[5], k)), g[3], g[4], s) for g in group]
+        sets = sorted((x for x in sets if x[0]), key=lambda x: x[:3])
+        if len(sets) > 1:
+            own = np.array([x[1] for x in sets])
+            for x, y in tile_links([s[3] for s in sets], num, den, own if group[0][1] != group[0][2] else None):
+                yield sets[x][2], sets[y][2]
 
-    return rows.select("sig", "i", "j", "own", "doc_id", "cluster", "n", "bits").mapInArrow(run, "a long, b long").distinct()
+    return _grouped(dealt, ["family", "i", "j"], ["block", "doc_id", "text"], find)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: str = "0.8") -> DataFrame:
@@ -240,18 +274,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: str = "0.8") -> Dat
     num, den = Fraction(similarity).as_integer_ratio()
     rows = saved(features(docs, k))
     classes = rows.where("doc_id is not null and n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("class_id"))
-    named = saved(rows.drop("stars", "bits").join(classes, ["digest", "n"], "left").withColumn("class_id", F.coalesce("class_id", "doc_id")))
+    named = saved(rows.drop("bits").join(classes, ["digest", "n"], "left").withColumn("class_id", F.coalesce("class_id", "doc_id")))
     reps = saved(rows.join(named.where("doc_id = class_id and n > 0").select("doc_id", "digest").distinct(), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]))
-    links = verified(_starred(reps, num, den), docs, k, num, den)
+    links = _links(docs, reps, _families(docs, reps, k, num, den), k, num, den)
     several = named.where("n > 0").groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).where("a <> b").select("a", "b")
-    first = saved(components(links.unionByName(several)))
-    more = verified(_tiled(docs, reps, first, k, num, den), docs, k, num, den)
-    of = lambda c, to: first.select(F.col("node").alias(c), F.col("component").alias(to))
-    more = more.join(of("a", "x"), "a", "left").join(of("b", "y"), "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
-    second = components(more)
-    named = named.join(of("class_id", "x"), "class_id", "left").withColumn("x", F.coalesce("x", "class_id"))
-    named = named.join(second.select(F.col("node").alias("x"), "component"), "x", "left")
-    return named.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "x").alias("component_id"))
+    found = components(links.unionByName(several))
+    named = named.join(found.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
+    return named.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
 
 
 def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:
