@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import documents, map_text, saved, small
 
 ORDER, BITS = 4, 16
-#: Grams that a task holds at a time.
-SHARD_ROWS = 2_000_000
+#: Grams that a task holds at a time, bytes of text that it works on at a time.
+SHARD_ROWS, BATCH = 2_000_000, 3 << 20
 #: Quantile of the trusted texts' perplexities, what a text may lie above it, the share of trusted texts kept from training.
 QUANTILE, MARGIN, HELD = 0.99, 1.1, 5
 #: Bands of length: the number of bits of the number of characters, from and to.
@@ -47,23 +47,24 @@ def grams_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return g[place].view(np.int64), n
 
 
+def by_language(batch: pa.RecordBatch) -> dict[str, pa.RecordBatch]:
+    lang = np.array(batch.column("lang").to_pylist(), object).astype(str)
+    return {name: batch.take(pa.array(np.flatnonzero(lang == name))) for name in np.unique(lang).tolist()}
+
+
 def gram_counts(docs: DataFrame) -> DataFrame:
     """lang, gram, n: how often it occurs in texts with trained (0: in other texts only)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, lang, trained = (batch.column(c) for c in ("text", "lang", "trained"))
-        g, n = grams_of(texts.to_pylist())
-        names, code = np.unique(np.array(lang.to_pylist(), object).astype(str), return_inverse=True)
-        codes = np.repeat(code, n)
-        on = np.repeat(np.asarray(trained), n)
         out = []
-        for i, name in enumerate(names):
-            which, kinds = pd.factorize(g[codes == i])
-            out.append((np.full(len(kinds), i), kinds, np.bincount(which, on[codes == i], len(kinds)).astype(np.int64)))
-        i, kinds, count = (np.concatenate([o[k] for o in out]) for k in range(3))
-        return pa.RecordBatch.from_arrays([pa.array(names.tolist(), pa.string()).take(pa.array(i)), pa.array(kinds, pa.int64()), pa.array(count)], names=["lang", "gram", "n"])
+        for name, rows in by_language(batch).items():
+            g, n = grams_of(rows.column("text").to_pylist())
+            which, kinds = pd.factorize(g)
+            count = np.bincount(which, np.repeat(np.asarray(rows.column("trained")), n), len(kinds)).astype(np.int64)
+            out.append(pa.RecordBatch.from_arrays([pa.array([name], pa.string()).take(pa.array(np.zeros(len(kinds), np.int32))), pa.array(kinds, pa.int64()), pa.array(count)], names=["lang", "gram", "n"]))
+        return pa.Table.from_batches(out).combine_chunks().to_batches(1 << 30)[0] if any(x.num_rows for x in out) else out[0]
 
-    return map_text(docs.select("lang", "trained", "text"), run, "lang string, gram long, n long", limit=16 << 20).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return map_text(docs.select("lang", "trained", "text"), run, "lang string, gram long, n long", limit=BATCH).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def _mask(k: int) -> Column:
@@ -108,21 +109,20 @@ def _sums(docs: DataFrame, shard: DataFrame) -> DataFrame:
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != "text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        g, n = grams_of(batch.column("text").to_pylist())
-        lang = np.array(batch.column("lang").to_pylist(), object).astype(str)
-        codes, nll = np.repeat(lang, n), np.zeros(len(g))
-        for name in np.unique(lang):
-            if name in shared.value:
+        out = []
+        for name, rows in by_language(batch).items():
+            g, n = grams_of(rows.column("text").to_pylist())
+            nll = np.zeros(len(g), np.float32)
+            if name in shared.value and len(g):
                 grams, values = shared.value[name]
-                at = np.flatnonzero(codes == name)
-                which, kinds_ = pd.factorize(g[at])
+                which, kinds_ = pd.factorize(g)
                 place = np.minimum(np.searchsorted(grams, kinds_), len(grams) - 1)
-                nll[at] = np.where(grams[place] == kinds_, values[place], 0.0)[which]
-        total = np.concatenate([[0.0], np.cumsum(nll)])
-        ends = np.cumsum(n)
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(n), pa.array(total[ends] - total[ends - n])], names=[*names, "length", "nll"])
+                nll = np.where(grams[place] == kinds_, values[place], np.float32(0))[which]
+            total, ends = np.concatenate([[0.0], np.cumsum(nll, dtype=np.float64)]), np.cumsum(n)
+            out.append(pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), pa.array(n), pa.array(total[ends] - total[ends - n])], names=[*names, "length", "nll"]))
+        return pa.Table.from_batches(out).combine_chunks().to_batches(1 << 30)[0]
 
-    return map_text(docs, run, f"{kinds}, length long, nll double", limit=8 << 20)
+    return map_text(docs, run, f"{kinds}, length long, nll double", limit=BATCH)
 
 
 def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
