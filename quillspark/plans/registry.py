@@ -1,5 +1,361 @@
 """Queries by name with their SQL."""
 
-FLAGSHIP = "h7_hybrid_rrf"
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import answers, guardrails, text
+from ..operators import analytics, chunking, retrieval
+from ..sources import files, pages
+
+FLAGSHIP = "h8_hybrid_rrf"
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+_STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
+_KEYSTOP = ", ".join(f"'{w}'" for w in answers.STOPWORDS)
+
+
+def _tokens(x: str) -> str:
+    return f"list_filter(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}_]+'), lambda t: length(t) > 2 AND t NOT IN ({_STOP}))"
+
+
+def _keywords(x: str) -> str:
+    return f"list_distinct(list_filter(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 3 AND w NOT IN ({_KEYSTOP})))"
+
+
+# --- A, B, C: sources, sinks, filters
+
+
+@query("SELECT doc_id, sha256(text) AS content_sha256, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) = 1 AS is_first FROM documents")
+def a4_hash_manifest(spark, sf):
+    """Each content once by hash, as an incremental scan sees it."""
+    rows = _t(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("content_sha256"))
+    first = rows.groupBy("content_sha256").agg(F.min("doc_id").alias("first"))
+    return rows.join(first, "content_sha256").select("doc_id", "content_sha256", (F.col("doc_id") == F.col("first")).alias("is_first"))
+
+
+@query()
+def a10_page_sections(spark, sf):
+    return pages.pages_to_sections(_t(spark, sf, "pages"))
+
+
+@query("""
+SELECT d.doc_id AS id, d.text AS document, d.source FROM documents d WHERE d.doc_id NOT IN (SELECT item_id FROM benchmark)
+UNION ALL SELECT d.doc_id, b.text, d.source FROM documents d JOIN benchmark b ON d.doc_id = b.item_id
+""")
+def b7_vector_update(spark, sf):
+    docs = _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("document"), "source")
+    return files.update(docs, _t(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("document")))
+
+
+@query("SELECT doc_id AS id, source FROM documents WHERE doc_id NOT IN (SELECT item_id FROM benchmark) AND NOT (lang = 'fr')")
+def b7_vector_delete(spark, sf):
+    docs = _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source", "lang")
+    return files.delete(docs, _t(spark, sf, "benchmark").select(F.col("item_id").alias("id")), F.col("lang") == "fr").select("id", "source")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE source = 'src1' AND lang = 'en' AND contains(text, 'License')")
+def c1_metadata_filter(spark, sf):
+    docs = _t(spark, sf, "documents").withColumn("metadata", F.create_map(F.lit("source"), "source", F.lit("lang"), "lang"))
+    return retrieval.matching(docs, {"source": "src1", "lang": "en"}, contains="License", document="text").select("doc_id", "lang")
+
+
+# --- D: cleaning
+
+
+@query(r"""
+WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(nfc_normalize(text), '([\p{L}\p{N}_])-\s*\n\s*([\p{Ll}])', '\1\2', 'g'), '([\p{L}\p{N}_]-)\s*\n\s*([\p{L}\p{N}_])', '\1\2', 'g') AS x FROM documents),
+b AS (SELECT doc_id, regexp_replace(regexp_replace(x, ' +', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS x FROM a)
+SELECT doc_id, md5(regexp_replace(array_to_string(list_transform(string_split(x, chr(10)), lambda l: regexp_replace(l, '^\s+|\s+$', '', 'g')), chr(10)), '^\s+|\s+$', '', 'g')) AS clean_md5 FROM b
+""")
+def d1_clean(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", F.md5(text.clean(F.col("text")).cast("binary")).alias("clean_md5"))
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
+s AS (SELECT *, regexp_replace(line, '^\s+|\s+$', '', 'g') AS t FROM l),
+c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, t) AS n FROM s)
+SELECT doc_id, md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE t = '' OR length(t) >= 100 OR n < 3), '')) AS text_md5 FROM c GROUP BY doc_id
+""")
+def d6_repeated_lines(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", F.md5(text.remove_repeated_lines(F.col("text")).cast("binary")).alias("text_md5"))
+
+
+@query(r"""
+SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(regexp_replace(text, '\b(Art|Dr|Sr|Sra|Inc)\.\s', '\1<> ', 'g'), '[.!?]\s+'), lambda s: regexp_replace(s, '\s+', '', 'g') <> '')) AS BIGINT) AS n_sentences FROM documents
+""")
+def d8_sentences(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", F.size(text.sentences(F.col("text"))).cast("long").alias("n_sentences"))
+
+
+@query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '\S+')) AS BIGINT) AS words, CAST(length(text) // 4 AS BIGINT) AS tokens FROM documents")
+def d12_word_and_token_counts(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", text.word_count(F.col("text")).alias("words"), text.estimated_tokens(F.col("text")).alias("tokens"))
+
+
+# --- F: chunks
+
+
+@query()
+def f5_chunks(spark, sf):
+    rows = chunking.chunked(_t(spark, sf, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "chunk_index", chunking.chunk_id(F.col("doc_id").cast("string"), F.col("chunk_index")).alias("chunk_id"), F.length("content").cast("long").alias("size"), F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+@query()
+def f1_markdown_chunks(spark, sf):
+    rows = chunking.chunked(_t(spark, sf, "documents").select("doc_id", "text"), method="markdown")
+    return rows.select("doc_id", "chunk_index", "chunk_method", "section", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+# --- G, H: vectors and retrieval
+
+
+@query("""
+WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v FROM embeddings), n AS (SELECT vec_id, sqrt(sum(v * v)) AS norm, len(list(v)) AS dim FROM x GROUP BY vec_id)
+SELECT (SELECT count(*) FROM embeddings) AS n, (SELECT max(dim) FROM n)::BIGINT AS dim, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS low, round(max(v), 6) AS high, (SELECT round(avg(norm), 6) FROM n) AS mean_norm FROM x
+""")
+def g3_embedding_stats(spark, sf):
+    e = _t(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    norms = e.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("e")).cast("long").alias("dim"), F.round(F.avg(F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, v: s + v * v))), 6).alias("mean_norm"))
+    v = e.select(F.explode("e").alias("v"))
+    stats = v.agg(*(F.round(f("v"), 6).alias(n) for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("low", F.min), ("high", F.max))))
+    return norms.join(F.broadcast(stats), how="cross").select("n", "dim", "mean", "std", "low", "high", "mean_norm")
+
+
+@query("""
+WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % 20 = 0),
+s AS (SELECT q.query_id, e.vec_id AS id, round(list_dot_product(q.a, e.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.a, q.a)) * sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]))), 9) AS score FROM q, embeddings e),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
+SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5
+""")
+def h6_dense_top_k(spark, sf):
+    e = _t(spark, sf, "embeddings")
+    found = retrieval.dense_top(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")))
+    return found.withColumn("score", F.round("score", 6))
+
+
+_BM25 = f"""
+d AS (SELECT doc_id AS id, {_tokens("text")} AS t FROM documents),
+c AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d),
+x AS (SELECT id, len(t) AS dl, unnest(t) AS term FROM d),
+p AS (SELECT id, dl, term, count(*) AS tf FROM x GROUP BY id, dl, term),
+f AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM p, c GROUP BY term, n),
+m AS (SELECT avg(raw) AS mean FROM f),
+w AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM f, m),
+qx AS (SELECT item_id AS query_id, unnest({_tokens("text")}) AS term FROM benchmark),
+q AS (SELECT query_id, term, count(*) AS times FROM qx GROUP BY query_id, term),
+s AS (SELECT query_id, id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM q JOIN w USING (term) JOIN p USING (term), c GROUP BY query_id, id),
+b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE score > 0)"""
+
+
+def _questions(spark, sf) -> DataFrame:
+    return _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def _index(spark, sf) -> retrieval.BM25Index:
+    return retrieval.BM25Index.build(_t(spark, sf, "documents"), "doc_id", "text")
+
+
+@query(f"WITH {_BM25} SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM b WHERE rank <= 5")
+def h4_bm25_top_k(spark, sf):
+    return _index(spark, sf).search(_questions(spark, sf)).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_BM25}, df AS (SELECT term, count(*) AS df FROM p GROUP BY term) SELECT term, df, round(idf, 9) AS idf FROM df JOIN w USING (term)")
+def h2_bm25_terms(spark, sf):
+    return _index(spark, sf).terms.select("term", "df", F.round("idf", 9).alias("idf"))
+
+
+#: Stand-in for a dense ranking that SQL can follow: documents by how many kinds of the question's tokens they hold.
+_OVERLAP = """
+o AS (SELECT query_id, id, CAST(count(*) AS DOUBLE) / 100 AS score FROM q JOIN p USING (term) GROUP BY query_id, id),
+e AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM o)"""
+
+
+def _overlap(spark, sf, index, k) -> DataFrame:
+    q = _questions(spark, sf).select("query_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("term"))
+    return retrieval.top(q.join(index.postings, "term").groupBy("query_id", "id").agg((F.count(F.lit(1)) / 100).alias("score")), k)
+
+
+@query(f"""
+WITH {_BM25}, {_OVERLAP},
+u AS (SELECT query_id, id, round(coalesce(0.7 / (60 + a.rank), 0) + coalesce((1 - 0.7) / (60 + z.rank), 0), 12) AS score FROM (SELECT * FROM e WHERE rank <= 20) a FULL JOIN (SELECT * FROM b WHERE rank <= 20) z USING (query_id, id)),
+v AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM u)
+SELECT query_id, id, round(score, 9) AS score, CAST(rank AS INTEGER) AS rank FROM v WHERE rank <= 5
+""")
+def h8_hybrid_rrf(spark, sf):
+    index, k = _index(spark, sf), retrieval.fetch_k(5)
+    return retrieval.hybrid(_overlap(spark, sf, index, k), index.search(_questions(spark, sf), k)).withColumn("score", F.round("score", 9))
+
+
+@query(f"""
+WITH {_BM25}, {_OVERLAP},
+n AS (SELECT query_id, id, rank, score / max(score) OVER (PARTITION BY query_id) AS score FROM b WHERE rank <= 20),
+u AS (SELECT query_id, id, round(0.7 * coalesce(a.score, 0) + (1 - 0.7) * coalesce(z.score, 0), 9) AS score FROM (SELECT * FROM e WHERE rank <= 20) a FULL JOIN n z USING (query_id, id)),
+v AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM u)
+SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM v WHERE rank <= 5
+""")
+def h9_hybrid_weighted(spark, sf):
+    index, k = _index(spark, sf), retrieval.fetch_k(5)
+    return retrieval.hybrid(_overlap(spark, sf, index, k), index.search(_questions(spark, sf), k), method="weighted").withColumn("score", F.round("score", 6))
+
+
+# --- I, J: guardrails, questions, answers
+
+
+@query("SELECT " + ", ".join(f"sum(len(regexp_extract_all(text, '{p}')))::BIGINT AS {k}" for k, (p, _) in guardrails.PII.items()) + " FROM documents")
+def i4_pii_summary(spark, sf):
+    return _t(spark, sf, "documents").agg(*(F.sum(c).alias(k) for k, c in guardrails.pii_counts(F.col("text")).items()))
+
+
+@query()
+def i3_redacted(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", F.md5(guardrails.redactor("type")(F.col("text")).cast("binary")).alias("redacted_md5"))
+
+
+_BAD = " OR ".join(f"regexp_matches(text, '(?i){p}')" for p in guardrails.INJECTION if "'" not in p)
+
+
+@query(f"""
+SELECT conv_id, turn, (CASE WHEN length(text) < 3 THEN 1 ELSE 0 END + CASE WHEN length(text) > 2000 THEN 1 ELSE 0 END + CASE WHEN {" OR ".join(f"regexp_matches(text, '{guardrails.PII[k][0]}')" for k in guardrails.kinds())} THEN 1 ELSE 0 END + CASE WHEN {_BAD} THEN 1 ELSE 0 END)::INTEGER AS n_errors
+FROM conversations WHERE role = 'user' AND trim(text) <> ''
+""")
+def i5_input_validation(spark, sf):
+    rows = _t(spark, sf, "conversations").where("role = 'user' and trim(text) <> ''")
+    return rows.select("conv_id", "turn", F.size(guardrails.validate_input(F.col("text"))["errors"]).alias("n_errors"))
+
+
+@query()
+def i9_output_validation(spark, sf):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = _t(spark, sf, "conversations").withColumn("question", F.lag("text").over(w)).where("role = 'assistant' and question is not null")
+    return rows.select("conv_id", "turn", guardrails.validate_output(F.col("text"), F.col("question"), F.col("question")).alias("v")).select("conv_id", "turn", "v.*")
+
+
+@query("""
+WITH s AS (SELECT conv_id, turn, """ + ", ".join("(" + " + ".join(f"contains(lower(text), '{w}')::INT" for w in v) + f") AS {k}" for k, v in answers.QUERY_TYPES.items()) + """ FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, CASE WHEN greatest(deductions, calculation, deadlines, income, dependents) = 0 THEN 'rag_default' """ + " ".join(f"WHEN {k} = greatest(deductions, calculation, deadlines, income, dependents) THEN '{k}'" for k in answers.QUERY_TYPES) + """ END AS kind FROM s
+""")
+def j3_query_type(spark, sf):
+    return _t(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", answers.query_type(F.col("text")).alias("kind"))
+
+
+@query(r"""
+SELECT doc_id, CAST(len(regexp_extract_all(text, 'R\$\s*(\d{1,3}(?:\.\d{3})*(?:,\d{2})?)', 1)) AS BIGINT) AS n_money, CAST(len(regexp_extract_all(text, '(\d+(?:,\d+)?)\s*%', 1)) AS BIGINT) AS n_percent,
+       CAST(len(regexp_extract_all(text, '\d{1,2}/\d{1,2}/\d{4}')) AS BIGINT) AS n_dates FROM documents
+""")
+def j10_structured_data(spark, sf):
+    x, n = F.col("text"), lambda c: F.size(c).cast("long")
+    return _t(spark, sf, "documents").select("doc_id", n(answers.money(x)).alias("n_money"), n(answers.percentages(x)).alias("n_percent"), n(answers.dates(x)).alias("n_dates"))
+
+
+# --- K: scores
+
+
+@query(f"""
+WITH c AS (SELECT conv_id, turn, role, text AS answer, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS question FROM conversations),
+k AS (SELECT *, {_keywords("question")} AS kw FROM c WHERE role = 'assistant' AND question IS NOT NULL)
+SELECT conv_id, turn, round(CASE WHEN len(kw) = 0 THEN 1.0 ELSE len(list_filter(kw, lambda w: contains(lower(answer), w)))::DOUBLE / len(kw) END, 9) AS relevance FROM k
+""")
+def k4_answer_relevance(spark, sf):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = _t(spark, sf, "conversations").withColumn("question", F.lag("text").over(w)).where("role = 'assistant' and question is not null")
+    return rows.select("conv_id", "turn", F.round(answers.answer_relevance(F.col("text"), F.col("question")), 9).alias("relevance"))
+
+
+@query()
+def k8_rag_scores(spark, sf):
+    """Scores of each answer against the user's turns of its conversation."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = _t(spark, sf, "conversations").withColumn("question", F.lag("text").over(w))
+    chunks = rows.where("role = 'user'").groupBy("conv_id").agg(F.collect_list("text").alias("chunks"))
+    rows = rows.where("role = 'assistant' and question is not null").join(chunks, "conv_id")
+    a, q, c = F.col("text"), F.col("question"), F.col("chunks")
+    joined = F.array_join(c, " ")
+    rows = rows.select("conv_id", "turn", answers.faithfulness(a, joined).alias("faithfulness"), answers.answer_relevance(a, q).alias("relevance"), answers.context_relevance(c, q).alias("context"), answers.hallucination(a, joined).alias("hallucination"))
+    one = F.lit(1.0)
+    return rows.withColumn("overall", answers.overall(one, one, F.col("faithfulness"), F.col("relevance"), F.col("context"), F.col("hallucination")))
+
+
+# --- L, M, N: analytics, cache, conversations
+
+
+@query("SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, min(value) AS min, max(value) AS max, median(value) AS median FROM events GROUP BY event_type")
+def l1_metric_summary(spark, sf):
+    return analytics.summary(_t(spark, sf, "events"), ["event_type"]).withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
+
+
+@query("""
+WITH m AS (SELECT event_type, avg(value) AS mean FROM events GROUP BY event_type), b AS (SELECT mean AS base FROM m WHERE event_type = 'view')
+SELECT event_type, round(mean, 6) AS mean, round((mean - base) / base * 100, 6) AS improvement FROM m, b
+""")
+def l6_baseline_comparison(spark, sf):
+    means = _t(spark, sf, "events").groupBy("event_type").agg(F.avg("value").alias("mean"))
+    return analytics.improvement(means, "view", "event_type").withColumns({"mean": F.round("mean", 6), "improvement": F.round("improvement", 6)})
+
+
+@query("""
+WITH s AS (SELECT count(*) FILTER (WHERE event_type = 'view') AS na, count(*) FILTER (WHERE event_type = 'click') AS nb, avg(value) FILTER (WHERE event_type = 'view') AS ma, avg(value) FILTER (WHERE event_type = 'click') AS mb, var_samp(value) FILTER (WHERE event_type = 'view') AS va, var_samp(value) FILTER (WHERE event_type = 'click') AS vb FROM events),
+d AS (SELECT *, (ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)) AS d FROM s)
+SELECT na AS n_a, nb AS n_b, round(d, 6) AS d, round(d / sqrt(1.0 / na + 1.0 / nb), 6) AS t, CASE WHEN abs(d) < 0.2 THEN 'negligible' WHEN abs(d) < 0.5 THEN 'small' WHEN abs(d) < 0.8 THEN 'medium' ELSE 'large' END AS effect FROM d
+""")
+def l7_effect_size(spark, sf):
+    return analytics.cohens_d(_t(spark, sf, "events"), "view", "click", "event_type").select("n_a", "n_b", F.round("d", 6).alias("d"), F.round("t", 6).alias("t"), "effect")
+
+
+@query("""
+(SELECT doc_id, n_chars, 'best' AS which FROM documents ORDER BY n_chars DESC, doc_id LIMIT 5) UNION ALL (SELECT doc_id, n_chars, 'worst' AS which FROM documents ORDER BY n_chars, doc_id LIMIT 5)
+""")
+def l9_best_and_worst(spark, sf):
+    return analytics.best_and_worst(_t(spark, sf, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id")
+
+
+@query("SELECT lang, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM documents GROUP BY lang")
+def l10_distribution(spark, sf):
+    return analytics.distribution(_t(spark, sf, "documents"), "lang").withColumn("percent", F.round("percent", 6))
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE trim(line) = '') AS n_blank, count(*) FILTER (WHERE regexp_matches(line, '^#{1,6} ')) AS n_headings, count(*) FILTER (WHERE contains(line, '|')) AS n_tables, max(length(line))::BIGINT AS longest FROM l GROUP BY doc_id
+""")
+def l13_document_audit(spark, sf):
+    lines = _t(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
+    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(F.trim("line") == "").alias("n_blank"), F.count_if(F.col("line").rlike("^#{1,6} ")).alias("n_headings"), F.count_if(F.contains("line", F.lit("|"))).alias("n_tables"), F.max(F.length("line")).cast("long").alias("longest"))
+
+
+@query("SELECT CASE WHEN length(text) < 200 THEN '0-200' WHEN length(text) < 500 THEN '200-500' WHEN length(text) < 800 THEN '500-800' WHEN length(text) < 1000 THEN '800-1000' ELSE '1000+' END AS bucket, count(*) AS n, min(length(text))::BIGINT AS low, max(length(text))::BIGINT AS high FROM documents GROUP BY 1")
+def l16_size_buckets(spark, sf):
+    n = F.length("text")
+    return _t(spark, sf, "documents").groupBy(analytics.size_bucket(n).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min(n).cast("long").alias("low"), F.max(n).cast("long").alias("high"))
+
+
+@query("SELECT text, min(conv_id) AS first_conv, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY text")
+def m1_answer_cache(spark, sf):
+    """Equal questions are answered once."""
+    return _t(spark, sf, "conversations").where("role = 'user'").groupBy("text").agg(F.min("conv_id").alias("first_conv"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT conv_id, count(*) AS n_turns, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS history_md5, max_by(text, turn) AS last_text FROM conversations GROUP BY conv_id")
+def n1_history(spark, sf):
+    rows = _t(spark, sf, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("said")))).alias("t"), F.max_by("text", "turn").alias("last_text"))
+    return rows.select("conv_id", "n_turns", F.md5(F.array_join(F.transform("t", lambda t: t["said"]), "\n").cast("binary")).alias("history_md5"), "last_text")
