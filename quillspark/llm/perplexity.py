@@ -19,6 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,8 +103,13 @@ def model(counts: DataFrame) -> DataFrame:
 
 def _sums(docs: DataFrame, shard: DataFrame) -> DataFrame:
     """docs' columns but the text, with length and the shard's part of the sum of -log p."""
-    table = shard.toPandas()  # SHARD_ROWS rows or so
-    table = {lang: (t["gram"].to_numpy(), t["nll"].to_numpy(np.float32)) for lang, t in table.sort_values(["lang", "gram"]).groupby("lang")}
+    rows = shard.select("lang", "gram", F.col("nll").cast("float")).toArrow()  # SHARD_ROWS rows or so
+    table = {}
+    for lang in rows.column("lang").unique().to_pylist():
+        own = rows.filter(pc.equal(rows.column("lang"), lang))
+        order = np.argsort(gram := own.column("gram").to_numpy())
+        table[lang] = (gram[order], own.column("nll").to_numpy()[order])
+    del rows
     shared = docs.sparkSession.sparkContext.broadcast(table)
     names = [c for c in docs.columns if c != "text"]
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != "text")
