@@ -33,14 +33,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    taken = saved(mixing.mix(docs).groupBy(F.col("doc_id").alias("_id"), "row", F.col("source").alias("_source")).agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("copies")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("row")) & F.col("source").eqNullSafe(F.col("_source"))
+    taken = saved(mixing.mix(docs).groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_hash"), F.col("source").alias("_source")).agg(F.sum("times").alias("_times"), F.count(F.lit(1)).alias("_copies")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_hash")) & F.col("source").eqNullSafe(F.col("_source"))
     out = docs.join(small(taken), same)
-    if taken.where("copies > 1").isEmpty():
-        times = F.col("times")
+    if taken.where("_copies > 1").isEmpty():
+        times = F.col("_times")
     else:  # repeated rows share what the mix takes of them
-        out = out.withColumn("_copy", F.row_number().over(Window.partitionBy("_id", "row", "_source").orderBy("row")))
-        times = F.floor((F.col("times") + F.col("copies") - F.col("_copy")) / F.col("copies"))
+        out = out.withColumn("_copy", F.row_number().over(Window.partitionBy("_id", "_hash", "_source").orderBy("_hash")))
+        times = F.floor((F.col("_times") + F.col("_copies") - F.col("_copy")) / F.col("_copies"))
     return out.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), times.cast("int"))).alias("_one")).drop("_one")
 
 

@@ -169,9 +169,9 @@ def classified(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, m
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier keeps, with docs' columns."""
-    good = classified(docs, labels).where("keep").select(F.col("doc_id").alias("_id"), "row").distinct()
+    good = classified(docs, labels).where("keep").select(F.col("doc_id").alias("_id"), F.col("row").alias("_hash")).distinct()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.join(small(saved(good)), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("row")), "left_semi")
+    return docs.join(small(saved(good)), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left_semi")
 
 
 def op5_quality_perplexity(spark, sf_dir: str) -> DataFrame:
