@@ -83,20 +83,21 @@ def model(counts: DataFrame) -> DataFrame:
         else:  # in how many kinds of longer grams does it end
             longer = seen.select("lang", F.col("gram").bitwiseAND(_mask(k + 1)).alias("l") if k + 1 < ORDER else F.col("gram").alias("l")).distinct()
             table = longer.groupBy("lang", F.col("l").bitwiseAND(_mask(k)).alias("g")).agg(F.count(F.lit(1)).alias("c"))
-        table = table.withColumn("h", F.shiftrightunsigned("g", BITS))
+        table = saved(table.withColumn("h", F.shiftrightunsigned("g", BITS)))
         of = lambda c: F.sum((F.col("c") == c).cast("double"))
         n1, n2, n3, n4 = (F.greatest(of(c), F.lit(0.0)) for c in (1, 2, 3, 4))
         y = F.when(n1 + 2 * n2 > 0, n1 / (n1 + 2 * n2)).otherwise(F.lit(0.5))
         part = lambda a, b, i: F.when(a > 0, F.greatest(F.lit(0.1), F.least(F.lit(i - 0.05), i - (i + 1) * y * b / a))).otherwise(F.lit(0.6 * i))
         discounts = table.groupBy("lang").agg(part(n1, n2, 1.0).alias("d1"), part(n2, n3, 2.0).alias("d2"), part(n3, n4, 3.0).alias("d3"))
-        table = table.join(F.broadcast(discounts), "lang").withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
-        context = table.groupBy("lang", "h").agg(F.sum("c").alias("total"), F.sum("d").alias("off"))
+        table = table.join(F.broadcast(saved(discounts)), "lang").withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
+        context = saved(table.groupBy("lang", "h").agg(F.sum("c").alias("total"), F.sum("d").alias("off")))
         own = table.join(context, ["lang", "h"]).select("lang", "g", ((F.col("c") - F.col("d")) / F.col("total")).alias("p"))
         gram = F.col("gram").bitwiseAND(_mask(k)) if k < ORDER else F.col("gram")
         out = out.withColumn("g", gram).withColumn("h", F.shiftrightunsigned("g", BITS))
         out = out.join(context.select("lang", "h", (F.col("off") / F.col("total")).alias("back")), ["lang", "h"], "left").join(own, ["lang", "g"], "left")
         below = F.lit(1.0 / (1 << BITS)) if lower is None else F.col("below")
         out = out.select("lang", "gram", (F.coalesce("p", F.lit(0.0)) + F.coalesce("back", F.lit(1.0)) * below).alias("below"))
+        out = saved(out)  # an order at a time: one plan of all orders takes hundreds of MB on the driver
         lower = F.col("below")
     return out.select("lang", "gram", (-F.log("below")).alias("nll"))
 
