@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import answers, guardrails, text
-from ..operators import analytics, chunking, retrieval, structure
-from ..sources import files, pages
+from ..functions import answers, guardrails, legal, prompts, questions, text
+from ..operators import analytics, chunking, experiments, retrieval, sections, structure
+from ..sources import files, pages, providers
 
 FLAGSHIP = "h8_hybrid_rrf"
 QUERIES: dict = {}
@@ -408,3 +408,195 @@ def m1_answer_cache(spark, sf):
 def n1_history(spark, sf):
     rows = _t(spark, sf, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("said")))).alias("t"), F.max_by("text", "turn").alias("last_text"))
     return rows.select("conv_id", "n_turns", F.md5(F.array_join(F.transform("t", lambda t: t["said"]), "\n").cast("binary")).alias("history_md5"), "last_text")
+
+
+# --- B, E, F: outlines, lines of laws, chunks of sections
+
+#: Lines of laws made of the documents alike in both engines, since the documents hold none.
+_LEGAL = "concat(CASE doc_id % 10 WHEN 0 THEN 'LIVRO II ' WHEN 1 THEN 'Título IV ' WHEN 2 THEN 'CAPÍTULO III ' WHEN 3 THEN 'Seção 2 ' WHEN 4 THEN 'Art. 5 ' WHEN 5 THEN 'Art. 7º, ' WHEN 6 THEN '§ 3º ' WHEN 7 THEN 'IV - ' WHEN 8 THEN 'b) ' ELSE 'Art. 9 e art. 2 ' END, replace(substr(text, 1, 40), chr(10), ' '))"
+_LINES = f"l AS (SELECT doc_id, regexp_replace({_LEGAL}, '^\\s+|\\s+$', '', 'g') AS x FROM documents)"
+
+
+def _legal(spark, sf) -> DataFrame:
+    return _t(spark, sf, "documents").select("doc_id", text.strip(F.expr(_LEGAL)).alias("x"))
+
+
+@query(r"""
+WITH """ + _LINES + r""", v AS (SELECT *, CASE WHEN regexp_matches(x, '(?i)^LIVRO\s+[IVXLCDM]+\b') THEN 1 WHEN regexp_matches(x, '(?i)^TÍTULO\s+[IVXLCDM]+\b') THEN 2 WHEN regexp_matches(x, '(?i)^CAPÍTULO\s+[IVXLCDM0-9]+\b') THEN 3 WHEN regexp_matches(x, '(?i)^SEÇÃO\s+[IVXLCDM0-9]+\b') THEN 4 WHEN regexp_matches(x, '^Art\.\s*\d+') THEN 6 END AS level FROM l)
+SELECT doc_id, coalesce(level, 0) AS level, md5(CASE WHEN level = 6 THEN chr(10) || '###### ' || x || ' {#art-' || regexp_extract(x, '\d+') || '}' || chr(10) WHEN level IS NOT NULL THEN chr(10) || repeat('#', level) || ' ' || x || chr(10)
+  WHEN regexp_matches(x, '^§\s*\d') THEN chr(10) || '**' || x || '**' || chr(10) WHEN regexp_matches(x, '^[IVX]+\s*[-–—]') THEN '- ' || x WHEN regexp_matches(x, '^[a-z]\)') THEN '  - ' || x ELSE x END) AS markdown_md5 FROM v
+""")
+def e3_legal_lines(spark, sf):
+    x = F.col("x")
+    return _legal(spark, sf).select("doc_id", F.coalesce(legal.heading_level(x), F.lit(0)).alias("level"), F.md5(legal.to_markdown_line(x).cast("binary")).alias("markdown_md5"))
+
+
+@query(r"""
+WITH """ + _LINES + r""", v AS (SELECT *, regexp_matches(x, '^Art\.\s*\d+') AS has, regexp_replace(regexp_replace(x, '^Art\.\s*\d+[º°]?\.?', ''), '^\s+', '') AS rest FROM l)
+SELECT doc_id, has AND (rest = '' OR regexp_matches(rest, '^\p{Lu}') OR NOT (starts_with(rest, ',') OR regexp_matches(rest, '(?i)^([^.]*\W)?art\.\s*\d+'))) AS is_start,
+  md5(CASE WHEN has THEN regexp_extract(x, '^Art\.\s*\d+[º°]?\.?') ELSE x END) AS head_md5, md5(CASE WHEN has THEN rest ELSE '' END) AS rest_md5 FROM v
+""")
+def e4_article_starts(spark, sf):
+    head, rest = legal.article_head(F.col("x"))
+    return _legal(spark, sf).select("doc_id", legal.is_article_start(F.col("x")).alias("is_start"), F.md5(head.cast("binary")).alias("head_md5"), F.md5(rest.cast("binary")).alias("rest_md5"))
+
+
+@query("""
+WITH s AS (SELECT lang, doc_id, CAST(1 + doc_id % 6 AS INTEGER) AS level FROM documents), n AS (SELECT lang, level, count(*) AS n FROM s GROUP BY lang, level),
+c AS (SELECT *, sum(n) OVER (PARTITION BY lang ORDER BY level) AS so_far FROM n)
+SELECT lang, coalesce(max(level) FILTER (WHERE so_far <= 100), min(level)) AS depth FROM c GROUP BY lang
+""")
+def b3_outline_depth(spark, sf):
+    """Documents stand for titles of a language's outline, with levels by their ids."""
+    return sections.depth(_t(spark, sf, "documents").select("lang", F.lit("t").alias("title"), (1 + F.col("doc_id") % 6).cast("int").alias("level")), "lang")
+
+
+@query()
+def b1_page_markdown(spark, sf):
+    return sections.markdown(pages.pages_to_sections(_t(spark, sf, "pages")), "page_id")
+
+
+@query()
+def f3_section_chunks(spark, sf):
+    return sections.chunk_sections(pages.pages_to_sections(_t(spark, sf, "pages")), "page_id")
+
+
+@query("""
+WITH n AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), f AS (SELECT lang, n, CAST(round_even(CAST(n AS DOUBLE) / max(n) OVER () * 15, 0) AS INTEGER) AS k FROM n)
+SELECT lang, n, repeat('█', k) || repeat('░', 15 - k) AS bar FROM f
+""")
+def b12_audit_bars(spark, sf):
+    n = _t(spark, sf, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(F.broadcast(n.agg(F.max("n").alias("most"))), how="cross").select("lang", "n", sections.bar(F.col("n"), F.col("most"), 15).alias("bar"))
+
+
+# --- G, J, K, L: providers, prompts, vector scores, labels of questions, experiments
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, md5(unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS h FROM documents),
+b AS (SELECT doc_id, CAST(('0x' || substr(h, 1, 8))::BIGINT % 64 AS INTEGER) AS bucket, CAST(sum(CASE WHEN substr(h, 9, 1) < '8' THEN 1 ELSE -1 END) AS DOUBLE) AS v FROM t GROUP BY ALL),
+n AS (SELECT doc_id, sqrt(sum(v * v)) AS norm FROM b GROUP BY doc_id)
+SELECT doc_id, bucket, round(v / norm, 6) AS weight FROM b JOIN n USING (doc_id) WHERE v <> 0
+""")
+def g1_hash_embeddings(spark, sf):
+    rows = providers.embed(_t(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.posexplode("vector").alias("bucket", "weight"))
+    return rows.where("weight <> 0").select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
+
+
+def _literal(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _prompt(name: str) -> str:
+    filled = prompts.TEMPLATES[name][1].replace("{context}", "\0context\0").replace("{query}", "\0query\0").split("\0")
+    return " || ".join([_literal(prompts.system(name) + "\n\n"), *(p if p in ("context", "query") else _literal(p) for p in filled)])
+
+
+_KIND = "CASE WHEN greatest(deductions, calculation, deadlines, income, dependents) = 0 THEN 'rag_default' " + " ".join(f"WHEN {k} = greatest(deductions, calculation, deadlines, income, dependents) THEN '{k}'" for k in answers.QUERY_TYPES) + " END"
+
+
+@query(f"""
+WITH q AS (SELECT conv_id, text AS query, turn, """ + ", ".join("(" + " + ".join(f"contains(lower(text), '{w}')::INT" for w in v) + f") AS {k}" for k, v in answers.QUERY_TYPES.items()) + f""" FROM conversations WHERE role = 'user'),
+c AS (SELECT conv_id, string_agg('[Trecho ' || n || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY n) AS context FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'assistant') GROUP BY conv_id),
+k AS (SELECT conv_id, turn, query, coalesce(context, '') AS context, {_KIND} AS kind FROM q LEFT JOIN c USING (conv_id))
+SELECT conv_id, turn, md5(CASE kind {" ".join(f"WHEN '{k}' THEN {_prompt(k)}" for k in prompts.TEMPLATES if k != "general")} END) AS prompt_md5, md5({_literal(prompts.ALONE + chr(10) * 2 + "Pergunta: ")} || query || {_literal(chr(10) * 2 + "Resposta:")}) AS alone_md5 FROM k
+""")
+def j4_prompts(spark, sf):
+    """Each user turn with the answers of its conversation as chunks."""
+    rows = _t(spark, sf, "conversations")
+    chunks = rows.where("role = 'assistant'").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("chunks"))
+    rows = rows.where("role = 'user'").join(chunks, "conv_id", "left")
+    return rows.select("conv_id", "turn", F.md5(prompts.with_context(F.col("text"), F.col("chunks")).cast("binary")).alias("prompt_md5"), F.md5(prompts.without_context(F.col("text")).cast("binary")).alias("alone_md5"))
+
+
+@query()
+def j6_answers(spark, sf):
+    """Answers of the offline provider to the benchmark's questions with their three best documents."""
+    asked = _questions(spark, sf)
+    found = _index(spark, sf).search(asked, 3).join(_t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("chunk")), "id")
+    chunks = found.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk"))), lambda x: x["chunk"]).alias("chunks"))
+    rows = asked.join(chunks, "query_id", "left").select("query_id", prompts.with_context(F.col("text"), F.col("chunks")).alias("prompt"))
+    return providers.answer(rows).select("query_id", "answer", "error", "tokens")
+
+
+@query("""
+WITH x AS (SELECT vec_id // 10 AS pair, vec_id % 10 < 5 AS left_side, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+s AS (SELECT a.pair, a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.e, b.e) AS c FROM x a JOIN x b USING (pair) WHERE a.left_side AND NOT b.left_side),
+p AS (SELECT pair, avg(c) AS p FROM (SELECT pair, a, max(c) AS c FROM s GROUP BY pair, a) GROUP BY pair), r AS (SELECT pair, avg(c) AS r FROM (SELECT pair, b, max(c) AS c FROM s GROUP BY pair, b) GROUP BY pair)
+SELECT pair, round(p, 6) AS "precision", round(r, 6) AS recall, round(2 * p * r / (p + r), 6) AS f1 FROM p JOIN r USING (pair)
+""")
+def k9_greedy_match(spark, sf):
+    """Ten vectors in a row as the tokens of an answer (five) and of a reference (five)."""
+    x = _t(spark, sf, "embeddings").select(F.expr("vec_id div 10").alias("pair"), (F.col("vec_id") % 10 < 5).alias("left"), F.col("embedding").cast("array<double>").alias("e"))
+    side = lambda on: F.collect_list(F.when(F.col("left") == on, F.col("e")))
+    x = x.groupBy("pair").agg(side(True).alias("a"), side(False).alias("b")).where("size(a) > 0 and size(b) > 0")
+    return x.select("pair", *(F.round(c, 6).alias(k) for k, c in experiments.greedy_match(F.col("a"), F.col("b")).items()))
+
+
+@query("""
+WITH q AS (SELECT vec_id AS query_id, label AS want, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % 20 = 0),
+s AS (SELECT query_id, vec_id AS id, CAST(label = want AS INTEGER) AS v, round(list_dot_product(a, embedding::DOUBLE[]) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 9) AS score FROM q, embeddings WHERE vec_id <> query_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 4),
+c AS (SELECT *, sum(v) OVER (PARTITION BY query_id ORDER BY rank) AS hits FROM r)
+SELECT query_id, round(coalesce(sum(v * hits / rank) / nullif(sum(v), 0), 0), 6) AS context_precision FROM c GROUP BY query_id
+""")
+def k10_context_precision(spark, sf):
+    """Neighbours of a vector judged by its label."""
+    e = _t(spark, sf, "embeddings")
+    found = retrieval.dense_top(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 6)
+    found = found.where("id <> query_id").join(e.select(F.col("vec_id").alias("id"), "label"), "id").join(e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("want")), "query_id")
+    v = found.groupBy("query_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("rank", (F.col("label") == F.col("want")).cast("int").alias("v")))), lambda x: x["v"]), 1, 4).alias("v"))
+    return v.select("query_id", F.round(experiments.context_precision(F.col("v")), 6).alias("context_precision"))
+
+
+def _case(x: str, rules: dict, other: str) -> str:
+    return "CASE " + " ".join(f"WHEN {_has(x, v)} THEN '{k}'" for k, v in rules.items()) + f" ELSE '{other}' END"
+
+
+def _has(x: str, words) -> str:
+    return "(" + " OR ".join(f"contains({x}, '{w}')" for w in words) + ")"
+
+
+_N = "len(regexp_extract_all({0}, '\\S+'))"
+
+
+@query(f"""
+WITH p AS (SELECT conv_id, turn, role, text AS a, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS q FROM conversations)
+SELECT conv_id, turn, {_case("lower(q)", questions.CATEGORIES, "outros")} AS category, {_case("lower(q)", questions.KINDS, "geral")} AS kind,
+  CASE WHEN {_N.format("q")} <= 12 THEN 'simple' WHEN {_N.format("q")} <= 25 THEN 'medium' ELSE 'complex' END AS complexity,
+  CASE WHEN {_N.format("q")} < 10 AND {_N.format("a")} < 50 THEN 'facil' WHEN {_N.format("a")} > 150 OR len(regexp_extract_all(a, 'desde que')) > 1 OR len(regexp_extract_all(a, 'exceto')) > 1 OR {_has("lower(a)", questions.TECHNICAL)} THEN 'dificil' ELSE 'medio' END AS difficulty,
+  {", ".join(f"{_has('lower(a)', v)} AS {k}" for k, v in questions.FLAGS.items())}, {_has("a", questions.ENUMERATIONS)} AS has_enumerations
+FROM p WHERE role = 'assistant' AND q IS NOT NULL
+""")
+def l18_question_labels(spark, sf):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = _t(spark, sf, "conversations").withColumn("q", F.lag("text").over(w)).where("role = 'assistant' and q is not null")
+    q, a = F.col("q"), F.col("text")
+    found = {"category": questions.category(q), "kind": questions.kind(q), "complexity": questions.complexity(q), "difficulty": questions.difficulty(q, a)} | questions.answer_flags(a)
+    return rows.select("conv_id", "turn", *(c.alias(k) for k, c in found.items()))
+
+
+@query("""
+WITH m(name, method, alpha) AS (VALUES ('dense', 'dense', NULL), ('bm25', 'bm25', NULL), ('hybrid_0.7', 'hybrid', 0.7), ('hybrid_0.5', 'hybrid', 0.5))
+SELECT name || '_k' || k AS config, method, CAST(alpha AS DOUBLE) AS alpha, CAST(k AS INTEGER) AS k FROM m, (VALUES (3), (5), (10)) v(k) UNION ALL SELECT 'baseline', NULL, NULL, 0
+""")
+def l21_experiment_grid(spark, sf):
+    return experiments.grid(spark)
+
+
+@query(f"""
+WITH {_BM25}, {_OVERLAP},
+dense AS (SELECT 'dense' AS method, query_id, id, rank FROM e WHERE rank <= 10), g AS (SELECT 'bm25' AS method, query_id, id, rank FROM b WHERE rank <= 10),
+r AS (SELECT * FROM dense UNION ALL SELECT * FROM g), k AS (SELECT * FROM (VALUES (3), (5), (10)) v(k)),
+n AS (SELECT method || '_k' || k AS config, query_id, count(*) AS n, md5(string_agg(id, ',' ORDER BY rank)) AS ids_md5 FROM r JOIN k ON rank <= k GROUP BY method, k, query_id),
+every AS (SELECT m || '_k' || k AS config, item_id AS query_id FROM (VALUES ('dense'), ('bm25')) v(m), k, benchmark UNION ALL SELECT 'baseline', item_id FROM benchmark)
+SELECT config, query_id, CAST(coalesce(n, 0) AS INTEGER) AS n_chunks, ids_md5 FROM every LEFT JOIN n USING (config, query_id)
+""")
+def l22_experiment_runs(spark, sf):
+    """The grid without its hybrids over the benchmark's questions."""
+    index, asked = _index(spark, sf), _questions(spark, sf)
+    part = lambda df, m: df.select(F.lit(m).alias("method"), F.lit(None).cast("double").alias("alpha"), "query_id", "id", "rank")
+    rankings = part(_overlap(spark, sf, index, 10), "dense").unionByName(part(index.search(asked, 10), "bm25"))
+    out = experiments.run(experiments.grid(spark).where("coalesce(method, '') <> 'hybrid'"), asked, rankings)
+    return out.select("config", "query_id", "n_chunks", F.md5(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")).alias("ids_md5"))
