@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import answers, guardrails, legal, prompts, questions, text
 from ..operators import analytics, chunking, experiments, retrieval, sections, structure
-from ..sources import files, pages, providers
+from ..sources import files, laws, pages, providers
 
 FLAGSHIP = "h8_hybrid_rrf"
 QUERIES: dict = {}
@@ -600,3 +600,28 @@ def l22_experiment_runs(spark, sf):
     rankings = part(_overlap(spark, sf, index, 10), "dense").unionByName(part(index.search(asked, 10), "bm25"))
     out = experiments.run(experiments.grid(spark).where("coalesce(method, '') <> 'hybrid'"), asked, rankings)
     return out.select("config", "query_id", "n_chunks", F.md5(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")).alias("ids_md5"))
+
+
+# --- A, E: pages of official layouts
+
+
+@query()
+def a8_styled_sections(spark, sf):
+    return laws.styled_sections(_t(spark, sf, "pages"))
+
+
+@query()
+def e8_merged_headings(spark, sf):
+    return laws.merged(laws.styled_sections(_t(spark, sf, "pages")))
+
+
+@query(r"""
+WITH """ + _LINES + r""", s AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(x, '[<&]', '', 'g'), '\s+', ' ', 'g'), '^ | $', '', 'g') AS x FROM l),
+v AS (SELECT *, CASE WHEN regexp_matches(x, '(?i)^CAP[IÍ]TULO\s+[IVX0-9]') THEN 3 WHEN regexp_matches(x, '(?i)^SE[ÇC][ÃA]O\s+[IVX0-9]') THEN 4 WHEN regexp_matches(x, '(?i)^Art\.?\s*\d') THEN 6 END AS level FROM s)
+SELECT doc_id, coalesce(level, 0) AS level, CASE WHEN level IS NULL THEN '' ELSE x END AS title, md5(CASE WHEN level IS NOT NULL THEN '' WHEN regexp_matches(x, '^§\s*\d') THEN '**' || x || '**' WHEN regexp_matches(x, '^([IVX]+\s*[-–—]|[a-z]\)\s)') THEN '- ' || x ELSE x END) AS content_md5 FROM v
+""")
+def a9_segmented_sections(spark, sf):
+    """Pages of one segment each, made of the lines above."""
+    html = F.concat(F.lit('<app-root><div class="segmento">'), F.regexp_replace("x", "[<&]", ""), F.lit("</div></app-root>"))
+    out = laws.segmented_sections(_legal(spark, sf).select("doc_id", html.alias("html")), "doc_id")
+    return out.select("doc_id", "level", "title", F.md5(F.col("content").cast("binary")).alias("content_md5"))
