@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import answers, guardrails, legal, prompts, questions, text
 from ..operators import analytics, chunking, experiments, retrieval, sections, structure
-from ..sources import files, laws, pages, providers
+from ..sources import files, laws, office, pages, providers
 
 FLAGSHIP = "h8_hybrid_rrf"
 QUERIES: dict = {}
@@ -625,3 +625,21 @@ def a9_segmented_sections(spark, sf):
     html = F.concat(F.lit('<app-root><div class="segmento">'), F.regexp_replace("x", "[<&]", ""), F.lit("</div></app-root>"))
     out = laws.segmented_sections(_legal(spark, sf).select("doc_id", html.alias("html")), "doc_id")
     return out.select("doc_id", "level", "title", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+#: Documents as one page with a heading line before the text, alike in both engines.
+_PAGE = "concat(CASE doc_id % 5 WHEN 0 THEN 'CAPÍTULO II' WHEN 1 THEN 'Art. 5 do texto' WHEN 2 THEN '§ 3' WHEN 3 THEN 'DISPOSIÇÕES' ELSE 'sem título' END, chr(10), text)"
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, """ + _PAGE + r""" AS x FROM documents), l AS (SELECT doc_id, unnest(string_split(x, chr(10))) AS line, unnest(range(len(string_split(x, chr(10))))) AS pos FROM t),
+s AS (SELECT doc_id, pos, regexp_replace(line, '^\s+|\s+$', '', 'g') AS line FROM l),
+c AS (SELECT *, CASE WHEN regexp_matches(upper(line), '^CAP[ÍI]TULO\s+[IVXLCDM]+') THEN 1 WHEN regexp_matches(upper(line), '^SE[ÇC][ÃA]O\s+[IVXLCDM]+') THEN 2 WHEN regexp_matches(upper(line), '^ART\.?\s+\d+') THEN 3
+  WHEN regexp_matches(line, '^§\s*\d+') THEN 4 WHEN length(line) < 100 AND upper(line) = line AND lower(line) <> line AND NOT starts_with(line, 'ART') AND NOT starts_with(line, '§') THEN 2 END AS level FROM s WHERE line <> ''),
+n AS (SELECT *, count(level) OVER (PARTITION BY doc_id ORDER BY pos) AS nth FROM c),
+g AS (SELECT doc_id, CAST(nth AS INTEGER) AS position, max(line) FILTER (WHERE level IS NOT NULL) AS title, max(level) AS level, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE level IS NULL) AS content FROM n WHERE nth > 0 GROUP BY doc_id, nth HAVING length(content) >= 50)
+SELECT doc_id, position, title, level, md5(content) AS content_md5 FROM g UNION ALL SELECT doc_id, 1, 'Documento Completo', 1, md5(regexp_replace(x, '^\s+|\s+$', '', 'g')) FROM t WHERE doc_id NOT IN (SELECT doc_id FROM g)
+""")
+def a14_page_text_sections(spark, sf):
+    out = office.page_sections(_t(spark, sf, "documents").select("doc_id", F.lit(1).alias("page_number"), F.expr(_PAGE).alias("text")), "doc_id")
+    return out.select("doc_id", "position", "title", "level", F.md5(F.col("content").cast("binary")).alias("content_md5"))
