@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import answers, guardrails, legal, prompts, questions, text
-from ..operators import analytics, chunking, experiments, retrieval, sections, structure
+from ..functions import answers, guardrails, legal, prompts, questions, replies, text
+from ..operators import analytics, chunking, experiments, reports, retrieval, sections, structure
 from ..sources import files, laws, office, pages, providers
 
 FLAGSHIP = "h8_hybrid_rrf"
@@ -643,3 +643,49 @@ SELECT doc_id, position, title, level, md5(content) AS content_md5 FROM g UNION
 def a14_page_text_sections(spark, sf):
     out = office.page_sections(_t(spark, sf, "documents").select("doc_id", F.lit(1).alias("page_number"), F.expr(_PAGE).alias("text")), "doc_id")
     return out.select("doc_id", "position", "title", "level", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+# --- J, L: answers parsed, tables of reports
+
+#: Answers made of the documents alike in both engines.
+_REPLY = "concat(CASE doc_id % 5 WHEN 0 THEN 'Conforme o Art. 68 § 1º: ' WHEN 1 THEN 'Talvez R$ 10,50. ' WHEN 2 THEN 'Não encontrei. ' WHEN 3 THEN 'Poderia esclarecer a lei? ' ELSE 'artigo 7, talvez 5% ou talvez 6%, possivelmente. ' END, substr(text, 1, CAST(doc_id % 40 * 60 AS INTEGER)))"
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(""" + _REPLY + r""", '\s+', ' ', 'g'), '^ | $', '', 'g') AS x FROM documents),
+n AS (SELECT *, len(regexp_extract_all(x, '(?i)(?:Art\.?|Artigo)\s*\d+')) AS c, len(regexp_extract_all(x, 'R\$\s*\d{1,3}')) AS m, len(regexp_extract_all(x, '\d+(?:,\d+)?\s*%')) AS p, """ + f"{_has('lower(x)', replies.NO_INFORMATION)} AS none, {_has('lower(x)', replies.UNCERTAIN)} AS doubt, {_has('lower(x)', replies.LEGAL_WORDS)} AS legal, {_has('lower(x)', replies.CLARIFY)} AS asks" + r""" FROM t)
+SELECT doc_id, c AS n_citations, round(greatest(0, least(1, 0.5 + CASE WHEN c > 0 THEN 0.2 ELSE 0 END + CASE WHEN m + p > 0 THEN 0.1 ELSE 0 END + CASE WHEN length(x) BETWEEN 50 AND 1000 THEN 0.1 ELSE 0 END - CASE WHEN doubt THEN 0.2 ELSE 0 END - CASE WHEN none THEN 0.3 ELSE 0 END))::DOUBLE, 6) AS confidence,
+  NOT none AND length(x) >= 30 AS has_answer, asks AS needs_clarification,
+  CAST((length(x) < 20)::INT + (length(x) > 2000)::INT + (legal AND c = 0)::INT + (m > 0 AND c = 0)::INT + (len(regexp_extract_all(lower(x), 'talvez')) + len(regexp_extract_all(lower(x), 'possivelmente')) > 2)::INT AS BIGINT) AS n_warnings FROM n
+""")
+def j8_parsed_answers(spark, sf):
+    found = replies.parsed(F.expr(_REPLY))
+    n = lambda c: F.size(found[c]).cast("long")
+    return _t(spark, sf, "documents").select("doc_id", n("citations").alias("n_citations"), F.round(found["confidence"], 6).alias("confidence"), found["has_answer"].alias("has_answer"), found["needs_clarification"].alias("needs_clarification"), n("warnings").alias("n_warnings"))
+
+
+@query("""
+WITH r AS (SELECT event_type, value / 100 AS faithfulness, user_id % 100 / 100.0 AS relevance FROM events WHERE event_type IN ('view', 'click')),
+m AS (SELECT avg(faithfulness) FILTER (WHERE event_type = 'view') AS fa, avg(faithfulness) FILTER (WHERE event_type = 'click') AS fb, avg(relevance) FILTER (WHERE event_type = 'view') AS ra, avg(relevance) FILTER (WHERE event_type = 'click') AS rb FROM r)
+SELECT round((fb - fa) / fa * 100, 6) AS faithfulness_diff, round((rb - ra) / ra * 100, 6) AS relevance_diff, CASE WHEN fa + ra > fb + rb THEN 'view' ELSE 'click' END AS winner FROM m
+""")
+def l4_ab_test(spark, sf):
+    runs = _t(spark, sf, "events").select("event_type", (F.col("value") / 100).alias("faithfulness"), (F.col("user_id") % 100 / 100).alias("relevance"))
+    out = reports.ab_test(runs, "view", "click", ["faithfulness", "relevance"], "event_type")
+    return out.select(F.round("faithfulness_diff", 6).alias("faithfulness_diff"), F.round("relevance_diff", 6).alias("relevance_diff"), "winner")
+
+
+@query(f"WITH {_BM25} SELECT source, count(DISTINCT query_id) AS n_questions FROM b JOIN documents ON id = doc_id WHERE rank <= 5 GROUP BY source")
+def l14_reference_counts(spark, sf):
+    found = _index(spark, sf).search(_questions(spark, sf))
+    return reports.reference_counts(found.join(_t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source"), "id"))
+
+
+@query(r"""
+WITH f AS (SELECT len(regexp_extract_all(text, '\S+')) AS words, doc_id IN (SELECT doc_id FROM labels) AS indexed FROM documents)
+SELECT count(*) AS files, sum(words)::BIGINT AS words, sum(words) FILTER (WHERE indexed)::BIGINT AS indexed_words, round(100.0 * sum(words) FILTER (WHERE indexed) / sum(words), 6) AS percent FROM f
+""")
+def l15_coverage(spark, sf):
+    labels = _t(spark, sf, "labels").select("doc_id", F.lit(True).alias("indexed")).distinct()
+    files_ = _t(spark, sf, "documents").select("doc_id", text.word_count(F.col("text")).alias("words")).join(labels, "doc_id", "left")
+    return reports.coverage(files_).withColumn("percent", F.round("percent", 6))
