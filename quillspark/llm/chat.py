@@ -1,6 +1,6 @@
 """Chat formatting: conversations through a black-box template, with each turn's span and a loss mask.
 
-Method. The template is only ever called: successive prefixes of the turns are rendered and consecutive outputs
+Method. The template is only ever called: all successive prefixes of the turns are rendered and consecutive outputs
 compared; what an output adds to the one before it is the turn's span. Where an output doesn't begin with the one
 before, the template rewrites history: the conversation is flagged and gets no spans and no loss. Where a turn's text
 lies in its span is found by rendering it with one-character texts: they differ just there, and what stands around is
@@ -24,14 +24,21 @@ TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: What a text must not contain as such: the template's own marks and those that common models take for control.
 CONTROL = (TURN, TEXT, END, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
 
-
-#: Conversations of so many turns are rendered prefix by prefix; in longer ones a turn is rendered behind so many others.
-SHORT, WINDOW = 32, 3
+#: Escaped strings of a task, emptied at HELD characters (their sum stands under None): a turn comes back in all later prefixes.
+ESCAPED: dict = {None: 0}
+HELD = 1 << 25
 
 
 def escape(s: str) -> str:
     """Doubles backslashes and puts one behind the first character of each control string."""
-    return re.sub("|".join([r"\\", *map(re.escape, CONTROL)]), lambda m: m[0][0] + "\\" + m[0][1:], s)
+    found = ESCAPED.get(s)
+    if found is None:
+        found = re.sub("|".join([r"\\", *map(re.escape, CONTROL)]), lambda m: m[0][0] + "\\" + m[0][1:], s)
+        if ESCAPED[None] > HELD:
+            ESCAPED.clear()
+        ESCAPED[s] = found
+        ESCAPED[None] = ESCAPED.get(None, 0) + len(s)
+    return found
 
 
 def unescape(s: str) -> str:
@@ -42,42 +49,31 @@ def template(turns: list[tuple[str, str]]) -> str:
     return "".join(f"{TURN}{escape(r)}{TEXT}{escape(t)}{END}\n" for r, t in turns)
 
 
-def spans_of(turns: list[tuple[str, str]], render: Callable[[list[tuple[str, str]]], str] = template, frames: dict | None = None, short: int = SHORT) -> tuple[str, list[tuple[int, int, int, int]], bool]:
+def spans_of(turns: list[tuple[str, str]], render: Callable[[list[tuple[str, str]]], str] = template, frames: dict | None = None, short: int | None = None) -> tuple[str, list[tuple[int, int, int, int]], bool]:
     """(output, (start, end, text start, text end) of each turn, whether history was rewritten).
 
-    Over short turns, what a turn adds is found by rendering it behind the WINDOW turns before it, and must stand in the
-    whole output where the turns before it end; prefixes of doubling length are compared too. If anything differs, all
-    prefixes are rendered.
+    Every prefix is rendered and compared with the one before it, however many turns there are; short has no effect.
     """
-    frames, brief = {} if frames is None else frames, len(turns) <= short
-    whole = "" if brief else render(turns)
-    at, out = 0, []
+    frames = {} if frames is None else frames
+    out: list[tuple[int, int, int, int]] = []
     before = ""
     for k, (role, _) in enumerate(turns):
-        held = turns[: k] if brief else turns[max(0, k - WINDOW) : k]
-        if not brief:
-            before = render(held) if k else ""
-        now = render([*held, turns[k]])
+        now = render(turns[: k + 1])
         if not now.startswith(before):
-            return (render(turns), [], True) if brief else spans_of(turns, render, frames, len(turns))
-        span, key = now[len(before) :], (role, k == 0)
-        if not brief and (not whole.startswith(span, at) or (k & (k + 1) == 0 and render(turns[: k + 1]) != whole[: at + len(span)])):
-            return spans_of(turns, render, frames, len(turns))
+            return render(turns), [], True
+        at, span, key = len(before), now[len(before) :], (role, k == 0)
         head, tail = frames.get(key, (None, ""))
         if head is None or len(span) < len(head) + len(tail) or not (span.startswith(head) and span.endswith(tail)):
-            a, b = (render([*held, (role, x)])[len(before) :] for x in "ab")
+            a, b = (render([*turns[:k], (role, x)])[at:] for x in "ab")
             n = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), None)
             if n is None:  # the template leaves such texts out
                 head, tail = span, ""
             else:
                 head, tail = a[:n], a[n + 1 :]
                 frames[key] = (head, tail)
-        out.append((at, at + len(span), at + len(head), at + len(span) - len(tail)))
-        at += len(span)
+        out.append((at, len(now), at + len(head), len(now) - len(tail)))
         before = now
-    if not brief and at != len(whole):
-        return spans_of(turns, render, frames, len(turns))
-    return before if brief else whole, out, False
+    return before, out, False
 
 
 def format_conversations(rows: DataFrame, render: Callable[[list[tuple[str, str]]], str] = template, trained: tuple[str, ...] = ("assistant",)) -> DataFrame:

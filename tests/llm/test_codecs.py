@@ -70,6 +70,13 @@ def test_rewriting_template():
         assert chat.spans_of([("user", "a"), ("assistant", "b")] * n, last_only)[2]
 
 
+def test_template_that_rewrites_at_some_lengths():
+    fifth = lambda ts: ("!" if len(ts) % 5 == 0 else "") + chat.template(ts)
+    for n in (9, 31, 33, 64, 99):
+        turns = [("user", f"t{i}") for i in range(n)]
+        assert chat.spans_of(turns, fifth) == (fifth(turns), [], True)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("aAbkKtokensecretASIA019/+=-_.:'\" \n", max_size=40))
 def test_trigram_queries_hold_where_rules_match(text):
