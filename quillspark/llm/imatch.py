@@ -1,13 +1,17 @@
 """Document fingerprints [native]: I-Match over several randomised lexicons.
 
-Method. The lexicon holds the terms whose document frequency lies in a band of shares of all documents, so it has at
-most (mean number of distinct terms in a document) / (lower share) terms however many documents there are, and the plan
-holds it as a set of literals. A document
+Method. The lexicon holds all terms but the common ones, those in more than a share of the documents, near copies being
+counted once: so rare languages and large groups of near copies keep their terms. At most (mean number of distinct terms
+in a document) / (share) terms are common however many documents there are, and the plan holds them as a set of literals.
+A document
 keeps its lexicon terms, distinct and sorted; lane 0 hashes all of them, each other lane those in a random subset of
 the lexicon. Subsets keep from a quarter down to a 256th of the terms, so that short and long documents have lanes with a
 few terms. The likeness of two fingerprints is the share of lanes with equal hashes among those that hold a term.
+Near copies are found by the least hash of three terms that follow each other: of the documents that share it one is
+counted; this is done for ROUNDS hashes in turn.
 
-Defined cases: a null text is empty. A text without lexicon terms gets lanes from the hash of its lower-cased text.
+Defined cases: a null text is empty. A text of fewer than FEW lexicon terms keeps its common terms, too. A text without
+terms gets lanes from the hash of its lower-cased text.
 Rows that share a doc_id follow each other by text, largest first; a null doc_id comes last in descending order.
 """
 
@@ -16,10 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, saved
+from .common import documents, saved, small
 
-#: Shares of all documents between which a lexicon term's document frequency lies (at least 2 documents).
-LEAST, MOST = 1 / 50, 1 / 20
+#: Share of the documents above which a term is common (at least 2 documents); lexicon terms a text has without its common ones.
+MOST, FEW = 1 / 20, 4
+#: Hashes by which near copies are left out of the counts.
+ROUNDS = 3
 #: Lane 0 has the whole lexicon; for each of these, PER_LEVEL lanes have subsets that halve it so often at random. At most 64 bits a level.
 LEVELS, PER_LEVEL = range(2, 9), 8
 DIGITS, NONE = 4, "...."
@@ -32,12 +38,29 @@ def terms_of(text: Column) -> Column:
     return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
 
 
-def lexicon(docs: DataFrame, least: float = LEAST, most: float = MOST) -> list[str]:
-    """Terms of the band; at most (mean number of distinct terms of a document) / least of them."""
-    n = docs.count()
-    counted = docs.select(F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    counted = counted.where(F.col("df").between(max(2.0, least * n), max(2.0, most * n)) & (F.col("term") != ""))
-    return sorted(r.term for r in counted.select("term").collect())
+def _once(value: Column, f) -> Column:
+    """f(value), value being computed once as a lambda's argument."""
+    return F.transform(F.array(value), f)[0]
+
+
+def counted_once(docs: DataFrame) -> DataFrame:
+    """text of one document of each group of copies and near copies; rows alike in doc_id and text stay together."""
+    shingles = lambda t: F.transform(t, lambda x, i: F.xxhash64(x, F.get(t, i + 1), F.get(t, i + 2)))
+    least = lambda s: F.array(*(F.array_min(F.transform(s, lambda x, k=k: F.xxhash64(F.lit(k), x))) for k in range(ROUNDS)))
+    hashed = docs.select("text", F.xxhash64("text").alias("h"), F.coalesce("doc_id", F.lit(-1)).alias("id"))
+    first = hashed.select("h", "id", _once(terms_of(F.col("text")), lambda t: _once(shingles(t), least)).alias("keys"))
+    for k in range(ROUNDS):
+        first = first.groupBy(F.col("keys")[k]).agg(F.min(F.struct("h", "id", "keys")).alias("f")).select("f.*")
+    return hashed.join(small(saved(first.select("h", "id"))), ["h", "id"], "left_semi").select("text")
+
+
+def common_terms(docs: DataFrame, most: float = MOST) -> list[str]:
+    """Terms in more than a share of the documents; at most (mean number of distinct terms of a document) / most of them."""
+    pairs = counted_once(docs).select(F.explode(F.array_append(F.array_distinct(terms_of(F.col("text"))), F.lit("\n"))).alias("term"))
+    counted = saved(pairs.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    # Each document has the mark "\n" beside its terms, so that they are counted in the same pass.
+    n = counted.where("term = '\\n'").agg(F.max("df")).first()[0] or 0
+    return sorted(r.term for r in counted.where((F.col("df") > max(2.0, most * n)) & ~F.col("term").isin("", "\n")).select("term").collect())
 
 
 def _hashes(terms: Column, seed: int) -> Column:
@@ -49,11 +72,11 @@ def _subset(hashes: Column, dice: Column, level: int, i: int) -> Column:
     return F.zip_with(hashes, dice, lambda x, y: F.when(F.shiftrightunsigned(y, i * level).bitwiseAND((1 << level) - 1) == 0, x))
 
 
-def lanes_of(text: Column, words: list[str]) -> Column:
+def lanes_of(text: Column, common: list[str]) -> Column:
     """16-bit hashes, null where a lane holds no term."""
     part = lambda h: h.bitwiseAND((1 << 4 * DIGITS) - 1).cast("int")
-    own = F.array_sort(F.array_distinct(F.filter(terms_of(text), lambda t: t.isin(words) if words else F.lit(False))))
-    once = lambda value, f: F.transform(F.array(value), f)[0]  # noqa: E731  a lambda's argument is computed once
+    every = F.array_sort(F.array_remove(F.array_distinct(terms_of(text)), ""))
+    own = lambda t: _once(F.filter(t, lambda x: ~x.isin(common) if common else F.lit(True)), lambda rare: F.when(F.size(rare) < FEW, t).otherwise(rare))
 
     def lanes(t: Column) -> Column:
         hashes = F.struct(F.transform(t, lambda x: F.xxhash64(x)).alias("all"), *(_hashes(t, level).alias(f"l{level}") for level in LEVELS))
@@ -66,9 +89,9 @@ def lanes_of(text: Column, words: list[str]) -> Column:
             return F.transform(F.concat(*out), lambda x: F.when(x != F.xxhash64(F.array().cast("array<bigint>")), part(x)))
 
         without = F.transform(F.sequence(F.lit(0), F.lit(len(LEVELS) * PER_LEVEL)), lambda k: part(F.xxhash64(k, F.lower(text))))
-        return F.when(F.size(t) == 0, without).otherwise(once(hashes, levels))
+        return F.when(F.size(t) == 0, without).otherwise(_once(hashes, levels))
 
-    return once(own, lanes)
+    return _once(_once(every, own), lanes)
 
 
 def fingerprint(lanes: Column) -> Column:
@@ -111,11 +134,11 @@ def followed(docs: DataFrame) -> DataFrame:
 
 def op6_imatch(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    words = lexicon(docs)
+    common = common_terms(docs)
     rows = followed(docs)
     third = F.floor(F.length("text") / 3).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - third), F.substring("next_text", F.lit(1), third)))
-    prints = saved(rows.select("stretch", "at", "next_stretch", "next_at", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), lanes_of(F.col("text"), words).alias("own"), lanes_of(F.col("edited"), words).alias("edited")))
+    prints = saved(rows.select("stretch", "at", "next_stretch", "next_at", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), lanes_of(F.col("text"), common).alias("own"), lanes_of(F.col("edited"), common).alias("edited")))
     after = prints.select(F.col("stretch").alias("next_stretch"), F.col("at").alias("next_at"), F.col("own").alias("next"))
     out = prints.join(after, ["next_stretch", "next_at"])
     near = lambda other: likeness(F.col("own"), F.col(other))

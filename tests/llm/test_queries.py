@@ -199,3 +199,30 @@ def test_mixing_whole_sources(spark):
     out = mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).collect()
     assert all(abs(r.t - r.g) <= 1 for r in out)
     assert imatch.DIGITS == 4
+
+
+def test_imatch_keeps_terms_of_large_groups_and_rare_languages(spark):
+    import random
+
+    rng = random.Random(3)
+    words = lambda tag, of, n: [f"{tag}{rng.randrange(of)}" for _ in range(n)]
+    base = words("base", 10**6, 120)
+    docs = []
+    for i in range(600):
+        if i < 200:  # a third of the rows are near copies of one text
+            t = list(base)
+            for _ in range(2):
+                t[rng.randrange(120)] = f"edit{rng.randrange(10**6)}"
+        elif i < 206:  # a language in one percent of the rows: three pairs of near copies
+            t = words("rare", 400, 120) if i % 2 == 0 else [*docs[-1][1].split()[:-1], "anders"]
+        else:
+            t = words("of", 30, 60) + words("plain", 3000, 60)
+        docs.append((i, " ".join(t)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    common = imatch.common_terms(df.unionByName(df.where("doc_id = 205").drop("doc_id").join(spark.range(1000, 1200).toDF("doc_id"), how="cross").select("doc_id", "text")))
+    assert set(common) == {f"of{i}" for i in range(30)}
+    lanes = df.select("doc_id", imatch.lanes_of(F.col("text"), common).alias("l")).where("doc_id < 210")
+    pairs = lanes.alias("a").join(lanes.alias("b"), F.expr("b.doc_id = a.doc_id + 1")).select(F.col("a.doc_id").alias("i"), imatch.likeness(F.col("a.l"), F.col("b.l")).alias("x"))
+    near = {r.i: r.x for r in pairs.collect()}
+    assert sum(near[i] for i in range(199)) / 199 > 0.3
+    assert all(near[i] > 0.5 for i in (200, 202, 204)) and all(near[i] < 0.2 for i in (199, 201, 203, 205, 206, 207, 208))
