@@ -7,6 +7,8 @@ Among the sets that share a part, bit counts of hashed bitmaps bound the overlap
 admitted pairs goes on, never the pairs. Its components are families, which hold all similar pairs. A family's sets,
 ordered by size, are cut into blocks of a bounded number of shingles; each two blocks whose sizes are compatible make a
 tile. In a tile wider bitmaps admit pairs that are not connected yet, and the sorted sets are intersected exactly.
+Where links are counted, the tile intersects all its pairs of different sets exactly (tile_counts) and yields a sum for
+each set, never the pairs; each pair belongs to one tile.
 
 Defined cases: no text or no words: an empty set, linked with nothing. Fewer words than a shingle has: the whole
 sequence is the one shingle. Rows that share a doc_id are one document. A null doc_id: component_id null.
@@ -158,6 +160,45 @@ def tile_links(sets: list[np.ndarray], num: int, den: int, own: np.ndarray | Non
     return forest.edges
 
 
+def tile_counts(sets: list[np.ndarray], num: int, den: int, own: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Similar rows (ordered by size) of each row, and edges that connect the components; exact, over all pairs.
+
+    Shingles of many sets are bits of a matrix whose common bits are counted; those of few sets have lists of their sets.
+    """
+    forest, n = Forest(len(sets)), np.array([len(s) for s in sets])
+    row = np.repeat(np.arange(len(sets), dtype=np.int32), n)
+    held, shingle = np.unique(np.concatenate(sets), return_inverse=True)
+    df = np.bincount(shingle, minlength=len(held))
+    many = df * 16 > len(sets)
+    column = np.cumsum(many) - 1
+    words = int(many.sum()) // 64 + 1
+    bits, start = np.zeros((len(sets), words), np.uint64), np.concatenate([[0], np.cumsum(df)])
+    lists = row[np.argsort(shingle, kind="stable")]
+    at, ends = many[shingle], np.concatenate([[0], np.cumsum(n)])
+    np.bitwise_or.at(bits, (row[at], column[shingle[at]] // 64), np.uint64(1) << (column[shingle[at]] % 64).astype(np.uint64))
+    links = np.zeros(len(sets), np.int64)
+    for x in range(len(n) - 1):
+        end = int(np.searchsorted(n, int(n[x]) * den // num, side="right"))
+        if end <= x + 1:
+            continue
+        both = np.concatenate([np.bitwise_count(bits[i : min(end, i + (1 << 20) // words + 1)] & bits[x]).sum(axis=1, dtype=np.int64) for i in range(x + 1, end, (1 << 20) // words + 1)])
+        few = shingle[ends[x] : ends[x + 1]]
+        few = few[~many[few] & (df[few] > 1)]
+        if len(few):
+            size = df[few]
+            z = lists[np.repeat(start[few] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+            both += np.bincount(z[(z > x) & (z < end)] - (x + 1), minlength=end - x - 1)
+        ok = both * den >= (n[x] + n[x + 1 : end] - both) * num
+        if own is not None:
+            ok &= own[x + 1 : end] != own[x]
+        y = x + 1 + np.flatnonzero(ok)
+        links[x] += len(y)
+        links[y] += 1
+        while len(y := y[forest.of[y] != forest.of[x]]):
+            forest.join(x, int(y[0]))
+    return links, forest.edges
+
+
 def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     """Exact intersection of two sorted arrays."""
     if not len(a) or not len(b) or min(len(a), len(b)) * den < max(len(a), len(b)) * num:
@@ -199,24 +240,28 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _grouped(rows: DataFrame, by: list[str], columns: list[str], find) -> DataFrame:
-    """Edges (a, b) that find(list of rows) yields for each group of rows, which stand together in a partition."""
+    """(a, b, digest, n) that find(list of rows) yields for each group of rows, which stand together in a partition."""
 
     def run(batches):
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        out = lambda edges: pa.RecordBatch.from_arrays([pa.array([min(e) for e in edges], pa.int64()), pa.array([max(e) for e in edges], pa.int64())], schema=schema)
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("digest", pa.binary()), ("n", pa.int64())])
+        out = lambda found: pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate(schema.types)], schema=schema)
         group: list[tuple] = []
         for batch in batches:
-            edges: set[tuple[int, int]] = set()
+            found: list[tuple] = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if group and group[0][: len(by)] != row[: len(by)]:
-                    edges.update(find(group))
+                    found.extend(find(group))
                     group = []
                 group.append(row)
-            yield out(edges)
+            yield out(found)
         if group:
-            yield out(set(find(group)))
+            yield out(list(find(group)))
+
+    return rows.select(*by, *columns).mapInArrow(run, "a long, b long, digest binary, n long")
 
-    return rows.select(*by, *columns).mapInArrow(run, "a long, b long").where("a <> b").distinct()
+
+def _edges(found: DataFrame) -> DataFrame:
+    return found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _families(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -239,49 +284,66 @@ def _families(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> D
     def find(group: list[tuple]):
         own = np.array([g[3] for g in group])
         for x, y in group_forest(np.array([g[5] for g in group], np.int64), [g[6] for g in group], num, den, own if group[0][1] != group[0][2] else None):
-            yield group[x][4], group[y][4]
+            yield group[x][4], group[y][4], None, None
+
+    return components(_edges(_grouped(rows, ["sig", "i", "j"], ["own", "doc_id", "n", "bits"], find)))
 
-    return components(_grouped(rows, ["sig", "i", "j"], ["own", "doc_id", "n", "bits"], find))
 
+def _links(docs: DataFrame, reps: DataFrame, families: DataFrame, k: int, num: int, den: int, count: bool) -> DataFrame:
+    """Edges (a, b) of similar sets that connect what is connected by similar sets.
 
-def _links(docs: DataFrame, reps: DataFrame, families: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Edges (a, b) of similar sets that connect what is connected by similar sets."""
+    count: also (a, null, digest, n) with a tile's number of links of a representative (doc_id a, digest).
+    """
     families = saved(families.select(F.col("component").alias("family"), F.col("node").alias("doc_id")))
-    rows = families.join(reps.groupBy("doc_id").agg(F.max("n").alias("n"), F.min("n").alias("least")), "doc_id")
+    rows = families.join(reps.groupBy("doc_id").agg(F.max("n").alias("n"), F.min("n").alias("least"), F.collect_set("digest").alias("digests")), "doc_id")
     rows = rows.withColumn("block", F.floor(F.sum("n").over(Window.partitionBy("family").orderBy("n", "doc_id")) / SIDE).cast("int"))
     rows = saved(rows)
     blocks = rows.groupBy("family", "block").agg(F.min("least").alias("low"), F.max("n").alias("high"))
     left, right = (blocks.select("family", *(F.col(c).alias(f"{c}_{s}") for c in ("block", "low", "high"))) for s in "ij")
     tiles = left.join(right, "family").where(f"block_i <= block_j and low_j * {num} <= high_i * {den}").select("family", F.col("block_i").alias("i"), F.col("block_j").alias("j"))
-    members = rows.select("family", "block", "doc_id")
+    members = rows.select("family", "block", "doc_id", "digests")
     placed = saved(members.join(tiles.select("family", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"), "i", "j"), ["family", "block"]))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).join(small(families.select("doc_id").distinct()), "doc_id")
     dealt = placed.join(texts, "doc_id").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "doc_id")
 
     def find(group: list[tuple]):
-        sets = [(len(s := shingles(g[5], k)), g[3], g[4], s) for g in group]
+        sets = [(len(s := shingles(g[5], k)), g[3], g[4], s, hashlib.blake2b(s.tobytes(), digest_size=16).digest() if count else b"", g[6]) for g in group]
         sets = sorted((x for x in sets if x[0]), key=lambda x: x[:3])
+        if count:  # each representative once, and no other text of its document
+            sets = list({(x[2], x[4]): x for x in sets if x[4] in x[5]}.values())
         if len(sets) > 1:
-            own = np.array([x[1] for x in sets])
-            for x, y in tile_links([s[3] for s in sets], num, den, own if group[0][1] != group[0][2] else None):
-                yield sets[x][2], sets[y][2]
+            own = np.array([x[1] for x in sets]) if group[0][1] != group[0][2] else None
+            if count:
+                links, edges = tile_counts([s[3] for s in sets], num, den, own)
+                yield from ((s[2], None, s[4], int(n)) for s, n in zip(sets, links, strict=True) if n)
+            else:
+                edges = tile_links([s[3] for s in sets], num, den, own)
+            yield from ((sets[x][2], sets[y][2], None, None) for x, y in edges)
+
+    return _grouped(dealt, ["family", "i", "j"], ["block", "doc_id", "text", "digests"], find)
 
-    return _grouped(dealt, ["family", "i", "j"], ["block", "doc_id", "text"], find)
 
+def near_duplicates(docs: DataFrame, k: int = 5, similarity: str = "0.8", count: bool = False) -> DataFrame:
+    """doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id for each row of docs.
 
-def near_duplicates(docs: DataFrame, k: int = 5, similarity: str = "0.8") -> DataFrame:
-    """doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id for each row of docs."""
+    count: also n_links, the number of other sets (classes) that are similar to the row's own.
+    """
     num, den = Fraction(similarity).as_integer_ratio()
     rows = saved(features(docs, k))
     classes = rows.where("doc_id is not null and n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("class_id"))
     named = saved(rows.drop("bits").join(classes, ["digest", "n"], "left").withColumn("class_id", F.coalesce("class_id", "doc_id")))
     reps = saved(rows.join(named.where("doc_id = class_id and n > 0").select("doc_id", "digest").distinct(), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]))
-    links = _links(docs, reps, _families(docs, reps, k, num, den), k, num, den)
-    several = named.where("n > 0").groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).where("a <> b").select("a", "b")
-    found = components(links.unionByName(several))
+    links = _links(docs, reps, _families(docs, reps, k, num, den), k, num, den, count)
+    links = saved(links) if count else links
+    several = named.where("n > 0").groupBy("doc_id").agg(F.min("class_id").alias("a"), F.collect_set("class_id").alias("b")).where("size(b) > 1").select("a", F.explode("b").alias("b")).where("a <> b")
+    found = components(_edges(links).unionByName(several))
+    if count:
+        sums = saved(links.where("b is null").groupBy("digest").agg(F.sum("n").alias("n_links")))
+        named = named.join(small(sums), "digest", "left")
     named = named.join(found.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
-    return named.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    counts = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count else []
+    return named.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"), *counts)
 
 
 def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir), 4, "0.85")
+    return near_duplicates(documents(spark, sf_dir), 4, "0.85", count=True)

@@ -226,3 +226,29 @@ def test_imatch_keeps_terms_of_large_groups_and_rare_languages(spark):
     near = {r.i: r.x for r in pairs.collect()}
     assert sum(near[i] for i in range(199)) / 199 > 0.3
     assert all(near[i] > 0.5 for i in (200, 202, 204)) and all(near[i] < 0.2 for i in (199, 201, 203, 205, 206, 207, 208))
+
+
+def test_jaccard_counts_links(spark, monkeypatch):
+    """The links of each document against brute force: a dense group, a chain, copies, one block and many."""
+    import random
+
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(120):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 6])):
+            words[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    texts += [" ".join(f"c{i}" for i in range(a, a + 100)) for a in range(0, 40, 5)]  # A~B~C, not A~C
+    texts += texts[3:9] + ["", "alone here"]
+    sets = [jaccard.shingles(t, 4) for t in texts]
+    every = {s.tobytes(): s for s in sets}
+    want = [sum(jaccard.similar(s, o, 17, 20) for key, o in every.items() if key != s.tobytes()) for s in sets]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for side in (jaccard.SIDE, 1500):
+        monkeypatch.setattr(jaccard, "SIDE", side)
+        got = {r.doc_id: r for r in jaccard.near_duplicates(docs, 4, "0.85", count=True).collect()}
+        assert [got[i].n_links for i in range(len(texts))] == want
+        thin = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs, 4, "0.85").collect()}
+        assert thin == {i: r.component_id for i, r in got.items()}
