@@ -689,3 +689,39 @@ def l15_coverage(spark, sf):
     labels = _t(spark, sf, "labels").select("doc_id", F.lit(True).alias("indexed")).distinct()
     files_ = _t(spark, sf, "documents").select("doc_id", text.word_count(F.col("text")).alias("words")).join(labels, "doc_id", "left")
     return reports.coverage(files_).withColumn("percent", F.round("percent", 6))
+
+
+# --- whole texts: the queries over made-up short inputs above, over all lines and characters
+
+_LINE = _LEGAL.replace("doc_id % 10", "(doc_id + pos) % 10").replace("replace(substr(text, 1, 40), chr(10), ' ')", "line")
+_ALL_LINES = f"a AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents), l AS (SELECT doc_id, pos, regexp_replace({_LINE}, '^\\s+|\\s+$', '', 'g') AS x FROM a)"
+
+
+def _every_line(name: str) -> str:
+    """The SQL of a query over one line of a document, over each line of its whole text."""
+    return SQL[name].replace(_LINES, "{lines}").replace("SELECT doc_id,", "SELECT doc_id, pos,").replace("{lines}", _ALL_LINES)
+
+
+def _legal_lines(spark, sf) -> DataFrame:
+    return structure.lines(_t(spark, sf, "documents")).select("doc_id", F.col("pos").cast("long").alias("pos"), text.strip(F.expr(_LINE)).alias("x"))
+
+
+@query(_every_line("e3_legal_lines"))
+def e3_whole_legal_lines(spark, sf):
+    x = F.col("x")
+    return _legal_lines(spark, sf).select("doc_id", "pos", F.coalesce(legal.heading_level(x), F.lit(0)).alias("level"), F.md5(legal.to_markdown_line(x).cast("binary")).alias("markdown_md5"))
+
+
+@query(_every_line("e4_article_starts"))
+def e4_whole_article_starts(spark, sf):
+    head, rest = legal.article_head(F.col("x"))
+    return _legal_lines(spark, sf).select("doc_id", "pos", legal.is_article_start(F.col("x")).alias("is_start"), F.md5(head.cast("binary")).alias("head_md5"), F.md5(rest.cast("binary")).alias("rest_md5"))
+
+
+@query(_every_line("a9_segmented_sections"))
+def a9_whole_segmented_sections(spark, sf):
+    """A page of one segment for each line."""
+    html = F.concat(F.lit('<app-root><div class="segmento">'), F.regexp_replace("x", "[<&]", ""), F.lit("</div></app-root>"))
+    out = laws.segmented_sections(_legal_lines(spark, sf).select(F.concat_ws(":", "doc_id", "pos").alias("id"), html.alias("html")), "id")
+    key = F.split("id", ":")
+    return out.select(key[0].cast("long").alias("doc_id"), key[1].cast("long").alias("pos"), "level", "title", F.md5(F.col("content").cast("binary")).alias("content_md5"))

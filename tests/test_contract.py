@@ -34,3 +34,10 @@ def test_streaming_ingest(spark, tmp_path):
     for _ in range(2):
         ingest(stream_documents(spark, src), out, str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(out).count() == 1
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+@pytest.mark.parametrize("name", ["e3_whole_legal_lines", "e4_whole_article_starts", "a9_whole_segmented_sections"])
+def test_every_line_is_processed(spark, name):
+    lines = sum(r.text.count("\n") + 1 for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect())
+    assert entry.queries()[name](spark, SF).count() == lines
