@@ -725,3 +725,14 @@ def a9_whole_segmented_sections(spark, sf):
     out = laws.segmented_sections(_legal_lines(spark, sf).select(F.concat_ws(":", "doc_id", "pos").alias("id"), html.alias("html")), "id")
     key = F.split("id", ":")
     return out.select(key[0].cast("long").alias("doc_id"), key[1].cast("long").alias("pos"), "level", "title", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+#: The made-up openings before whole texts.
+_WHOLE_REPLY = _REPLY.replace("substr(text, 1, CAST(doc_id % 40 * 60 AS INTEGER))", "text")
+
+
+@query(SQL["j8_parsed_answers"].replace(_REPLY, _WHOLE_REPLY))
+def j8_whole_parsed_answers(spark, sf):
+    found = replies.parsed(F.expr(_WHOLE_REPLY))
+    n = lambda c: F.size(found[c]).cast("long")
+    return _t(spark, sf, "documents").select("doc_id", n("citations").alias("n_citations"), F.round(found["confidence"], 6).alias("confidence"), found["has_answer"].alias("has_answer"), found["needs_clarification"].alias("needs_clarification"), n("warnings").alias("n_warnings"))

@@ -41,3 +41,10 @@ def test_streaming_ingest(spark, tmp_path):
 def test_every_line_is_processed(spark, name):
     lines = sum(r.text.count("\n") + 1 for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect())
     assert entry.queries()[name](spark, SF).count() == lines
+
+
+def test_whole_answers_are_parsed(spark, tmp_path):
+    texts = [(40, "x " * 2000 + "Art. 9 e R$ 3"), (1, "x " * 2000 + "artigo 8")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in entry.queries()["j8_whole_parsed_answers"](spark, str(tmp_path)).collect()}
+    assert (got[40].n_citations, got[1].n_citations) == (2, 1)
