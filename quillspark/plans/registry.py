@@ -736,3 +736,26 @@ def j8_whole_parsed_answers(spark, sf):
     found = replies.parsed(F.expr(_WHOLE_REPLY))
     n = lambda c: F.size(found[c]).cast("long")
     return _t(spark, sf, "documents").select("doc_id", n("citations").alias("n_citations"), F.round(found["confidence"], 6).alias("confidence"), found["has_answer"].alias("has_answer"), found["needs_clarification"].alias("needs_clarification"), n("warnings").alias("n_warnings"))
+
+
+@query(f"""
+WITH {_BM25}, {_OVERLAP},
+weights AS (SELECT * FROM (VALUES ('hybrid_0.7', 0.7::DOUBLE), ('hybrid_0.5', 0.5::DOUBLE)) v(method, alpha)),
+fetched AS (SELECT query_id, id, a.rank AS dense_rank, z.rank AS sparse_rank FROM (SELECT * FROM e WHERE rank <= 20) a FULL JOIN (SELECT * FROM b WHERE rank <= 20) z USING (query_id, id)),
+fused AS (SELECT method, query_id, id, round(coalesce(alpha / (60 + dense_rank), 0) + coalesce((1 - alpha) / (60 + sparse_rank), 0), 12) AS score FROM fetched CROSS JOIN weights),
+r AS (SELECT 'dense' AS method, query_id, id, rank FROM e UNION ALL SELECT 'bm25', query_id, id, rank FROM b UNION ALL SELECT method, query_id, id, row_number() OVER (PARTITION BY method, query_id ORDER BY score DESC, id) FROM fused),
+k AS (SELECT * FROM (VALUES (3), (5), (10)) v(k)),
+n AS (SELECT method || '_k' || k AS config, query_id, count(*) AS n, md5(string_agg(id, ',' ORDER BY rank)) AS ids_md5 FROM r JOIN k ON rank <= k GROUP BY method, k, query_id),
+every AS (SELECT m || '_k' || k AS config, item_id AS query_id FROM (VALUES ('dense'), ('bm25'), ('hybrid_0.7'), ('hybrid_0.5')) v(m), k, benchmark UNION ALL SELECT 'baseline', item_id FROM benchmark)
+SELECT config, query_id, CAST(coalesce(n, 0) AS INTEGER) AS n_chunks, ids_md5 FROM every LEFT JOIN n USING (config, query_id)
+""")
+def l22_whole_experiment_runs(spark, sf):
+    """The whole grid over the benchmark's questions; hybrids fuse what is fetched for the largest k."""
+    index, asked, fetched = _index(spark, sf), _questions(spark, sf), retrieval.fetch_k(10)
+    dense, sparse = _overlap(spark, sf, index, fetched), index.search(asked, fetched)
+    part = lambda df, m, alpha=None: df.select(F.lit(m).alias("method"), F.lit(alpha).cast("double").alias("alpha"), "query_id", "id", "rank")
+    rankings = part(dense, "dense").unionByName(part(sparse, "bm25"))
+    for alpha in (0.7, 0.5):
+        rankings = rankings.unionByName(part(retrieval.fuse_rrf(dense, sparse, 10, alpha), "hybrid", alpha))
+    out = experiments.run(experiments.grid(spark), asked, rankings)
+    return out.select("config", "query_id", "n_chunks", F.md5(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")).alias("ids_md5"))

@@ -48,3 +48,10 @@ def test_whole_answers_are_parsed(spark, tmp_path):
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r for r in entry.queries()["j8_whole_parsed_answers"](spark, str(tmp_path)).collect()}
     assert (got[40].n_citations, got[1].n_citations) == (2, 1)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_hybrids_are_run(spark):
+    rows = entry.queries()["l22_whole_experiment_runs"](spark, SF).collect()
+    found = {r.config for r in rows if r.n_chunks}
+    assert len({r.config for r in rows}) == 13 and {f"hybrid_{a}_k{k}" for a in (0.7, 0.5) for k in (3, 5, 10)} <= found
