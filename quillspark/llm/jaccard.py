@@ -3,16 +3,20 @@
 Method. Sets of equal content collapse into one representative. A set of n shingles is dealt by hash into the
 P parts of its size band, with P above the largest symmetric difference that a similar pair of the band can have;
 so a similar pair has a part in which both hold the same shingles (pigeonhole), however frequent single shingles are.
+A set whose shingles fall into so few parts that this might fail is dealt by a next hash, too (TURNS of them).
 Among the sets that share a part, bit counts of hashed bitmaps bound the overlap from above; a spanning forest of the
-admitted pairs goes on, never the pairs. Its components are families, which hold all similar pairs. A family's sets,
-ordered by size, are cut into blocks of a bounded number of shingles; each two blocks whose sizes are compatible make a
-tile. In a tile wider bitmaps admit pairs that are not connected yet, and the sorted sets are intersected exactly.
-Where links are counted, the tile intersects all its pairs of different sets exactly (tile_counts) and yields a sum for
-each set, never the pairs; each pair belongs to one tile.
+admitted pairs goes on, never the pairs; where more than GROUP sets share a part, all of them go on as a star. Their
+components are families, which hold all similar pairs. A family's sets, ordered by size, are cut into blocks of a bounded
+number of shingles; each two blocks whose sizes are compatible make a tile. In a tile wider bitmaps admit pairs that are
+not connected yet, and the sorted sets are intersected exactly.
+Components need only the tiles of a family's first block and of each block with itself, and of the others the rows that
+are in several components after those. Where links are counted, all tiles intersect all their pairs of different sets
+exactly (tile_counts) and yield a sum for each set, never the pairs; each pair belongs to one tile.
 
 Defined cases: no text or no words: an empty set, linked with nothing. Fewer words than a shingle has: the whole
-sequence is the one shingle. Rows that share a doc_id are one document. A null doc_id: component_id null.
-Extra columns are ignored. An empty table gives an empty result.
+sequence is the one shingle. Rows that share a doc_id are one document. A null doc_id: class_id and component_id null, no
+link. Extra columns are ignored. An empty table gives an empty result. Very long texts are sets like others; one that has
+more shingles than a block is a block.
 """
 
 from __future__ import annotations
@@ -26,10 +30,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, map_text, saved, small
+from .common import documents, looked_up, map_text, ranked, saved, small
 
-#: Ratio of neighbouring size bands, rows of a group that a task compares with each other, shingles of a tile's side.
-BAND, GROUP, SIDE = 0.62, 16384, 2_000_000
+#: Ratio of neighbouring size bands, sets of a group that a task compares with each other, shingles of a tile's side, hashes that deal a set into parts.
+BAND, GROUP, SIDE, TURNS = 0.62, 16384, 2_000_000, 8
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -63,19 +67,28 @@ def bands(top: int, num: int, den: int) -> list[tuple[int, int, int]]:
 
 
 def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """A hash for each part of the band of a set's own size, and of the bands in which it can be the larger set."""
+    """A hash for each part of the band of a set's own size, and of the bands in which it can be the larger set.
+
+    If a similar pair agrees in no part that holds a shingle, each part that holds one differs, so both sets are in at
+    most as many parts as the pair can differ in shingles. Such sets are dealt by the next hash, too; after the last one
+    they share a constant.
+    """
     n, out = len(s), []
     for b, (low, high, parts) in enumerate(bands(n, num, den)):
         if not parts or high * den // num < n:
             continue
         differ = (high + high * den // num) * (den - num) // (den + num)
-        part = ((_mix(s + np.uint64(b)) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        order = np.argsort(part, kind="stable")
-        first = np.flatnonzero(np.diff(part[order], prepend=np.uint64(1 << 40)))
-        total = np.add.reduceat(_mix(s[order] ^ np.uint64(0x5851F42D4C957F2D)), first)
-        out.append(_mix(total ^ _mix(part[order][first] * np.uint64(0x2545F4914F6CDD1D) + np.uint64(b + 1))))
-        if parts - len(first) >= parts - differ:  # so many empty parts that all equal ones may be empty
-            out.append(_mix(np.array([b + (1 << 20)], np.uint64)))
+        for turn in range(TURNS):
+            tag = b + (turn << 16)
+            part = ((_mix(s + np.uint64(tag)) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            order = np.argsort(part, kind="stable")
+            first = np.flatnonzero(np.diff(part[order], prepend=np.uint64(1 << 40)))
+            total = np.add.reduceat(_mix(s[order] ^ np.uint64(0x5851F42D4C957F2D)), first)
+            out.append(_mix(total ^ _mix(part[order][first] * np.uint64(0x2545F4914F6CDD1D) + np.uint64(tag + 1))))
+            if len(first) > differ:
+                break
+        else:
+            out.append(_mix(np.array([b + (1 << 40)], np.uint64)))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
@@ -115,8 +128,8 @@ class Forest:
             self.members[y] = []
 
 
-def group_forest(n: np.ndarray, bits: list[bytes], num: int, den: int, own: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Edges that connect the rows (ordered by n) of each component of the admitted pairs. own: only rows of different blocks pair."""
+def group_forest(n: np.ndarray, bits: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
+    """Edges that connect the rows (ordered by n) of each component of the admitted pairs."""
     forest, folded, words = Forest(len(n)), {}, np.array([len(x) // 8 for x in bits])
 
     def at(w: int) -> np.ndarray:
@@ -127,8 +140,6 @@ def group_forest(n: np.ndarray, bits: list[bytes], num: int, den: int, own: np.n
     for x in range(len(n) - 1):
         end = int(np.searchsorted(n, int(n[x]) * den // num, side="right"))
         y = x + 1 + np.flatnonzero(forest.of[x + 1 : end] != forest.of[x])
-        if own is not None:
-            y = y[own[y] != own[x]]
         while len(y):
             part, y = y[:512], y[512:]
             first = int(np.searchsorted(words, words[x]))
@@ -211,15 +222,33 @@ def _longs(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def features(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, digest of the set and bitmap of every row."""
+    """doc_id, n and digest of the set of every row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t, k) for t in batch.column("text").to_pylist()]
-        digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array([bitmap(s) if len(s) else b"" for s in sets], pa.binary())], names=["doc_id", "n", "digest", "bits"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary())], names=["doc_id", "n", "digest"])
+
+    return map_text(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n long, digest binary")
 
-    return map_text(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n long, digest binary, bits binary")
+
+def representatives(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """doc_id, digest, n, bitmap and set (sorted hashes) of the document that stands for each class."""
+    wanted = classes.select(F.col("class_id").alias("doc_id"), "digest")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).join(small(wanted), "doc_id")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingles(t, k) for t in batch.column("text").to_pylist()]
+        at = [i for i, (s, d) in enumerate(zip(sets, batch.column("digest").to_pylist(), strict=True)) if _digest(s) == d]
+        sets = [sets[i] for i in at]
+        own = batch.take(pa.array(at, pa.int64()))
+        return pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("digest"), pa.array([len(s) for s in sets], pa.int64()), pa.array(list(map(bitmap, sets)), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "digest", "n", "bits", "set"])
+
+    return map_text(texts.select("doc_id", "text", "digest"), run, "doc_id long, digest binary, n long, bits binary, set binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -230,11 +259,12 @@ def components(edges: DataFrame) -> DataFrame:
     while (now := state(edges)) != before:
         before = now
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("rows")))
+        large = looked_up(both.where("b > a"), low, ["a"], "rows", F.col("b")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = saved(large)
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        edges = saved(large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        low = saved(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("rows")))
+        edges = looked_up(large, low, ["a"], "rows", F.col("b")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = saved(edges.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
     out = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
     return out.unionByName(out.select(F.col("component").alias("node"), "component").distinct())
 
@@ -264,63 +294,87 @@ def _edges(found: DataFrame) -> DataFrame:
     return found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _families(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _families(reps: DataFrame, num: int, den: int) -> DataFrame:
     """(node, component): representatives that may be similar are in one component."""
-    nodes = saved(reps.select("doc_id").distinct())
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).join(small(nodes), "doc_id")
 
-    def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [signatures(shingles(t, k), num, den) for t in batch.column("text").to_pylist()]
-        at = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        return pa.RecordBatch.from_arrays([pa.array(_longs(np.concatenate(sets))), batch.column("doc_id").take(pa.array(at))], names=["sig", "doc_id"])
+    def sign(batches):
+        for batch in batches:
+            sets = [signatures(np.frombuffer(x, np.uint64), num, den) for x in batch.column("set").to_pylist()]
+            at = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            all_sets = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(_longs(all_sets)), batch.column("doc_id").take(pa.array(at))], names=["sig", "doc_id"])
 
-    rows = map_text(texts.select("doc_id", "text"), sign, "sig long, doc_id long")
-    rows = rows.withColumn("count", F.count(F.lit(1)).over(Window.partitionBy("sig"))).where("count > 1")
-    blocks = F.ceil(F.col("count") / GROUP).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
-    rows = rows.select("sig", "doc_id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id")
-    rows = rows.join(reps.select("doc_id", "n", "bits"), "doc_id").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "n", "doc_id")
+    rows = reps.select("doc_id", "set").mapInArrow(sign, "sig long, doc_id long")
+    counts = saved(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("centre")).where("rows > 1"))
+    rows = saved(looked_up(rows, counts.withColumn("many", F.col("rows") > GROUP), ["sig"], "rows", F.col("doc_id")))
+    stars = rows.where("many").select(F.col("centre").alias("a"), F.col("doc_id").alias("b"))
+    dealt = rows.where("not many").select("sig", "doc_id").join(small(saved(reps.select("doc_id", "n", "bits"))), "doc_id").repartition("sig").sortWithinPartitions("sig", "n", "doc_id")
 
     def find(group: list[tuple]):
-        own = np.array([g[3] for g in group])
-        for x, y in group_forest(np.array([g[5] for g in group], np.int64), [g[6] for g in group], num, den, own if group[0][1] != group[0][2] else None):
-            yield group[x][4], group[y][4], None, None
+        for x, y in group_forest(np.array([g[2] for g in group], np.int64), [g[3] for g in group], num, den):
+            yield group[x][1], group[y][1], None, None
 
-    return components(_edges(_grouped(rows, ["sig", "i", "j"], ["own", "doc_id", "n", "bits"], find)))
+    return components(_edges(_grouped(dealt, ["sig"], ["doc_id", "n", "bits"], find)).unionByName(stars))
 
 
-def _links(docs: DataFrame, reps: DataFrame, families: DataFrame, k: int, num: int, den: int, count: bool) -> DataFrame:
-    """Edges (a, b) of similar sets that connect what is connected by similar sets.
+def _blocks(reps: DataFrame, families: DataFrame) -> DataFrame:
+    """family, block, doc_id, digest, n: a family's sets by size, in blocks of SIDE shingles."""
+    members = families.select(F.col("component").alias("family"), F.col("node").alias("doc_id")).join(reps.select("doc_id", "digest", "n"), "doc_id")
+    members = saved(members.dropDuplicates(["doc_id", "digest"]))
+    sizes = members.groupBy("family", "n").agg(F.count(F.lit(1)).alias("rows"))
+    below = Window.partitionBy("family").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = saved(sizes.withColumn("below", F.coalesce(F.sum(F.col("n") * F.col("rows")).over(below), F.lit(0))))
+    members = ranked(members, ["family", "n"], [F.col("doc_id"), F.col("digest")], "rank", F.xxhash64("doc_id", "digest"))
+    members = looked_up(members, sizes, ["family", "n"], "rows", F.xxhash64("doc_id", "digest"))
+    return saved(members.select("family", F.floor((F.col("below") + F.col("rank") * F.col("n")) / SIDE).cast("int").alias("block"), "doc_id", "digest", "n"))
 
-    count: also (a, null, digest, n) with a tile's number of links of a representative (doc_id a, digest).
-    """
-    families = saved(families.select(F.col("component").alias("family"), F.col("node").alias("doc_id")))
-    rows = families.join(reps.groupBy("doc_id").agg(F.max("n").alias("n"), F.min("n").alias("least"), F.collect_set("digest").alias("digests")), "doc_id")
-    rows = rows.withColumn("block", F.floor(F.sum("n").over(Window.partitionBy("family").orderBy("n", "doc_id")) / SIDE).cast("int"))
-    rows = saved(rows)
-    blocks = rows.groupBy("family", "block").agg(F.min("least").alias("low"), F.max("n").alias("high"))
+
+def _tiles(blocks: DataFrame, num: int, den: int) -> DataFrame:
+    """family, i, j of each two blocks that can hold a similar pair."""
     left, right = (blocks.select("family", *(F.col(c).alias(f"{c}_{s}") for c in ("block", "low", "high"))) for s in "ij")
-    tiles = left.join(right, "family").where(f"block_i <= block_j and low_j * {num} <= high_i * {den}").select("family", F.col("block_i").alias("i"), F.col("block_j").alias("j"))
-    members = rows.select("family", "block", "doc_id", "digests")
-    placed = saved(members.join(tiles.select("family", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"), "i", "j"), ["family", "block"]))
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).join(small(families.select("doc_id").distinct()), "doc_id")
-    dealt = placed.join(texts, "doc_id").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "doc_id")
+    return left.join(right, "family").where(f"block_i <= block_j and low_j * {num} <= high_i * {den}").select("family", F.col("block_i").alias("i"), F.col("block_j").alias("j"))
+
+
+def _found(placed: DataFrame, reps: DataFrame, num: int, den: int, count: bool) -> DataFrame:
+    """What the tiles (family, i, j) yield of the sets placed (block, doc_id, digest) in them."""
+    dealt = placed.join(reps.select("doc_id", "digest", "n", "set"), ["doc_id", "digest"]).repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "n", "doc_id", "digest")
 
     def find(group: list[tuple]):
-        sets = [(len(s := shingles(g[5], k)), g[3], g[4], s, hashlib.blake2b(s.tobytes(), digest_size=16).digest() if count else b"", g[6]) for g in group]
-        sets = sorted((x for x in sets if x[0]), key=lambda x: x[:3])
-        if count:  # each representative once, and no other text of its document
-            sets = list({(x[2], x[4]): x for x in sets if x[4] in x[5]}.values())
+        sets = list({(g[4], g[5]): (g[3], g[4], g[5], np.frombuffer(g[6], np.uint64)) for g in group}.values())
         if len(sets) > 1:
-            own = np.array([x[1] for x in sets]) if group[0][1] != group[0][2] else None
+            own = np.array([x[0] for x in sets]) if group[0][1] != group[0][2] else None
             if count:
                 links, edges = tile_counts([s[3] for s in sets], num, den, own)
-                yield from ((s[2], None, s[4], int(n)) for s, n in zip(sets, links, strict=True) if n)
+                yield from ((s[1], None, s[2], int(n)) for s, n in zip(sets, links, strict=True) if n)
             else:
                 edges = tile_links([s[3] for s in sets], num, den, own)
-            yield from ((sets[x][2], sets[y][2], None, None) for x, y in edges)
+            yield from ((sets[x][1], sets[y][1], None, None) for x, y in edges)
+
+    return _grouped(dealt, ["family", "i", "j"], ["block", "doc_id", "digest", "set"], find)
 
-    return _grouped(dealt, ["family", "i", "j"], ["block", "doc_id", "text", "digests"], find)
+
+def _links(reps: DataFrame, families: DataFrame, num: int, den: int, count: bool) -> DataFrame:
+    """Edges (a, b) of similar sets that connect what is connected by similar sets.
+
+    count: also (a, null, digest, n) with a tile's number of links of a representative (doc_id a, digest).
+    """
+    rows = _blocks(reps, families)
+    tiles = saved(_tiles(rows.groupBy("family", "block").agg(F.min("n").alias("low"), F.max("n").alias("high")), num, den))
+    members = rows.select("family", "block", "doc_id", "digest")
+    place = lambda t, m: m.join(t.select("family", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"), "i", "j"), ["family", "block"])
+    if count:
+        return saved(_found(place(tiles, members), reps, num, den, True))
+    first = saved(_found(place(tiles.where("i = j or i = 0"), members), reps, num, den, False))
+    rest = tiles.where("i > 0 and i < j")
+    if rest.isEmpty():
+        return first
+    known = saved(components(_edges(first)))
+    members = saved(members.join(known.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
+    one = members.groupBy("family", "block").agg(F.min("component").alias("least"), F.max("component").alias("most")).withColumn("only", F.when(F.col("least") == F.col("most"), F.col("least")))
+    sides = [rest.select("family", F.col(own).alias("block"), F.col(other).alias("other"), "i", "j") for own, other in (("i", "j"), ("j", "i"))]
+    dealt = sides[0].unionByName(sides[1]).join(one.select("family", F.col("block").alias("other"), "only"), ["family", "other"]).join(members, ["family", "block"])
+    dealt = dealt.where("only is null or only <> component").select("family", "block", "doc_id", "digest", "i", "j")
+    return first.unionByName(saved(_found(dealt, reps, num, den, False)))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: str = "0.8", count: bool = False) -> DataFrame:
@@ -330,19 +384,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: str = "0.8", count:
     """
     num, den = Fraction(similarity).as_integer_ratio()
     rows = saved(features(docs, k))
-    classes = rows.where("doc_id is not null and n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("class_id"))
-    named = saved(rows.drop("bits").join(classes, ["digest", "n"], "left").withColumn("class_id", F.coalesce("class_id", "doc_id")))
-    reps = saved(rows.join(named.where("doc_id = class_id and n > 0").select("doc_id", "digest").distinct(), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]))
-    links = _links(docs, reps, _families(docs, reps, k, num, den), k, num, den, count)
-    links = saved(links) if count else links
-    several = named.where("n > 0").groupBy("doc_id").agg(F.min("class_id").alias("a"), F.collect_set("class_id").alias("b")).where("size(b) > 1").select("a", F.explode("b").alias("b")).where("a <> b")
-    found = components(_edges(links).unionByName(several))
+    classes = rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
+    classes = saved(classes.where("class_id is not null"))
+    reps = saved(representatives(docs, classes, k))
+    links = _links(reps, _families(reps, num, den), num, den, count)
+    edges = _edges(links)
+    full = rows.where("n > 0 and doc_id is not null")
+    several = saved(full.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("doc_id"))
+    if not several.isEmpty():  # documents of several texts
+        theirs = saved(looked_up(full.join(small(several), "doc_id"), classes, ["digest"], "copies", F.col("doc_id")))
+        edges = edges.unionByName(theirs.join(theirs.groupBy("doc_id").agg(F.min("class_id").alias("a")), "doc_id").select("a", F.col("class_id").alias("b")))
+    found = components(edges)
+    named = classes.join(found.select(F.col("node").alias("class_id"), "component"), "class_id", "left").withColumn("component_id", F.coalesce("component", "class_id")).drop("component")
     if count:
-        sums = saved(links.where("b is null").groupBy("digest").agg(F.sum("n").alias("n_links")))
-        named = named.join(small(sums), "digest", "left")
-    named = named.join(found.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
-    counts = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count else []
-    return named.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"), *counts)
+        sums = links.where("b is null").groupBy("digest").agg(F.sum("n").alias("n_links"))
+        named = named.join(sums, "digest", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
+    counts = ["n_links"] if count else []
+    named = looked_up(full, saved(named), ["digest"], "copies", F.col("doc_id")).select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id", *counts)
+    rest = rows.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"), *(F.lit(0).cast("long").alias(c) for c in counts))
+    return named.unionByName(rest)
 
 
 def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:
