@@ -2,13 +2,15 @@
 
 Method. Hashes of the lines' keys are dealt by range (the leading bits of a uniform hash) and sorted by hash, document
 and position; a running minimum streams through the sorted rows and keeps only the first document of each hash, so
-nothing is gathered per line. It runs twice: first within 16 shares of each hash by document, which splits a line that
-a third of all documents hold, then over the few first documents of those shares. What is returned are sparse bitmaps
-of the dropped lines of each document, 63 lines a word, words without drops left out; a document without a bitmap
-keeps all its lines.
+nothing is gathered per line. It runs twice: first within shares of each hash by document, as many as split a line that
+all documents hold into parts of at most PER_SHARE documents, then over the few first documents of those shares; the
+marks of the first run are written, so that lines are cut and hashed once. What is returned are compressed keep bitmaps
+of each document: 63 lines a word, a bit for each line that stays, words that keep all lines left out; a document without
+a bitmap keeps all its lines.
 
 Defined cases: a null or empty text is one empty line. Keys under min_chars code points never count. Rows with one
-doc_id are one document: repeats within it stay. A null doc_id counts as the largest. Extra columns stay.
+doc_id are one document: repeats within it stay. A null doc_id counts as the largest. Extra columns stay, whatever their
+names. A very long text is as many rows as it has lines. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,13 +18,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, free_names, saved
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SHARES = 16
+#: The least number of shares, documents of a share that may hold a line.
+SHARES, PER_SHARE = 16, 1 << 20
 #: Ranges of the hash are its leading bits.
 RANGE_BITS = 14
 WORD_BITS = 63
+FULL = (1 << WORD_BITS) - 1
 
 
 def lines_of(text: Column) -> Column:
@@ -35,50 +39,53 @@ def _row(text: Column) -> Column:
 
 
 def line_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
-    """doc_id, row (hash of the text), dropped: map of word number to the bits of its dropped lines. Documents without drops have no row."""
+    """doc_id, row (hash of the text), kept: map of word number to the bits of its lines that stay, without words that keep all. Documents that keep all have no row."""
+    shares = max(SHARES, -(-docs.count() // PER_SHARE))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row(F.col("text")).alias("row"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
     key = F.translate(F.btrim("line", F.lit(" \t\n\x0b\f\r")), UPPER, LOWER)
     order = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))
     rows = rows.withColumn("key", key).where(F.length("key") >= min_chars)
     rows = rows.select("doc_id", "row", "pos", F.xxhash64("key").alias("h"), F.xxhash64(F.lit(7), "key").alias("g"), order.alias("d"))
-    rows = rows.withColumn("range", F.shiftrightunsigned("h", 64 - RANGE_BITS)).withColumn("share", F.pmod(F.xxhash64("d"), F.lit(SHARES)))
+    rows = rows.withColumn("range", F.shiftrightunsigned("h", 64 - RANGE_BITS)).withColumn("share", F.pmod(F.xxhash64("d"), F.lit(shares)))
 
     def streamed(df: DataFrame, *by: str) -> DataFrame:
         w = Window.partitionBy(*by, "h", "g").orderBy("d", "pos").rowsBetween(Window.unboundedPreceding, 0)
-        return df.repartition(*by).withColumn("first", F.min("d").over(w))
+        return df.repartition(*by).withColumn("later", F.col("d") > F.min("d").over(w))
 
-    one = streamed(rows, "range", "share")
-    two = streamed(one.where("d = first").drop("first"), "range")
-    drops = one.where("d > first").select("doc_id", "row", "pos").unionByName(two.where("d > first").select("doc_id", "row", "pos"))
+    one = saved(streamed(rows, "range", "share").select("doc_id", "row", "pos", "h", "g", "range", "later"))
+    two = streamed(one.where("not later").drop("later").withColumn("d", order), "range")
+    drops = one.where("later").select("doc_id", "row", "pos").unionByName(two.where("later").select("doc_id", "row", "pos"))
     bit = F.expr(f"shiftleft(1L, pos % {WORD_BITS})")
-    words = drops.groupBy("doc_id", "row", F.expr(f"pos div {WORD_BITS}").alias("word")).agg(F.bit_or(bit).alias("bits"))
-    return words.groupBy("doc_id", "row").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("word", "bits")))).alias("dropped"))
+    words = drops.groupBy("doc_id", "row", F.expr(f"pos div {WORD_BITS}").alias("word")).agg(F.bitwise_not(F.bit_or(bit)).bitwiseAND(F.lit(FULL)).alias("bits"))
+    return words.groupBy("doc_id", "row").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("word", "bits")))).alias("kept"))
 
 
-def _marked(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs with _lines and _words, the bitmap without gaps (null: nothing dropped)."""
-    right = bitmaps.select(F.col("doc_id").alias("_id"), F.col("row").alias("_hash"), F.col("dropped").alias("_dropped"))
-    out = docs.join(right, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (_row(F.col("text")) == F.col("_hash")), "left").withColumn("_lines", lines_of(F.col("text")))
-    words = F.transform(F.sequence(F.lit(0), F.expr(f"cast((size(_lines) - 1) div {WORD_BITS} as int)")), lambda w: F.coalesce(F.element_at("_dropped", w.cast("long")), F.lit(0).cast("long")))
-    return out.withColumn("_words", F.when(F.col("_dropped").isNotNull(), words)).drop("_id", "_hash")
+def _marked(docs: DataFrame, bitmaps: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with the lines of its texts and the bitmap without gaps (null: all lines stay), and the names of these two."""
+    doc, row, kept, lines, words = free_names(docs, "_id", "_row", "_kept", "_lines", "_words")
+    right = bitmaps.select(F.col("doc_id").alias(doc), F.col("row").alias(row), F.col("kept").alias(kept))
+    out = docs.join(right, docs["doc_id"].cast("long").eqNullSafe(F.col(doc)) & (_row(docs["text"]) == F.col(row)), "left").withColumn(lines, lines_of(F.col("text")))
+    every = F.transform(F.sequence(F.lit(0), F.expr(f"cast((size({lines}) - 1) div {WORD_BITS} as int)")), lambda w: F.coalesce(F.element_at(kept, w.cast("long")), F.lit(FULL)))
+    return out.withColumn(words, F.when(F.col(kept).isNotNull(), every)).drop(doc, row, kept), lines, words
 
 
-#: The text without its dropped lines.
-_KEPT = f"if(_words is null, coalesce(text, ''), array_join(filter(_lines, (x, i) -> (shiftright(element_at(_words, cast(i div {WORD_BITS} as int) + 1), i % {WORD_BITS}) & 1L) = 0), '\\n'))"
+def _kept(lines: str, words: str) -> Column:
+    """The text without its dropped lines."""
+    return F.expr(f"if({words} is null, coalesce(text, ''), array_join(filter({lines}, (x, i) -> (shiftright(element_at({words}, cast(i div {WORD_BITS} as int) + 1), i % {WORD_BITS}) & 1L) = 1), '\\n'))")
 
 
 def without_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs, their text without the lines that the bitmaps drop; a text that loses nothing stays as it is, null too."""
+    """docs, their text with the lines that the bitmaps keep; a text that loses nothing stays as it is, null too."""
     columns = docs.columns
-    out = _marked(docs, bitmaps)
-    return out.withColumn("text", F.when(F.col("_words").isNull(), F.col("text")).otherwise(F.expr(_KEPT))).select(*columns)
+    out, lines, words = _marked(docs, bitmaps)
+    return out.withColumn("text", F.when(F.col(words).isNull(), F.col("text")).otherwise(_kept(lines, words))).select(*columns)
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    out = _marked(docs, line_bitmaps(docs))
-    dropped = F.coalesce(F.expr("aggregate(_words, 0L, (n, w) -> n + bit_count(w))"), F.lit(0).cast("long"))
-    return out.select("doc_id", F.size("_lines").cast("long").alias("n_lines"), dropped.alias("n_dropped"), F.sha2(F.expr(_KEPT), 256).alias("kept_sha256"))
+    out, lines, words = _marked(docs, line_bitmaps(docs))
+    dropped = F.coalesce(F.expr(f"aggregate({words}, 0L, (n, w) -> n + {WORD_BITS} - bit_count(w))"), F.lit(0).cast("long"))
+    return out.select("doc_id", F.size(lines).cast("long").alias("n_lines"), dropped.alias("n_dropped"), F.sha2(_kept(lines, words), 256).alias("kept_sha256"))
 
 
 OP9_SQL = f"""
