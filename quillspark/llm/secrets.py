@@ -7,7 +7,9 @@ remain, whole. A rule without mandatory trigrams runs over all documents of the
 holds at a time, so the index needs no shuffle and grows with nothing.
 
 Defined cases: a null text is empty and has no spans. Spans are code points, end exclusive, leftmost and not
-overlapping within a kind; kinds may overlap each other. Rows that share a doc_id are scanned each.
+overlapping within a kind; kinds may overlap each other. Rows that share a doc_id are scanned each; a null doc_id stays
+null. Extra columns are ignored. An empty table gives an empty result. Very long texts are read whole, each rule in one
+pass over a run of characters.
 """
 
 from __future__ import annotations
@@ -42,13 +44,14 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
     Rule("hex", r"[0-9a-f]+", 0, 32, same=r"[0-9a-f]{32,}"),
 )
+#: These begin where a run begins and never give back what they took, so that a long run is read once.
 MORE = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
     Rule("forge", r"(ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("bearer", r"bearer\x20+[A-Za-z0-9._~+/-]{20,}", 0, 0, re.ASCII | re.IGNORECASE),
-    Rule("url", r"[a-z]+://[^\s/:@]+:[^\s/@]{3,}@"),
+    Rule("bearer", r"bearer\x20++[A-Za-z0-9._~+/-]{20,}+", 0, 0, re.ASCII | re.IGNORECASE),
+    Rule("url", r"(?<![a-z])[a-z]++://[^\s/:@]++:[^\s/@]{3,}+@"),
 )
 
 ANY = ("any",)
