@@ -8,6 +8,8 @@ come from counts of hash parts, so that no source or size gathers in one task.
 
 Defined cases: a null text has size 0. A null source is a source, last in order. Sources of size 0 take nothing. Equal
 rows get ranks in any order, with the same sum. A source's totals are gathered on the driver: one row for each source.
+Sizes of very long texts count whole; a size above WINDOW is taken by the proportional share and the greedy step, or by
+the programme where the rest of the budget holds it. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, ranked, saved
+from .common import WORD, documents, looked_up, ranked, saved
 
 WEIGHTS, MOST, SEED = (5, 2, 1), 3, 20240229
 #: The largest budget that the dynamic programme fills, in words.
@@ -25,17 +27,17 @@ WINDOW = 1 << 17
 
 
 def targets(totals: dict[str | None, int], weights=WEIGHTS, most: int = MOST) -> dict[str | None, float]:
+    """Sources that reach their limit are those of the greatest weight for their size: they are taken off in that order."""
     names = sorted((k for k in totals if k is not None)) + [None] * (None in totals)
     weight = {k: weights[i % len(weights)] for i, k in enumerate(names)}
+    left, total = sum(totals.values()), sum(weight.values())
     out: dict[str | None, float] = {}
-    while True:
-        free = [k for k in names if k not in out]
-        left, total = sum(totals.values()) - sum(out.values()), sum(weight[k] for k in free)
-        share = {k: left * weight[k] / total for k in free}
-        above = [k for k in free if share[k] > most * totals[k]]
-        if not above:
-            return out | share
-        out |= {k: float(most * totals[k]) for k in above}
+    for k in sorted(names, key=lambda k: most * totals[k] / weight[k]):
+        if left * weight[k] <= most * totals[k] * total:
+            break
+        out[k] = float(most * totals[k])
+        left, total = left - most * totals[k], total - weight[k]
+    return {k: out[k] if k in out else left * weight[k] / total for k in names}
 
 
 def fill(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
@@ -83,8 +85,8 @@ def fill(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
     """doc_id, row (hash of the text), source, size, source_size, target, times (how often the document is taken), taken."""
     spark = docs.sparkSession
-    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))
-    text = F.coalesce(F.col("text"), F.lit(""))
+    key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), F.col("source").cast("string").alias("source"), key.alias("key"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size")))
     totals = {(None if r.key == "-" else r.key[1:]): int(r.total) for r in rows.groupBy("key").agg(F.sum("size").alias("total")).toLocalIterator()}
     goal = targets(totals, weights, most)
@@ -97,11 +99,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED) ->
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("size")
-        return pd.DataFrame({"key": pdf["key"], "size": pdf["size"], "more": fill(pdf["size"].to_numpy(), pdf["n"].to_numpy(), int(pdf["budget"].iloc[0])), "source_size": pdf["source_size"], "target": pdf["target"], "base": pdf["base"]})
+        return pd.DataFrame({"key": pdf["key"], "size": pdf["size"], "n": pdf["n"], "more": fill(pdf["size"].to_numpy(), pdf["n"].to_numpy(), int(pdf["budget"].iloc[0])), "source_size": pdf["source_size"], "target": pdf["target"], "base": pdf["base"]})
 
-    chosen = saved(hist.groupBy("key").applyInPandas(choose, "key string, size long, more long, source_size long, target double, base long"))
+    chosen = saved(hist.groupBy("key").applyInPandas(choose, "key string, size long, n long, more long, source_size long, target double, base long"))
     rows = ranked(rows, ["key", "size"], [F.col("doc_id"), F.col("row")], "rank", F.xxhash64(F.lit(seed), "doc_id", "row"))
-    out = rows.join(chosen, ["key", "size"]).withColumn("times", F.col("base") + (F.col("rank") < F.col("more")).cast("long"))
+    out = looked_up(rows, chosen, ["key", "size"], "n", F.xxhash64("doc_id", "row")).withColumn("times", F.col("base") + (F.col("rank") < F.col("more")).cast("long"))
     return out.select("doc_id", "row", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
 
 
