@@ -1,13 +1,20 @@
-"""FLAC in numpy: many frames at once. Mono streams of 4 to 24 bits; Rice, escaped, fixed, LPC, constant and verbatim."""
+"""FLAC in numpy: many frames at once. Decodes streams of 1 to 8 channels and 4 to 24 bits: Rice, escaped, fixed, linear
+prediction, constant and verbatim subframes, wasted bits, side channels. Encodes 8-bit mono by fixed predictors.
+
+Work goes by CHUNK frames at a time, so that memory beside the stream and its samples is bounded.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 
 BLOCK, RATE, PARTITIONS = 576, 8000, 2
+#: Frames that are encoded or decoded at a time.
+CHUNK = 2048
 U = np.uint64
 
 
@@ -122,8 +129,11 @@ def _frames(x: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def encode(payloads: list[bytes]) -> list[bytes]:
     """8-bit mono streams of payloads whose lengths are multiples of BLOCK; byte b is the sample b - 128. A seek point for every frame."""
     counts = [len(p) // BLOCK for p in payloads]
-    x = (np.frombuffer(b"".join(payloads), np.uint8).astype(np.int64) - 128).reshape(-1, BLOCK)
-    data, ends = _frames(x, np.concatenate([np.arange(c) for c in counts]))
+    x = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, BLOCK)
+    numbers = np.concatenate([np.arange(c) for c in counts]) if counts else np.empty(0, np.int64)
+    done = [_frames(x[i : i + CHUNK].astype(np.int64) - 128, numbers[i : i + CHUNK]) for i in range(0, len(x), CHUNK)]
+    data = b"".join(d.tobytes() for d, _ in done)
+    ends = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(e) for _, e in done]))]) if done else np.zeros(1, np.int64)
     out, at = [], 0
     for p, c in zip(payloads, counts, strict=True):
         own = ends[at : at + c + 1]
@@ -133,7 +143,7 @@ def encode(payloads: list[bytes]) -> list[bytes]:
         info += ((RATE << 44) | (7 << 36) | len(p)).to_bytes(8, "big") + hashlib.md5(samples).digest()
         seek = np.empty(c, np.dtype([("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")]))
         seek["sample"], seek["offset"], seek["n"] = np.arange(c) * BLOCK, own[:-1] - own[0], BLOCK
-        out.append(b"fLaC\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + (18 * c).to_bytes(3, "big") + seek.tobytes() + data[own[0] : own[-1]].tobytes())
+        out.append(b"fLaC\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + (18 * c).to_bytes(3, "big") + seek.tobytes() + data[own[0] : own[-1]])
         at += c
     return out
 
@@ -148,7 +158,7 @@ def header(media: bytes) -> dict:
         body = media[at + 4 : at + 4 + n]
         if kind == 0:
             x = int.from_bytes(body[10:18], "big")
-            out |= {"rate": x >> 44, "channels": (x >> 41 & 7) + 1, "bits": (x >> 36 & 31) + 1, "samples": x & (1 << 36) - 1, "md5": body[18:34]}
+            out |= {"rate": x >> 44, "channels": (x >> 41 & 7) + 1, "bits": (x >> 36 & 31) + 1, "samples": x & (1 << 36) - 1, "md5": body[18:34], "largest": int.from_bytes(body[7:10], "big")}
         elif kind == 3:
             s = np.frombuffer(body, np.dtype([("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")]))
             s = s[s["sample"] != 0xFFFFFFFFFFFFFFFF]
@@ -197,7 +207,7 @@ class _Bits:
 
 
 def decode_frames(buf: np.ndarray, starts: np.ndarray, bits: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """(samples of each frame, where each frame ends); raises ValueError where a checksum or a field is wrong."""
+    """(samples of each frame, channels interleaved, where each frame ends); raises ValueError where a checksum or a field is wrong."""
     try:
         return _decode_frames(buf, starts, bits)
     except IndexError as e:
@@ -210,9 +220,11 @@ def _decode_frames(buf: np.ndarray, starts: np.ndarray, bits: int) -> tuple[list
     if not ((b[starts] == 0xFF) & (b[starts + 1] & 0xFE == 0xF8)).all():
         raise ValueError("no frame where one should begin")
     code, rate = b[starts + 2] >> 4, b[starts + 2] & 15
+    layout = b[starts + 3] >> 4
     width = np.select([(b[starts + 3] >> 1 & 7) == i for i in (0, 1, 2, 4, 5, 6)], [bits, 8, 12, 16, 20, 24], -1)
-    if (b[starts + 3] >> 4).any() or (width < 0).any() or ((rate == 15) | (code == 0)).any():
-        raise ValueError("not a mono frame of a known size")
+    if (layout > 10).any() or (width < 0).any() or ((rate == 15) | (code == 0)).any():
+        raise ValueError("a frame of a reserved kind")
+    channels = np.where(layout < 8, layout + 1, 2)
     lead = b[starts + 4]
     utf = np.where(lead < 0x80, 1, _LEADING[((~lead & 0xFF) << 8)].astype(np.int64))
     at = starts + 4 + utf
@@ -220,11 +232,52 @@ def _decode_frames(buf: np.ndarray, starts: np.ndarray, bits: int) -> tuple[list
     at = at + np.select([code == 6, code == 7], [1, 2], 0) + np.select([rate == 12, (rate == 13) | (rate == 14)], [1, 2], 0)
     if (_crc(b.astype(np.uint8), starts, at - starts, 8) != b[at]).any():
         raise ValueError("a frame header's checksum is wrong")
-    kind = b[at + 1]
-    if (kind & 0x80).any() or (kind & 1).any():
-        raise ValueError("reserved or wasted bits")
-    kind, pos = kind >> 1, 8 * (at + 2)
-    out: list = [None] * len(starts)
+    pos = 8 * (at + 1)
+    found: list[list[np.ndarray]] = [[] for _ in starts]
+    for c in range(int(channels.max(initial=0))):
+        side = ((layout == 8) | (layout == 10)) & (c == 1) | (layout == 9) & (c == 0)
+        rows = np.flatnonzero(channels > c)
+        samples, pos[rows] = _subframes(r, pos[rows], blocks[rows], (width + side)[rows])
+        for row, x in zip(rows, samples, strict=True):
+            found[row].append(x)
+    out = [_joined(xs, int(how)) for xs, how in zip(found, layout, strict=True)]
+    ends = (pos + 7) // 8
+    crc = _crc(b.astype(np.uint8), starts, ends - starts, 16)
+    if (crc != (b[ends] << 8 | b[ends + 1])).any():
+        raise ValueError("a frame's checksum is wrong")
+    return out, ends + 2
+
+
+def _joined(channels: list[np.ndarray], layout: int) -> np.ndarray:
+    """Samples of a frame, channels interleaved; undoes left/side, side/right and mid/side."""
+    if len(channels) == 1:
+        return channels[0]
+    if layout >= 8:
+        x, y = channels
+        if layout == 8:
+            channels = [x, x - y]
+        elif layout == 9:
+            channels = [x + y, y]
+        else:
+            mid = (x << 1) | (y & 1)
+            channels = [(mid + y) >> 1, (mid - y) >> 1]
+    return np.stack(channels, axis=1).reshape(-1)
+
+
+def _subframes(r: _Bits, pos: np.ndarray, blocks: np.ndarray, width: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """(samples, position after it) of a subframe of each frame."""
+    head = r.read(pos, 8)
+    if (head & 0x80).any():
+        raise ValueError("no subframe where one should begin")
+    kind, pos = head >> 1, pos + 8
+    wasted = np.zeros(len(pos), np.int64)
+    if (some := np.flatnonzero(head & 1)).size:
+        wasted[some] = 1 + _LEADING[(r.window(pos[some]) >> U(48)).astype(np.int64)]
+        pos[some] += wasted[some]
+        width = width - wasted
+        if (width <= 0).any():
+            raise ValueError("more wasted bits than a sample has")
+    out: list = [None] * len(pos)
     for t, n, w in {*zip(kind.tolist(), blocks.tolist(), width.tolist(), strict=True)}:
         rows = np.flatnonzero((kind == t) & (blocks == n) & (width == w))
         p = pos[rows]
@@ -249,12 +302,8 @@ def _decode_frames(buf: np.ndarray, starts: np.ndarray, bits: int) -> tuple[list
             raise ValueError("a reserved kind of subframe")
         pos[rows] = p
         for i, row in enumerate(rows):
-            out[row] = x[i]
-    ends = (pos + 7) // 8
-    crc = _crc(b.astype(np.uint8), starts, ends - starts, 16)
-    if (crc != (b[ends] << 8 | b[ends + 1])).any():
-        raise ValueError("a frame's checksum is wrong")
-    return out, ends + 2
+            out[row] = x[i] << wasted[row]
+    return out, pos
 
 
 def _residual(r: _Bits, pos: np.ndarray, n: int, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -306,44 +355,88 @@ def _linear(x: np.ndarray, warm: np.ndarray, coef: np.ndarray, shift: np.ndarray
     return out
 
 
-def decode(medias: list[bytes]) -> list[np.ndarray]:
-    """Samples of whole streams; verifies every checksum and the MD5. Frames without seek points are found one by one."""
+def _bare_frames(media: bytes, h: dict) -> Iterator[np.ndarray]:
+    """Samples of the frames of a stream without (all) seek points, found one by one in a window that grows where a frame doesn't fit."""
+    buf, at = np.frombuffer(media, np.uint8), h["frames"]
+    window = h["largest"] + 16 if h["largest"] else 1 << 14
+    while at < len(buf):
+        try:
+            x, end = decode_frames(buf[at : at + window], np.zeros(1, np.int64), h["bits"])
+        except ValueError:
+            if at + window >= len(buf):
+                raise
+            window *= 2
+            continue
+        yield x[0]
+        at += int(end[0])
+
+
+def segments(medias: list[bytes]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(number of the stream, sample offset, samples) in turn, of at most CHUNK frames; verifies every checksum and, with a stream's last samples, its MD5."""
     heads = [header(m) for m in medias]
-    where: list[np.ndarray] = []
-    base = 0
-    complete = all(len(h["seek"]) and h["seek"][:, 2].sum() == h["samples"] and h["bits"] == heads[0]["bits"] for h in heads)
-    if not complete and len(medias) > 1:
-        return [decode([m])[0] for m in medias]
-    buf = np.frombuffer(b"".join(medias), np.uint8)
-    if complete:
-        for h, m in zip(heads, medias, strict=True):
-            where.append(base + h["frames"] + h["seek"][:, 1])
-            base += len(m)
-        parts, _ = decode_frames(buf, np.concatenate(where), heads[0]["bits"])
-        counts = [len(w) for w in where]
-    else:
-        parts, at = [], heads[0]["frames"]
-        while at < len(buf):
-            one, end = decode_frames(buf[at:], np.zeros(1, np.int64), heads[0]["bits"])
-            parts += one
-            at += int(end[0])
-        counts = [len(parts)]
-    out, at = [], 0
-    for h, c in zip(heads, counts, strict=True):
-        x = np.concatenate(parts[at : at + c]) if c else np.empty(0, np.int64)
-        at += c
-        width = (h["bits"] + 7) // 8
-        if any(h["md5"]) and hashlib.md5(x.astype("<i4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes()).digest() != h["md5"]:
+    sums = [hashlib.md5() for _ in medias]
+    ready = [0] * len(medias)
+
+    def passed(i: int, x: np.ndarray) -> tuple[int, int, np.ndarray]:
+        width = (heads[i]["bits"] + 7) // 8
+        sums[i].update(x.astype("<i4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes())
+        offset = ready[i]
+        ready[i] += len(x) // heads[i]["channels"]
+        return i, offset, x.astype(np.int32)
+
+    def ended(i: int) -> None:
+        if any(heads[i]["md5"]) and sums[i].digest() != heads[i]["md5"]:
             raise ValueError("the samples' MD5 is wrong")
-        out.append(x)
-    return out
+
+    def seekable(run: list[int]) -> Iterator[tuple[int, int, np.ndarray]]:
+        which = np.repeat(run, [len(heads[i]["seek"]) for i in run])
+        first = np.concatenate([heads[i]["frames"] + heads[i]["seek"][:, 1] for i in run])
+        last = np.append(which[1:] != which[:-1], True)
+        after = np.where(last, np.array([len(medias[i]) for i in which]), np.roll(first, -1))
+        for s in range(0, len(which), CHUNK):
+            own = which[s : s + CHUNK]
+            edges = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
+            parts, starts, base = [], [], 0
+            for a, b in zip(edges, edges[1:], strict=False):
+                low, high = int(first[s + a]), int(after[s + b - 1])
+                parts.append(np.frombuffer(medias[own[a]], np.uint8)[low:high])
+                starts.append(first[s + a : s + b] - low + base)
+                base += high - low
+            found, _ = decode_frames(np.concatenate(parts), np.concatenate(starts), heads[own[0]]["bits"])
+            for a, b in zip(edges, edges[1:], strict=False):
+                yield passed(int(own[a]), np.concatenate(found[a:b]))
+                if last[s + b - 1]:
+                    ended(int(own[a]))
+
+    complete = [len(h["seek"]) > 0 and h["seek"][:, 2].sum() == h["samples"] for h in heads]
+    i = 0
+    while i < len(medias):
+        if not complete[i]:
+            for x in _bare_frames(medias[i], heads[i]):
+                yield passed(i, x)
+            ended(i)
+            i += 1
+            continue
+        run = [i]
+        while run[-1] + 1 < len(medias) and complete[run[-1] + 1] and heads[run[-1] + 1]["bits"] == heads[i]["bits"]:
+            run.append(run[-1] + 1)
+        yield from seekable(run)
+        i = run[-1] + 1
+
+
+def decode(medias: list[bytes]) -> list[np.ndarray]:
+    """Samples of whole streams, channels interleaved; verifies every checksum and the MD5."""
+    out: list[list[np.ndarray]] = [[] for _ in medias]
+    for i, _, x in segments(medias):
+        out[i].append(x)
+    return [np.concatenate(x) if x else np.empty(0, np.int32) for x in out]
 
 
 def read(media: bytes, start: int, n: int) -> np.ndarray:
-    """n samples from sample start on, decoding only the frames that hold them."""
+    """n samples (of each channel) from sample start on, decoding only the frames that hold them."""
     h = header(media)
     points = h["seek"]
     first, last = (int(np.searchsorted(points[:, 0], s, side="right")) - 1 for s in (start, start + n - 1))
     parts, _ = decode_frames(np.frombuffer(media, np.uint8), h["frames"] + points[first : last + 1, 1], h["bits"])
-    x = np.concatenate(parts)
-    return x[start - points[first, 0] :][:n]
+    x, c = np.concatenate(parts), h["channels"]
+    return x[(start - points[first, 0]) * c :][: n * c]
