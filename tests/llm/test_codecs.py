@@ -112,12 +112,38 @@ def test_cut(n):
     assert sum(b for _, b in parts) == n and all(b == 2048 for _, b in parts[1:]) and [a for a, _ in parts] == [sum(b for _, b in parts[:i]) for i in range(len(parts))]
 
 
-def test_token_ids_agree():
+def _tokenizer():
     tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
-    t = tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    texts = ["", " ", "Hello  world\n\n x", "é😀日本", "a" * 500, "\t \r\n", "it's 12345 <|endoftext|>"]
-    assert packing.encoder()(texts) == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    return tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json"))  # with its own settings
+
+
+def test_token_ids_agree():
+    t = _tokenizer()
+    texts = ["", " ", "Hello  world\n\n x", "é😀日本", "a" * 500, "\t \r\n", "it's 12345 <|endoftext|>", "hello <|endoftext|> there", "<|endoftext|><|endoftext|>", "<|endoftext"]
+    got = packing.encoder()(texts)
+    assert got == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert got[7] == [31373, 220, 50256, 612]
+
+
+def test_token_ids_agree_on_all_code_points():
+    """Both patterns see a code point as the same kind of character, beside letters, digits, marks and blanks."""
+    t, encode = _tokenizer(), packing.encoder()
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3400 or 0x9F00 <= c < 0x20000 or c % 97 == 0)]
+    for i in range(0, len(points), 20000):
+        texts = [f"a{c}b1{c}2 {c}!{c}{c}'s  {c}" for c in points[i : i + 20000]]
+        assert encode(texts) == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.text(max_size=60), st.lists(st.sampled_from(["a", "word", " ", "  ", "\n", "'s", "'re", "<|endoftext|>", "é", "７", "\u00a0", "\u2028", "x" * 40, "12"]), max_size=14).map("".join)))
+def test_token_ids_agree_on_any_text(text):
+    assert _ENCODE([text])[0] == _TOKENIZER[0].encode(text, add_special_tokens=False).ids
+
+
+try:
+    _TOKENIZER, _ENCODE = [_tokenizer()], packing.encoder()
+except BaseException:  # absent
+    _TOKENIZER, _ENCODE = [], None
 
 
 @settings(max_examples=80, deadline=None)
