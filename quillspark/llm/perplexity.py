@@ -3,15 +3,17 @@
 Method. The model is one of characters: grams of ORDER of them within a language. One pass over all texts counts the
 grams of trusted training texts and notes which grams occur at all. Counts, numbers of continuations, discounts and
 back-off weights are aggregations and joins over that table, sharded by gram, and give each gram that occurs anywhere
-its probability. The table is cut into shards of a bounded number of grams; each shard is broadcast and joined with the
-grams of all texts, and the shards' sums per document are added up. The perplexity is exp of the mean of -log p. The
+its probability. Texts of a language are dealt into batches of a bounded number of bytes; a batch's distinct grams meet
+the model by a join sharded by gram, in which a gram stands once for each batch however frequent it is, and come back to
+their batch, where they are summed up for each document. The perplexity is exp of the mean of -log p. The
 threshold is the language's quantile of perplexities of trusted texts that were not trained on, in the band of length
 of the text (short texts vary more), and a margin above it.
 
 Defined cases: a null or empty text has perplexity null and is rejected. A null language is one of its own. A language
 or band of length without trusted texts takes the threshold of the next shorter band of its language, else of the next
 longer one, and keeps all texts if there is none. Trusted texts are those with label 1; rows that share a doc_id share
-its label and are scored each. Characters beyond the basic plane count as one character. Extra columns stay.
+its label and are scored each. Characters beyond the basic plane count as one character. Extra columns stay, whatever
+their names. An empty table gives an empty result. A text longer than a batch is a batch.
 """
 
 from __future__ import annotations
@@ -19,15 +21,14 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, map_text, saved, small
+from .common import documents, free_names, map_text, saved, small
 
 ORDER, BITS = 4, 16
-#: Grams that a task holds at a time, bytes of text that it works on at a time.
-SHARD_ROWS, BATCH = 2_000_000, 3 << 20
+#: Bytes of text that a task works on at a time.
+BATCH = 3 << 20
 #: Quantile of the trusted texts' perplexities, what a text may lie above it, the share of trusted texts kept from training.
 QUANTILE, MARGIN, HELD = 0.99, 1.1, 5
 #: Bands of length: the number of bits of the number of characters, from and to.
@@ -89,12 +90,13 @@ def model(counts: DataFrame) -> DataFrame:
         y = F.when(n1 + 2 * n2 > 0, n1 / (n1 + 2 * n2)).otherwise(F.lit(0.5))
         part = lambda a, b, i: F.when(a > 0, F.greatest(F.lit(0.1), F.least(F.lit(i - 0.05), i - (i + 1) * y * b / a))).otherwise(F.lit(0.6 * i))
         discounts = table.groupBy("lang").agg(part(n1, n2, 1.0).alias("d1"), part(n2, n3, 2.0).alias("d2"), part(n3, n4, 3.0).alias("d3"))
-        table = table.join(F.broadcast(saved(discounts)), "lang").withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
+        table = table.join(small(saved(discounts)), "lang").withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
         context = saved(table.groupBy("lang", "h").agg(F.sum("c").alias("total"), F.sum("d").alias("off")))
-        own = table.join(context, ["lang", "h"]).select("lang", "g", ((F.col("c") - F.col("d")) / F.col("total")).alias("p"))
+        own = saved(table.join(small(context), ["lang", "h"]).select("lang", "g", ((F.col("c") - F.col("d")) / F.col("total")).alias("p")))
         gram = F.col("gram").bitwiseAND(_mask(k)) if k < ORDER else F.col("gram")
         out = out.withColumn("g", gram).withColumn("h", F.shiftrightunsigned("g", BITS))
-        out = out.join(context.select("lang", "h", (F.col("off") / F.col("total")).alias("back")), ["lang", "h"], "left").join(own, ["lang", "g"], "left")
+        # Histories of few characters are hot, but few: they are broadcast. Long ones hold few grams each.
+        out = out.join(small(context).select("lang", "h", (F.col("off") / F.col("total")).alias("back")), ["lang", "h"], "left").join(small(own), ["lang", "g"], "left")
         below = F.lit(1.0 / (1 << BITS)) if lower is None else F.col("below")
         out = out.select("lang", "gram", (F.coalesce("p", F.lit(0.0)) + F.coalesce("back", F.lit(1.0)) * below).alias("below"))
         out = saved(out)  # an order at a time: one plan of all orders takes hundreds of MB on the driver
@@ -102,34 +104,45 @@ def model(counts: DataFrame) -> DataFrame:
     return out.select("lang", "gram", (-F.log("below")).alias("nll"))
 
 
-def _sums(docs: DataFrame, shard: DataFrame) -> DataFrame:
-    """docs' columns but the text, with length and the shard's part of the sum of -log p."""
-    rows = shard.select("lang", "gram", F.col("nll").cast("float")).toArrow()  # SHARD_ROWS rows or so
-    table = {}
-    for lang in rows.column("lang").unique().to_pylist():
-        own = rows.filter(pc.equal(rows.column("lang"), lang))
-        order = np.argsort(gram := own.column("gram").to_numpy())
-        table[lang] = (gram[order], own.column("nll").to_numpy()[order])
-    del rows
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-    names = [c for c in docs.columns if c != "text"]
-    kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != "text")
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for name, rows in by_language(batch).items():
-            g, n = grams_of(rows.column("text").to_pylist())
-            nll = np.zeros(len(g), np.float32)
-            if name in shared.value and len(g):
-                grams, values = shared.value[name]
-                which, kinds_ = pd.factorize(g)
-                place = np.minimum(np.searchsorted(grams, kinds_), len(grams) - 1)
-                nll = np.where(grams[place] == kinds_, values[place], np.float32(0))[which]
-            total, ends = np.concatenate([[0.0], np.cumsum(nll, dtype=np.float64)]), np.cumsum(n)
-            out.append(pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), pa.array(n), pa.array(total[ends] - total[ends - n])], names=[*names, "length", "nll"]))
-        return pa.Table.from_batches(out).combine_chunks().to_batches(1 << 30)[0]
+def _sums(docs: DataFrame, table: DataFrame, batch: int = BATCH) -> DataFrame:
+    """doc_id, row, lang, trusted, length, sum of -log p of the texts of docs (doc_id, row, lang, trusted, text); table: lang, gram, nll."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dealt = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", "row"), F.lit(size // batch + 1))).select("lang", "batch", "doc_id", "row", "trusted", "text").repartition("lang", "batch")
+
+    def wanted(batches):
+        """Distinct grams of each batch, whose texts stand together."""
+        own, texts = None, []
+
+        def found() -> pa.RecordBatch:
+            kinds = np.unique(grams_of(texts)[0])
+            zeros = pa.array(np.zeros(len(kinds), np.int32))
+            return pa.RecordBatch.from_arrays([pa.array([own[0]], pa.string()).take(zeros), pa.array([own[1]], pa.int64()).take(zeros), pa.array(kinds)], names=["lang", "batch", "gram"])
+
+        for b in batches:
+            for lang, number, text in zip(*(b.column(c).to_pylist() for c in ("lang", "batch", "text")), strict=True):
+                if own != (lang, number):
+                    if texts:
+                        yield found()
+                    own, texts = (lang, number), []
+                texts.append(text)
+        if texts:
+            yield found()
+
+    def summed(texts: pa.Table, grams: pa.Table) -> pa.Table:
+        g, n = grams_of(texts.column("text").to_pylist())
+        nll = np.zeros(len(g), np.float64)
+        if len(g):
+            held = grams.column("gram").to_numpy()
+            order = np.argsort(held)
+            which, kinds = pd.factorize(g)
+            nll = grams.column("nll").to_numpy()[order][np.searchsorted(held[order], kinds)][which]
+        total, ends = np.concatenate([[0.0], np.cumsum(nll)]), np.cumsum(n)
+        out = texts.drop_columns(["text", "batch"]).append_column("length", pa.array(n)).append_column("nll", pa.array(total[ends] - total[ends - n]))
+        return out.select(["doc_id", "row", "lang", "trusted", "length", "nll"])
 
-    return map_text(docs, run, f"{kinds}, length long, nll double", limit=BATCH)
+    asked = dealt.sortWithinPartitions("lang", "batch").mapInArrow(wanted, "lang string, batch long, gram long")
+    answers = asked.join(table, ["lang", "gram"]).select("lang", "batch", "gram", "nll")
+    return dealt.groupBy("lang", "batch").cogroup(answers.groupBy("lang", "batch")).applyInArrow(summed, "doc_id long, row long, lang string, trusted int, length long, nll double")
 
 
 def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -140,17 +153,7 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("-")).alias("lang"), text.alias("text"))
     rows = rows.join(small(trust), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(0)))
     counts = saved(gram_counts(rows.select("lang", "text", (F.col("trusted") == 1).alias("trained"))))
-    table = saved(model(counts))
-    shards = -(-table.count() // SHARD_ROWS) or 1
-    parts = [_sums(rows, table.where(F.pmod(F.xxhash64("lang", "gram"), F.lit(shards)) == i)) for i in range(shards)]
-    if shards > 1:
-        all_parts = parts[0].withColumn("part", F.lit(0))
-        for i, p in enumerate(parts[1:], 1):
-            all_parts = all_parts.unionByName(p.withColumn("part", F.lit(i)))
-        sums = all_parts.groupBy("doc_id", "row", "lang", "trusted", "length").agg(F.sum("nll").alias("nll"), (F.count(F.lit(1)) / shards).cast("int").alias("times"))
-        sums = sums.withColumn("nll", F.col("nll") / F.col("times")).select("*", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    else:
-        sums = parts[0]
+    sums = _sums(rows, saved(model(counts)))
     return saved(sums.select("doc_id", "row", "lang", "trusted", "length", F.when(F.col("length") > 0, F.exp(F.col("nll") / F.col("length"))).alias("perplexity")))
 
 
@@ -170,9 +173,10 @@ def classified(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, m
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier keeps, with docs' columns."""
-    good = classified(docs, labels).where("keep").select(F.col("doc_id").alias("_id"), F.col("row").alias("_hash")).distinct()
+    doc, row = free_names(docs, "_id", "_row")
+    good = saved(classified(docs, labels).where("keep").select(F.col("doc_id").alias(doc), F.col("row").alias(row)).distinct())
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.join(small(saved(good)), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left_semi")
+    return docs.join(small(good), F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(text) == F.col(row)), "left_semi")
 
 
 def op5_quality_perplexity(spark, sf_dir: str) -> DataFrame:
