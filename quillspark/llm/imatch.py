@@ -2,17 +2,24 @@
 
 Method. The lexicon holds all terms but the common ones, those in more than a share of the documents, near copies being
 counted once: so rare languages and large groups of near copies keep their terms. At most (mean number of distinct terms
-in a document) / (share) terms are common however many documents there are, and the plan holds them as a set of literals.
-A document
-keeps its lexicon terms, distinct and sorted; lane 0 hashes all of them, each other lane those in a random subset of
-the lexicon. Subsets keep from a quarter down to a 256th of the terms, so that short and long documents have lanes with a
-few terms. The likeness of two fingerprints is the share of lanes with equal hashes among those that hold a term.
+in a document) / (share) terms are common however many documents there are, and the plan holds their hashes as literals.
+A document keeps its lexicon terms, distinct and sorted (by hash). The lexicon is cut into random subsets: level j keeps
+the terms whose hashes end in j zero bits and deals them into LANES lanes by other bits. A document hashes its terms of
+each lane of two neighbouring levels, those in which it has some one term a lane, so that long and short documents have
+lanes that an edit leaves whole. A fingerprint is the lower level and the hashes of its lanes; two without a common level
+(documents of four times as many terms) have likeness 0.
+
+The likeness of two fingerprints comes from the levels that both have: of the lanes that hold a term in either document,
+the share that agrees gives the share of terms in common (of a lane of random size, which is inverted: lanes of more
+terms break sooner), as twice the common terms over the sum of both. No agreeing lane gives 0, all of them give 1.
+
 Near copies are found by the least hash of three terms that follow each other: of the documents that share it one is
 counted; this is done for ROUNDS hashes in turn.
 
 Defined cases: a null text is empty. A text of fewer than FEW lexicon terms keeps its common terms, too. A text without
-terms gets lanes from the hash of its lower-cased text.
-Rows that share a doc_id follow each other by text, largest first; a null doc_id comes last in descending order.
+terms gets lanes from the hash of its lower-cased text. Rows that share a doc_id follow each other by text, largest
+first; null doc_ids come last in descending order and are one stretch. doc_ids may be any 64-bit numbers, however they
+lie. Extra columns are ignored. An empty table gives an empty result. Very long texts are fingerprinted whole.
 """
 
 from __future__ import annotations
@@ -26,11 +33,11 @@ from .common import documents, saved, small
 MOST, FEW = 1 / 20, 4
 #: Hashes by which near copies are left out of the counts.
 ROUNDS = 3
-#: Lane 0 has the whole lexicon; for each of these, PER_LEVEL lanes have subsets that halve it so often at random. At most 64 bits a level.
-LEVELS, PER_LEVEL = range(2, 9), 8
+#: Lanes of a level, terms that the lower one of a document's two levels has at least (level 0 excepted) and at most twice that.
+LANES, TERMS = 32, 24
 DIGITS, NONE = 4, "...."
-#: Rows of a stretch of doc_ids, and the number of equal ranges of doc_id from which stretches are made.
-STRETCH, RANGES = 4096, 65536
+#: Rows of a stretch of doc_ids, and the most stretches (a square number): beyond them, stretches hold more rows.
+STRETCH, STRETCHES = 4096, 16384
 
 
 def terms_of(text: Column) -> Column:
@@ -54,92 +61,108 @@ def counted_once(docs: DataFrame) -> DataFrame:
     return hashed.join(small(saved(first.select("h", "id"))), ["h", "id"], "left_semi").select("text")
 
 
-def common_terms(docs: DataFrame, most: float = MOST) -> list[str]:
-    """Terms in more than a share of the documents; at most (mean number of distinct terms of a document) / most of them."""
+def common_terms(docs: DataFrame, most: float = MOST) -> dict[str, int]:
+    """Terms, with their hashes, in more than a share of the documents; at most (mean number of distinct terms of a document) / most of them."""
     pairs = counted_once(docs).select(F.explode(F.array_append(F.array_distinct(terms_of(F.col("text"))), F.lit("\n"))).alias("term"))
     counted = saved(pairs.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     # Each document has the mark "\n" beside its terms, so that they are counted in the same pass.
     n = counted.where("term = '\\n'").agg(F.max("df")).first()[0] or 0
-    return sorted(r.term for r in counted.where((F.col("df") > max(2.0, most * n)) & ~F.col("term").isin("", "\n")).select("term").collect())
-
-
-def _hashes(terms: Column, seed: int) -> Column:
-    return F.transform(terms, lambda x: F.xxhash64(F.lit(seed), x))
+    found = counted.where((F.col("df") > max(2.0, most * n)) & ~F.col("term").isin("", "\n"))
+    return {r.term: r.hash for r in found.select("term", F.xxhash64("term").alias("hash")).orderBy("term").collect()}
 
 
-def _subset(hashes: Column, dice: Column, level: int, i: int) -> Column:
-    """hashes, null where the i-th draw of the dice, level bits of it, isn't 0."""
-    return F.zip_with(hashes, dice, lambda x, y: F.when(F.shiftrightunsigned(y, i * level).bitwiseAND((1 << level) - 1) == 0, x))
-
-
-def lanes_of(text: Column, common: list[str]) -> Column:
-    """16-bit hashes, null where a lane holds no term."""
+def print_of(text: Column, common: dict[str, int]) -> Column:
+    """struct of level and lanes: 16-bit hashes of the lanes of that level and of the next, null where a lane holds no term."""
     part = lambda h: h.bitwiseAND((1 << 4 * DIGITS) - 1).cast("int")
-    every = F.array_sort(F.array_remove(F.array_distinct(terms_of(text)), ""))
-    own = lambda t: _once(F.filter(t, lambda x: ~x.isin(common) if common else F.lit(True)), lambda rare: F.when(F.size(rare) < FEW, t).otherwise(rare))
-
-    def lanes(t: Column) -> Column:
-        hashes = F.struct(F.transform(t, lambda x: F.xxhash64(x)).alias("all"), *(_hashes(t, level).alias(f"l{level}") for level in LEVELS))
+    hashes = F.transform(F.filter(terms_of(text), lambda x: x != ""), lambda x: F.xxhash64(x))
+    every = F.array_sort(F.array_distinct(hashes))
+    own = lambda t: _once(F.filter(t, lambda x: ~x.isin(list(common.values()))) if common else t, lambda rare: F.when(F.size(rare) < FEW, t).otherwise(rare))
+    held = lambda t, level: F.filter(t, lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1) == 0)
+    lane = lambda x, level: F.call_function("shiftrightunsigned", x, 20 + 5 * (level % 8)).bitwiseAND(LANES - 1)
+    empty = F.xxhash64(F.array().cast("array<bigint>"))
 
-        def levels(h: Column) -> Column:
-            out = [F.array(F.xxhash64(h["all"]))]
-            for level in LEVELS:
-                # A hash passes over nulls, so what zip_with leaves is the sorted terms of the lane.
-                out.append(F.array(*(F.xxhash64(_subset(h["all"], h[f"l{level}"], level, i)) for i in range(PER_LEVEL))))
-            return F.transform(F.concat(*out), lambda x: F.when(x != F.xxhash64(F.array().cast("array<bigint>")), part(x)))
+    def lanes(t: Column, level: Column) -> Column:
+        sums = lambda kept: F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)), lambda i: F.xxhash64(F.filter(kept, lambda x: lane(x, level) == i)))
+        return F.transform(_once(held(t, level), sums), lambda x: F.when(x != empty, part(x)))
 
-        without = F.transform(F.sequence(F.lit(0), F.lit(len(LEVELS) * PER_LEVEL)), lambda k: part(F.xxhash64(k, F.lower(text))))
-        return F.when(F.size(t) == 0, without).otherwise(_once(hashes, levels))
+    def both(t: Column) -> Column:
+        level = F.greatest(F.lit(0), F.floor(F.log2(F.size(t) / F.lit(float(TERMS)))).cast("int"))
+        return _once(level, lambda j: F.struct(j.alias("level"), F.concat(lanes(t, j), lanes(t, j + 1)).alias("lanes")))
 
-    return _once(_once(every, own), lanes)
+    without = F.struct(F.lit(0).alias("level"), F.transform(F.sequence(F.lit(0), F.lit(2 * LANES - 1)), lambda k: part(F.xxhash64(k, F.lower(text)))).alias("lanes"))
+    return _once(_once(every, own), lambda t: F.when(F.size(t) == 0, without).otherwise(both(t)))
 
 
-def fingerprint(lanes: Column) -> Column:
-    return F.array_join(F.transform(lanes, lambda x: F.when(x.isNull(), F.lit(NONE)).otherwise(F.lpad(F.hex(x), DIGITS, "0"))), "")
+def fingerprint(p: Column) -> Column:
+    lanes = F.transform(p["lanes"], lambda x: F.when(x.isNull(), F.lit(NONE)).otherwise(F.lpad(F.hex(x), DIGITS, "0")))
+    return F.concat(F.lpad(p["level"].cast("string"), 2, "0"), F.lit(":"), F.array_join(lanes, ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    same = F.zip_with(a, b, lambda x, y: F.when(x.isNotNull() | y.isNotNull(), F.coalesce(x == y, F.lit(False))))
-    return F.aggregate(same, F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("all")), lambda s, x: F.struct((s["n"] + x.isNotNull().cast("int") * F.coalesce(x, F.lit(False)).cast("int")).alias("n"), (s["all"] + x.isNotNull().cast("int")).alias("all")), lambda s: F.when(s["all"] > 0, s["n"] / s["all"]).otherwise(F.lit(0.0)))
-
-
-def stretches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs with the stretch of its doc_id, in descending order of stretches; stretch, rows, next (the stretch below; the last's is the first).
-
-    Stretches join neighbouring ranges of doc_id until they hold STRETCH rows: a cumulative sum over RANGES counts.
-    """
-    lo, hi = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    lo, hi = lo or 0, hi or 0
-    step = (hi - lo) // RANGES + 1
-    docs = docs.withColumn("_range", F.coalesce(F.expr(f"cast((doc_id - {lo}L) div {step}L as int)"), F.lit(-1)))
-    ranges = docs.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.orderBy("_range")) - F.col("n")
-    ranges = saved(ranges.withColumn("stretch", F.floor(before / STRETCH).cast("int")))
-    table = ranges.groupBy("stretch").agg(F.sum("n").alias("rows"))
-    table = table.withColumn("next", F.coalesce(F.lag("stretch").over(Window.orderBy("stretch")), F.max("stretch").over(Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    return docs.join(F.broadcast(ranges.select("_range", "stretch")), "_range").drop("_range"), saved(table)
-
-
-def followed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, stretch, at (1: first of the stretch), next_stretch, next_at, next_text: the row after it in descending order of doc_id."""
-    docs, table = stretches(docs)
+    """Share of terms in common (twice the common ones over the sum of both), estimated from the levels that both prints have."""
+
+    def level(x: Column, y: Column) -> Column:
+        """Weight (lanes that hold a term) and estimate of one level: lanes agree with probability exp(-d), d the terms a lane that differ; are empty with exp(-all of them)."""
+        kinds = F.zip_with(x, y, lambda p, q: F.when(p.isNull() & q.isNull(), F.lit(0)).when(F.coalesce(p == q, F.lit(False)), F.lit(1)).otherwise(F.lit(2)))
+        count = lambda k, v: F.size(F.filter(k, lambda z: z == v))
+        share = lambda n: F.log((n + 0.5) / (LANES + 0.5))
+
+        def estimate(k: Column) -> Column:
+            none, same = count(k, 0), count(k, 1)
+            return F.when(none == LANES, F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("like"))).otherwise(F.struct((LANES - none).alias("n"), (1 - share(none + same) / share(none)).alias("like")))
+        return _once(kinds, estimate)
+
+    low, high = (lambda p: F.slice(p["lanes"], 1, LANES)), (lambda p: F.slice(p["lanes"], LANES + 1, LANES))
+    step = b["level"] - a["level"]
+    found = F.when(step == 0, F.array(level(low(a), low(b)), level(high(a), high(b)))).when(step == 1, F.array(level(high(a), low(b)))).when(step == -1, F.array(level(low(a), high(b))))
+    total = F.aggregate(found, F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("x")), lambda s, e: F.struct((s["n"] + e["n"]).alias("n"), (s["x"] + e["n"] * e["like"]).alias("x")), lambda s: F.when(s["n"] > 0, s["x"] / s["n"]).otherwise(F.lit(0.0)))
+    return _once(F.coalesce(total, F.lit(0.0)), lambda j: F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * j / (1 + j))))
+
+
+def _literal(numbers: list[int]) -> Column:
+    """An array of longs as one literal."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>") if numbers else F.array().cast("array<bigint>")
+
+
+def stretch_of(docs: DataFrame, rows: int = STRETCH, most: int = STRETCHES) -> Column:
+    """The number of a doc_id's stretch, ascending: how many of the bounds, quantiles of all doc_ids, are up to it; -1 for null."""
+    n = docs.count()
+    k = min(most, n // rows + 1)
+    bounds = docs.agg(F.percentile_approx("doc_id", F.array(*(F.lit(i / k) for i in range(1, k))), F.lit(max(10_000, 20 * k)))).first()[0] if k > 1 else None
+    bounds = sorted(set(bounds or []))
+    if not bounds:
+        return F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.lit(0))
+    side = int(len(bounds) ** 0.5) + 1
+    groups = [bounds[i : i + side] for i in range(0, len(bounds), side)]
+    upto = lambda numbers: F.size(F.filter(numbers, lambda b: b <= F.col("doc_id")))
+    group = F.greatest(upto(_literal([g[0] for g in groups])) - 1, F.lit(0))
+    inner = F.split(F.element_at(F.split(F.lit(";".join(",".join(map(str, g)) for g in groups)), ";"), group + 1), ",").cast("array<bigint>")
+    return F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(group * side + upto(inner))
+
+
+def followed(docs: DataFrame, own, rows: int = STRETCH) -> DataFrame:
+    """doc_id, text, own (own(text)), next_text, next_own: those of the row after it in descending order of doc_id, of the first row for the last."""
+    stretch = stretch_of(docs, rows)
+    docs = docs.select("doc_id", "text", stretch.alias("stretch"))
+    # The first row of each stretch, from doc_ids alone; texts of those rows only.
+    table = saved(docs.groupBy("stretch").agg(F.max("doc_id").alias("doc_id")))
+    heads = docs.join(F.broadcast(table.select(F.col("stretch").alias("s"), F.col("doc_id").alias("d"))), (F.col("stretch") == F.col("s")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    heads = heads.groupBy("stretch").agg(F.max("text").alias("head"))
+    every = Window.orderBy("stretch")
+    order = table.select("stretch", F.coalesce(F.lag("stretch").over(every), F.max("stretch").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("next"))
+    heads = saved(order.join(heads.withColumnRenamed("stretch", "next"), "next").select("stretch", "head", own(F.col("head")).alias("head_own")))
     w = Window.partitionBy("stretch").orderBy(F.desc_nulls_last("doc_id"), F.desc("text"))
-    rows = docs.withColumn("at", F.row_number().over(w)).withColumn("next_text", F.lead("text").over(w))
-    heads = docs.groupBy("stretch").agg(F.max(F.struct("doc_id", "text")).alias("h"))
-    heads = table.join(heads, table["next"] == heads["stretch"]).select(table["stretch"], "rows", F.col("next"), F.col("h.text").alias("head"))
-    rows = rows.join(heads, "stretch")
-    last = F.col("at") == F.col("rows")
-    return rows.select("doc_id", "text", "stretch", "at", F.when(last, F.col("next")).otherwise(F.col("stretch")).alias("next_stretch"), F.when(last, F.lit(1)).otherwise(F.col("at") + 1).alias("next_at"), F.when(last, F.col("head")).otherwise(F.col("next_text")).alias("next_text"))
+    out = docs.withColumn("own", own(F.col("text"))).select("*", F.lead("text").over(w).alias("next_text"), F.lead("own").over(w).alias("next_own"))
+    out = out.join(heads, "stretch")
+    last = F.col("next_text").isNull()
+    return out.select("doc_id", "text", "own", F.when(last, F.col("head")).otherwise(F.col("next_text")).alias("next_text"), F.when(last, F.col("head_own")).otherwise(F.col("next_own")).alias("next_own"))
 
 
 def op6_imatch(spark, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     common = common_terms(docs)
-    rows = followed(docs)
+    rows = followed(docs, lambda text: print_of(text, common))
     third = F.floor(F.length("text") / 3).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - third), F.substring("next_text", F.lit(1), third)))
-    prints = saved(rows.select("stretch", "at", "next_stretch", "next_at", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), lanes_of(F.col("text"), common).alias("own"), lanes_of(F.col("edited"), common).alias("edited")))
-    after = prints.select(F.col("stretch").alias("next_stretch"), F.col("at").alias("next_at"), F.col("own").alias("next"))
-    out = prints.join(after, ["next_stretch", "next_at"])
-    near = lambda other: likeness(F.col("own"), F.col(other))
-    return out.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), near("edited").alias("near_edited"), near("next").alias("near_next"))
+    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "own", "next_own", print_of(F.col("edited"), common).alias("edited"))
+    return rows.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("edited")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"))

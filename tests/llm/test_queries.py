@@ -221,7 +221,7 @@ def test_imatch_keeps_terms_of_large_groups_and_rare_languages(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     common = imatch.common_terms(df.unionByName(df.where("doc_id = 205").drop("doc_id").join(spark.range(1000, 1200).toDF("doc_id"), how="cross").select("doc_id", "text")))
     assert set(common) == {f"of{i}" for i in range(30)}
-    lanes = df.select("doc_id", imatch.lanes_of(F.col("text"), common).alias("l")).where("doc_id < 210")
+    lanes = df.select("doc_id", imatch.print_of(F.col("text"), common).alias("l")).where("doc_id < 210")
     pairs = lanes.alias("a").join(lanes.alias("b"), F.expr("b.doc_id = a.doc_id + 1")).select(F.col("a.doc_id").alias("i"), imatch.likeness(F.col("a.l"), F.col("b.l")).alias("x"))
     near = {r.i: r.x for r in pairs.collect()}
     assert sum(near[i] for i in range(199)) / 199 > 0.3
