@@ -45,7 +45,7 @@ def saved(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     root = f"{shared_dir(spark)}/quillspark/{spark.sparkContext.applicationId}"
     path = f"{root}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 32 << 20).parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(root)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)

@@ -5,7 +5,8 @@ P parts of its size band, with P above the largest symmetric difference that a s
 so a similar pair has a part in which both hold the same shingles (pigeonhole), however frequent single shingles are.
 A set whose shingles fall into so few parts that this might fail is dealt by a next hash, too (TURNS of them).
 Among the sets that share a part, bit counts of hashed bitmaps bound the overlap from above; a spanning forest of the
-admitted pairs goes on, never the pairs; where more than GROUP sets share a part, all of them go on as a star. Their
+admitted pairs goes on, never the pairs; where more than GROUP sets share a part, all of them go on as a star. Parts that
+very many sets share show in a sample of the sets; their rows are stars at once and are spread over all tasks. Their
 components are families, which hold all similar pairs. A family's sets, ordered by size, are cut into blocks of a bounded
 number of shingles; each two blocks whose sizes are compatible make a tile. In a tile wider bitmaps admit pairs that are
 not connected yet, and the sorted sets are intersected exactly.
@@ -34,6 +35,8 @@ from .common import documents, looked_up, map_text, ranked, saved, small
 
 #: Ratio of neighbouring size bands, sets of a group that a task compares with each other, shingles of a tile's side, hashes that deal a set into parts.
 BAND, GROUP, SIDE, TURNS = 0.62, 16384, 2_000_000, 8
+#: Of so many documents one looks for parts that many sets share, but not of fewer than SAMPLED; such a part has LIKELY of them.
+ONE_OF, SAMPLED, LIKELY = 64, 100_000, 32
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -304,9 +307,14 @@ def _families(reps: DataFrame, num: int, den: int) -> DataFrame:
             all_sets = np.concatenate(sets) if sets else np.empty(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(_longs(all_sets)), batch.column("doc_id").take(pa.array(at))], names=["sig", "doc_id"])
 
-    rows = reps.select("doc_id", "set").mapInArrow(sign, "sig long, doc_id long")
-    counts = saved(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("centre")).where("rows > 1"))
-    rows = saved(looked_up(rows, counts.withColumn("many", F.col("rows") > GROUP), ["sig"], "rows", F.col("doc_id")))
+    signed = lambda some: some.select("doc_id", "set").mapInArrow(sign, "sig long, doc_id long")
+    one_of = max(ONE_OF, reps.count() // SAMPLED)
+    hot = signed(reps.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_of)) == 0)).groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("centre"))
+    hot = saved(hot.where(F.col("n") >= LIKELY).drop("n"))  # at most 1 / LIKELY of the sample's rows
+    rows = signed(reps).join(F.broadcast(hot), "sig", "left").withColumn("salt", F.when(F.col("centre").isNull(), F.lit(0)).otherwise(F.pmod(F.hash("doc_id"), F.lit(1 << 20)) + 1))
+    own = Window.partitionBy("sig", "salt")
+    rows = rows.select("sig", "doc_id", F.count(F.lit(1)).over(own).alias("rows"), F.col("centre").isNotNull().alias("hot"), F.coalesce("centre", F.min("doc_id").over(own)).alias("centre"))
+    rows = saved(rows.where("hot or rows > 1").select("sig", "doc_id", "centre", (F.col("hot") | (F.col("rows") > GROUP)).alias("many")))
     stars = rows.where("many").select(F.col("centre").alias("a"), F.col("doc_id").alias("b"))
     dealt = rows.where("not many").select("sig", "doc_id").join(small(saved(reps.select("doc_id", "n", "bits"))), "doc_id").repartition("sig").sortWithinPartitions("sig", "n", "doc_id")
 

@@ -3,9 +3,9 @@
 Method. The model is one of characters: grams of ORDER of them within a language. One pass over all texts counts the
 grams of trusted training texts and notes which grams occur at all. Counts, numbers of continuations, discounts and
 back-off weights are aggregations and joins over that table, sharded by gram, and give each gram that occurs anywhere
-its probability. Texts of a language are dealt into batches of a bounded number of bytes; a batch's distinct grams meet
-the model by a join sharded by gram, in which a gram stands once for each batch however frequent it is, and come back to
-their batch, where they are summed up for each document. The perplexity is exp of the mean of -log p. The
+its probability. Texts of a language are packed where they are read, some megabytes to a batch, compressed; a batch's
+distinct grams meet the model by a join sharded by gram, in which a gram stands once for each batch however frequent it
+is, and come back to their batch, where they are summed up for each document. The perplexity is exp of the mean of -log p. The
 threshold is the language's quantile of perplexities of trusted texts that were not trained on, in the band of length
 of the text (short texts vary more), and a margin above it.
 
@@ -18,17 +18,20 @@ their names. An empty table gives an empty result. A text longer than a batch is
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, free_names, map_text, saved, small
 
 ORDER, BITS = 4, 16
-#: Bytes of text that a task works on at a time.
-BATCH = 3 << 20
+#: Bytes of text that a task works on at a time, and of a packed batch of one language; texts in hand to be packed have four times that.
+BATCH, PACKED = 3 << 20, 6 << 20
 #: Quantile of the trusted texts' perplexities, what a text may lie above it, the share of trusted texts kept from training.
 QUANTILE, MARGIN, HELD = 0.99, 1.1, 5
 #: Bands of length: the number of bits of the number of characters, from and to.
@@ -104,43 +107,87 @@ def model(counts: DataFrame) -> DataFrame:
     return out.select("lang", "gram", (-F.log("below")).alias("nll"))
 
 
-def _sums(docs: DataFrame, table: DataFrame, batch: int = BATCH) -> DataFrame:
-    """doc_id, row, lang, trusted, length, sum of -log p of the texts of docs (doc_id, row, lang, trusted, text); table: lang, gram, nll."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    dealt = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", "row"), F.lit(size // batch + 1))).select("lang", "batch", "doc_id", "row", "trusted", "text").repartition("lang", "batch")
+def _chunks(texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """(from, to) of runs of texts of at most limit characters, or of one text."""
+    a = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > limit:
+            yield a, i
+            a, size = i, 0
+        size += len(t)
+    if texts:
+        yield a, len(texts)
 
-    def wanted(batches):
-        """Distinct grams of each batch, whose texts stand together."""
-        own, texts = None, []
 
-        def found() -> pa.RecordBatch:
-            kinds = np.unique(grams_of(texts)[0])
-            zeros = pa.array(np.zeros(len(kinds), np.int32))
-            return pa.RecordBatch.from_arrays([pa.array([own[0]], pa.string()).take(zeros), pa.array([own[1]], pa.int64()).take(zeros), pa.array(kinds)], names=["lang", "batch", "gram"])
+def _packed(docs: DataFrame, size: int) -> DataFrame:
+    """lang, batch, blob: documents of a language, an Arrow table compressed; batch is the blob's hash, so that a task that runs again gives the same."""
 
-        for b in batches:
-            for lang, number, text in zip(*(b.column(c).to_pylist() for c in ("lang", "batch", "text")), strict=True):
-                if own != (lang, number):
-                    if texts:
-                        yield found()
-                    own, texts = (lang, number), []
-                texts.append(text)
-        if texts:
-            yield found()
-
-    def summed(texts: pa.Table, grams: pa.Table) -> pa.Table:
-        g, n = grams_of(texts.column("text").to_pylist())
-        nll = np.zeros(len(g), np.float64)
-        if len(g):
-            held = grams.column("gram").to_numpy()
-            order = np.argsort(held)
-            which, kinds = pd.factorize(g)
-            nll = grams.column("nll").to_numpy()[order][np.searchsorted(held[order], kinds)][which]
-        total, ends = np.concatenate([[0.0], np.cumsum(nll)]), np.cumsum(n)
-        out = texts.drop_columns(["text", "batch"]).append_column("length", pa.array(n)).append_column("nll", pa.array(total[ends] - total[ends - n]))
-        return out.select(["doc_id", "row", "lang", "trusted", "length", "nll"])
+    def run(batches):
+        held: dict[str, list[pa.RecordBatch]] = {}
+        sizes: dict[str, int] = {}
+
+        def blob(lang: str) -> pa.RecordBatch:
+            sizes.pop(lang)
+            sink = pa.BufferOutputStream()
+            table = pa.Table.from_batches(held.pop(lang)).combine_chunks()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(table)
+            data = sink.getvalue().to_pybytes()
+            return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([xxhash.xxh64_intdigest(data) - (1 << 63)], pa.int64()), pa.array([data], pa.binary())], names=["lang", "batch", "blob"])
+
+        import pyarrow.compute  # noqa: F401
+
+        from .common import slices
 
-    asked = dealt.sortWithinPartitions("lang", "batch").mapInArrow(wanted, "lang string, batch long, gram long")
+        for whole in batches:
+            for batch in slices(whole, "text", size):
+                for lang, rows in by_language(batch).items():
+                    held.setdefault(lang, []).append(rows.drop_columns(["lang"]))
+                    sizes[lang] = sizes.get(lang, 0) + rows.column("text").nbytes
+                    if sizes[lang] > size:
+                        yield blob(lang)
+                while sum(sizes.values()) > 4 * size:
+                    yield blob(max(sizes, key=sizes.get))
+        for lang in sorted(held):
+            yield blob(lang)
+
+    return docs.select("lang", "doc_id", "row", "trusted", "text").mapInArrow(run, "lang string, batch long, blob binary")
+
+
+def _sums(docs: DataFrame, table: DataFrame, size: int = PACKED) -> DataFrame:
+    """doc_id, row, lang, trusted, length, sum of -log p of the texts of docs (doc_id, row, lang, trusted, text); table: lang, gram, nll."""
+    dealt = _packed(docs, size).repartition("lang", "batch")
+
+    def wanted(batches):
+        """Distinct grams of each batch."""
+        for b in batches:
+            for lang, number, blob in zip(*(b.column(c).to_pylist() for c in ("lang", "batch", "blob")), strict=True):
+                texts = pa.ipc.open_stream(blob).read_all().column("text").to_pylist()
+                kinds = np.unique(np.concatenate([np.unique(grams_of(texts[i:j])[0]) for i, j in _chunks(texts)]))
+                zeros = pa.array(np.zeros(len(kinds), np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(zeros), pa.array([number], pa.int64()).take(zeros), pa.array(kinds)], names=["lang", "batch", "gram"])
+
+    def summed(blobs: pa.Table, grams: pa.Table) -> pa.Table:
+        held, values = grams.column("gram").to_numpy(), grams.column("nll").to_numpy()
+        order = np.argsort(held)
+        held, values = held[order], values[order]
+        out = []
+        for lang, blob in zip(blobs.column("lang").to_pylist(), blobs.column("blob").to_pylist(), strict=True):
+            rows = pa.ipc.open_stream(blob).read_all()
+            texts = rows.column("text").to_pylist()
+            lengths, sums = [], []
+            for i, j in _chunks(texts):
+                g, n = grams_of(texts[i:j])
+                which, kinds = pd.factorize(g)
+                nll = values[np.searchsorted(held, kinds)][which] if len(g) else np.zeros(0)
+                total, ends = np.concatenate([[0.0], np.cumsum(nll)]), np.cumsum(n)
+                lengths.append(n)
+                sums.append(total[ends] - total[ends - n])
+            rows = rows.drop_columns(["text"]).append_column("lang", pa.array([lang] * len(texts), pa.string()))
+            out.append(rows.append_column("length", pa.array(np.concatenate(lengths))).append_column("nll", pa.array(np.concatenate(sums))))
+        return pa.concat_tables(out).select(["doc_id", "row", "lang", "trusted", "length", "nll"])
+
+    asked = dealt.mapInArrow(wanted, "lang string, batch long, gram long")
     answers = asked.join(table, ["lang", "gram"]).select("lang", "batch", "gram", "nll")
     return dealt.groupBy("lang", "batch").cogroup(answers.groupBy("lang", "batch")).applyInArrow(summed, "doc_id long, row long, lang string, trusted int, length long, nll double")
 
