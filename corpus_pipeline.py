@@ -1,8 +1,10 @@
 """documents -> quality classifier -> line dedup -> near-duplicate join -> source mix -> packed sequences.
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's docs. All but
-the last return the columns of documents. Rows of one text and doc_id that repeat stay repeated. A document that the mix
-takes several times becomes as many rows. Empty tables go through with empty results.
+the last return the columns of documents, extra ones too, whatever their names. Rows of one text and doc_id that repeat
+stay repeated. Of a group of near-duplicates the document with the smallest doc_id stays, all rows of it; documents without
+doc_id stay. Of lines that tie the one in the smallest doc_id stays. A document that the mix takes several times becomes
+as many rows; rows alike share what it takes of them. Null texts are empty. Empty tables go through with empty results.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import jaccard, lines, mixing, packing, perplexity
-from quillspark.llm.common import documents, saved, small
+from quillspark.llm.common import documents, free_names, saved, small
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,21 +29,22 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each component of texts with similar sets of five-word shingles."""
-    first = jaccard.near_duplicates(docs, 5, "0.8").where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.where("doc_id is null").unionByName(docs.join(small(saved(first)), F.col("doc_id").cast("long") == F.col("_id"), "left_semi"))
+    (doc,) = free_names(docs, "_id")
+    first = jaccard.near_duplicates(docs, 5, "0.8").where("doc_id = component_id").select(F.col("doc_id").alias(doc)).distinct()
+    return docs.where("doc_id is null").unionByName(docs.join(small(saved(first)), F.col("doc_id").cast("long") == F.col(doc), "left_semi"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    taken = saved(mixing.mix(docs).groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_hash"), F.col("source").alias("_source")).agg(F.sum("times").alias("_times"), F.count(F.lit(1)).alias("_copies")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_hash")) & F.col("source").eqNullSafe(F.col("_source"))
-    out = docs.join(small(taken), same)
-    if taken.where("_copies > 1").isEmpty():
-        times = F.col("_times")
-    else:  # repeated rows share what the mix takes of them
-        out = out.withColumn("_copy", F.row_number().over(Window.partitionBy("_id", "_hash", "_source").orderBy("_hash")))
-        times = F.floor((F.col("_times") + F.col("_copies") - F.col("_copy")) / F.col("_copies"))
-    return out.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), times.cast("int"))).alias("_one")).drop("_one")
+    doc, row, source, times, copies, copy, one = free_names(docs, "_id", "_row", "_source", "_times", "_copies", "_copy", "_one")
+    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias(doc), F.col("row").alias(row), F.col("source").alias(source))
+    taken = saved(taken.agg(F.sum("times").alias(times), F.count(F.lit(1)).alias(copies)))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col(row)) & F.col("source").cast("string").eqNullSafe(F.col(source))
+    out, often = docs.join(small(taken), same), F.col(times)
+    if not taken.where(F.col(copies) > 1).isEmpty():  # repeated rows share what the mix takes of them
+        out = out.withColumn(copy, F.row_number().over(Window.partitionBy(doc, row, source).orderBy(row)))
+        often = F.floor((F.col(times) + F.col(copies) - F.col(copy)) / F.col(copies))
+    return out.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), often.cast("int"))).alias(one)).drop(one)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
