@@ -316,7 +316,8 @@ def _families(reps: DataFrame, num: int, den: int) -> DataFrame:
     rows = rows.select("sig", "doc_id", F.count(F.lit(1)).over(own).alias("rows"), F.col("centre").isNotNull().alias("hot"), F.coalesce("centre", F.min("doc_id").over(own)).alias("centre"))
     rows = saved(rows.where("hot or rows > 1").select("sig", "doc_id", "centre", (F.col("hot") | (F.col("rows") > GROUP)).alias("many")))
     stars = rows.where("many").select(F.col("centre").alias("a"), F.col("doc_id").alias("b"))
-    dealt = rows.where("not many").select("sig", "doc_id").join(small(saved(reps.select("doc_id", "n", "bits"))), "doc_id").repartition("sig").sortWithinPartitions("sig", "n", "doc_id")
+    # A merge by doc_id, even of a small table: rows of a document then follow each other, and the shuffle compresses their bitmaps.
+    dealt = rows.where("not many").select("sig", "doc_id").join(reps.select("doc_id", "n", "bits").hint("merge"), "doc_id").repartition("sig").sortWithinPartitions("sig", "n", "doc_id")
 
     def find(group: list[tuple]):
         for x, y in group_forest(np.array([g[2] for g in group], np.int64), [g[3] for g in group], num, den):
@@ -345,7 +346,7 @@ def _tiles(blocks: DataFrame, num: int, den: int) -> DataFrame:
 
 def _found(placed: DataFrame, reps: DataFrame, num: int, den: int, count: bool) -> DataFrame:
     """What the tiles (family, i, j) yield of the sets placed (block, doc_id, digest) in them."""
-    dealt = placed.join(reps.select("doc_id", "digest", "n", "set"), ["doc_id", "digest"]).repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "n", "doc_id", "digest")
+    dealt = reps.select("doc_id", "digest", "n", "set").join(small(saved(placed)), ["doc_id", "digest"]).repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "n", "doc_id", "digest")
 
     def find(group: list[tuple]):
         sets = list({(g[4], g[5]): (g[3], g[4], g[5], np.frombuffer(g[6], np.uint64)) for g in group}.values())
