@@ -31,6 +31,18 @@ def query_type(x: Column) -> Column:
     return out
 
 
+# Citations that an evaluation counts.
+CITED = (r"(?:Art\.?|Artigo)\s*\d+", r"§\s*\d+", r"(?:Lei|IN)\s+(?:nº?\s*)?\d+")
+
+
+def cited(answer: Column, context: Column) -> dict[str, Column]:
+    """has_citations, citation_count, accuracy: the share of citations, spaces kept, that the context holds; 1 without citations."""
+    found = F.concat(*(F.regexp_extract_all(answer, F.lit("(?iU)" + p), F.lit(0)) for p in CITED))
+    low = F.lower(context)
+    held = F.size(F.filter(found, lambda c: F.contains(low, F.lower(c))))
+    return {"has_citations": F.size(found) > 0, "citation_count": F.size(found), "accuracy": F.when(F.size(found) == 0, F.lit(1.0)).otherwise(held / F.size(found))}
+
+
 def _number(x: Column) -> Column:
     return F.replace(F.replace(x, F.lit("."), F.lit("")), F.lit(","), F.lit(".")).try_cast("double")
 

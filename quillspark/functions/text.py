@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -10,13 +11,43 @@ from pyspark.sql import functions as F
 
 
 def nfc(x: Column) -> Column:
-    """Composed form. Only texts with combining marks differ from it, but the engine has no function for that, so all pass through Arrow."""
+    """Composed form. Texts of characters below U+0300 are composed as they are; only the others pass through Arrow."""
 
     @F.pandas_udf("string")
     def composed(t: pd.Series) -> pd.Series:
         return t.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")
 
-    return composed(x)
+    other = x.rlike("[^\\x{0}-\\x{2FF}]")
+    return F.when(other, composed(F.when(other, x))).otherwise(x)
+
+
+# What UTF-8 looks like where it was read as a single-byte encoding.
+MOJIBAKE = ("Ã§", "Ã£", "Ã©", "Ã¡", "Ã³", "nÂº")
+
+
+def has_mojibake(x: Column) -> Column:
+    return reduce(lambda a, b: a | b, (F.contains(x, F.lit(m)) for m in MOJIBAKE))
+
+
+def repair_mojibake(x: Column, target: str = "cp1252") -> Column:
+    """Texts that show it, read anew: written as ISO 8859-1 and decoded by target; unchanged where either fails.
+
+    cp1252 turns the controls U+0080 to U+009F into the signs that they stand for; utf-8 also joins pairs such as the
+    listed ones.
+    """
+
+    @F.pandas_udf("string")
+    def repaired(t: pd.Series) -> pd.Series:
+        def one(s: str) -> str:
+            try:
+                return s.encode("latin-1").decode(target)
+            except UnicodeError:
+                return s
+
+        return t.map(one, na_action="ignore")
+
+    found = has_mojibake(x)
+    return F.when(found, repaired(F.when(found, x))).otherwise(x)
 
 
 def strip(x: Column) -> Column:

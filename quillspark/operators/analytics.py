@@ -63,6 +63,75 @@ def t_p_value(t: float, df: float) -> float:
     return min(1.0, front * fraction(x, a, b) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(1 - x, b, a) / b)
 
 
+def embedding_stats(vectors: DataFrame, vector: str = "vector") -> DataFrame:
+    """n, dim, mean, std (population), low and high of all numbers, mean norm of the vectors; sums of each vector first, so a pass and no rows of numbers."""
+    e = vectors.select(F.col(vector).cast("array<double>").alias("e"))
+    total = lambda f: F.aggregate("e", F.lit(0.0), lambda s, v: s + f(v))
+    each = e.select(F.size("e").alias("dim"), total(lambda v: v).alias("s"), total(lambda v: v * v).alias("q"), F.array_min("e").alias("low"), F.array_max("e").alias("high"))
+    n = F.sum("dim")
+    out = each.agg(F.count(F.lit(1)).alias("n"), F.max("dim").cast("long").alias("dim"), (F.sum("s") / n).alias("mean"), (F.sum("q") / n).alias("square"), F.min("low").alias("low"), F.max("high").alias("high"), F.avg(F.sqrt("q")).alias("mean_norm"))
+    return out.select("n", "dim", "mean", F.sqrt(F.greatest(F.col("square") - F.col("mean") * F.col("mean"), F.lit(0.0))).alias("std"), "low", "high", "mean_norm")
+
+
+def dataset_stats(pairs: DataFrame, by: list[str], question: str = "question", answer: str = "ground_truth") -> DataFrame:
+    """kind, value, n, percent of all rows for each column of by, and the mean numbers of words as rows of the kind words."""
+    words = lambda c: F.size(F.filter(F.split(c, r"(?U)\s+"), lambda w: w != ""))
+    total = pairs.agg(F.count(F.lit(1)).alias("_all"), F.avg(words(question)).alias("_q"), F.avg(words(answer)).alias("_a"))
+    out = None
+    for c in by:
+        part = pairs.groupBy(F.lit(c).alias("kind"), F.col(c).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        out = part if out is None else out.unionByName(part)
+    rows = out.join(F.broadcast(total), how="cross").select("kind", "value", F.col("n").cast("double").alias("n"), (100 * F.col("n") / F.col("_all")).alias("percent"))
+    means = total.select(F.explode(F.array(F.struct(F.lit("question").alias("value"), F.col("_q").alias("n")), F.struct(F.lit("answer").alias("value"), F.col("_a").alias("n")))).alias("m"))
+    return rows.unionByName(means.select(F.lit("words").alias("kind"), "m.value", "m.n", F.lit(None).cast("double").alias("percent")))
+
+
+def group_stats(runs: DataFrame, by: str, value: str = "value") -> DataFrame:
+    """by, count, mean, sample deviation, least and greatest, most frequent first."""
+    return runs.groupBy(by).agg(F.count(F.lit(1)).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")).orderBy(F.desc("count"), by)
+
+
+def shapiro_wilk(values: list[float]) -> tuple[float, float]:
+    """(W, p) of Shapiro and Wilk's test of normality by Royston's approximation, for 3 to 5000 values; nan below or without spread."""
+    from statistics import NormalDist
+
+    x, n = sorted(values), len(values)
+    if n < 3 or x[0] == x[-1]:
+        return math.nan, math.nan
+    if n > 5000:
+        raise ValueError("at most 5000 values; give a sample")
+    normal = NormalDist()
+    m = [normal.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)]
+    square, u = sum(v * v for v in m), 1 / math.sqrt(n)
+    poly = lambda c, t: sum(a * t**i for i, a in enumerate(c))
+    if n == 3:
+        a = [-math.sqrt(0.5), 0.0, math.sqrt(0.5)]
+    else:
+        top = poly((m[-1] / math.sqrt(square), 0.221157, -0.147981, -2.071190, 4.434685, -2.706056), u)
+        if n > 5:
+            second = poly((m[-2] / math.sqrt(square), 0.042981, -0.293762, -1.752461, 5.682633, -3.582633), u)
+            phi = (square - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * top**2 - 2 * second**2)
+            a = [-top, -second, *(v / math.sqrt(phi) for v in m[2:-2]), second, top]
+        else:
+            phi = (square - 2 * m[-1] ** 2) / (1 - 2 * top**2)
+            a = [-top, *(v / math.sqrt(phi) for v in m[1:-1]), top]
+    mean = sum(x) / n
+    w = sum(p * q for p, q in zip(a, x, strict=True)) ** 2 / sum((v - mean) ** 2 for v in x)
+    w = min(w, 1.0)
+    if n == 3:
+        return w, max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
+    if w == 1.0:
+        return w, 1.0
+    if n <= 11:
+        y = -math.log(poly((-2.273, 0.459), n) - math.log(1 - w))
+        mu, sigma = poly((0.5440, -0.39978, 0.025054, -0.0006714), n), math.exp(poly((1.3822, -0.77857, 0.062767, -0.0020322), n))
+    else:
+        t = math.log(n)
+        y = math.log(1 - w)
+        mu, sigma = poly((-1.5861, -0.31082, -0.083751, 0.0038915), t), math.exp(poly((-0.4803, -0.082676, 0.0030302), t))
+    return w, 1 - normal.cdf((y - mu) / sigma)
+
+
 def best_and_worst(runs: DataFrame, value: str, id: str, n: int = 5) -> DataFrame:
     best = runs.orderBy(F.desc(value), id).limit(n).withColumn("which", F.lit("best"))
     return best.unionByName(runs.orderBy(value, id).limit(n).withColumn("which", F.lit("worst")))

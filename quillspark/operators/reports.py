@@ -68,3 +68,36 @@ def coverage(files: DataFrame, words: str = "words", indexed: str = "indexed") -
     """Files, words, and the share of words that is indexed."""
     of = F.coalesce(F.sum(F.when(F.col(indexed), F.col(words))), F.lit(0))
     return files.agg(F.count(F.lit(1)).alias("files"), F.sum(words).alias("words"), of.alias("indexed_words"), (F.try_divide(of, F.sum(words)) * 100).alias("percent"))
+
+
+def without_errors(runs: DataFrame, error: str = "error") -> DataFrame:
+    return runs.where(F.col(error).isNull())
+
+
+def insights(runs: DataFrame, order: str, id: str = "id", score: str = "overall", hallucination: str = "hallucination", cited: str = "has_citations", first: int = 5) -> DataFrame:
+    """One row: runs below 0.5 with the ids of the first of them in order, runs with hallucination above 0.3, share of runs with citations."""
+    low = F.col(score) < 0.5
+    firsts = runs.where(low).orderBy(order).limit(first).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(id).alias("_id")))), lambda x: x["_id"]).alias("low_quality_ids"))
+    out = runs.agg(F.count_if(low).alias("low_quality"), F.count_if(F.col(hallucination) > 0.3).alias("high_hallucination"), F.coalesce(F.avg(F.col(cited).cast("double")), F.lit(0.0)).alias("citation_rate"))
+    return out.join(F.broadcast(firsts), how="cross")
+
+
+def without_empty(values: Column) -> Column:
+    """A map without keys whose value is null or empty."""
+    return F.map_filter(values, lambda k, v: v.isNotNull() & (v != ""))
+
+
+def law_name(x: Column) -> Column:
+    return strip(F.regexp_replace(x, r"(?U)\s+", " "))
+
+
+def hierarchy(*levels: Column) -> Column:
+    """Levels that are there, from the highest down."""
+    return F.concat_ws(" > ", *levels)
+
+
+def analysis(spark_rows: DataFrame, title: str = "Análise") -> str:
+    """A Markdown table of a small result, as reports show it: at most a row for each configuration."""
+    rows, names = spark_rows.collect(), spark_rows.columns
+    show = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v).replace("|", "\\|")
+    return "\n".join([f"# {title}", "", "| " + " | ".join(names) + " |", "|" + " --- |" * len(names), *("| " + " | ".join(show(r[n]) for n in names) + " |" for r in rows)]) + "\n"

@@ -43,6 +43,44 @@ def markdown_sections(docs: DataFrame, id: str = "doc_id", text: str = "text", l
     return out.select(id, "section", F.coalesce("title", F.lit("Introdução")).alias("title"), content.alias("content")).where(F.length("content") >= least)
 
 
+def heading_sections(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, section, title, level, content of headings of all six levels; text before the first is left out; a text without headings is one section Documento of level 1."""
+    rows = lines(docs, id, text).withColumns({"marks": F.regexp_extract("line", r"^(#{1,6})\s+(.+)$", 1), "head": F.trim(F.regexp_extract("line", r"^(#{1,6})\s+(.+)$", 2))})
+    rows = rows.withColumn("section", F.sum((F.col("marks") != "").cast("int")).over(Window.partitionBy(id).orderBy("pos")))
+    # All lines of a text without headings are in section 0, which other texts lose.
+    rows = rows.withColumn("last", F.max("section").over(Window.partitionBy(id))).where("section > 0 or last = 0")
+    own = F.when(F.col("marks") == "", F.struct("pos", "line"))
+    out = rows.groupBy(id, "section").agg(F.max(F.length("marks")).alias("level"), F.min_by("head", "pos").alias("title"), F.array_sort(F.collect_list(own)).alias("l"))
+    content = F.regexp_replace(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), r"(?U)\A\s+|\s+\z", "")
+    none = F.col("section") == 0
+    return out.select(id, F.greatest(F.col("section"), F.lit(1)).alias("section"), F.when(none, "Documento").otherwise(F.col("title")).alias("title"), F.when(none, 1).otherwise(F.col("level")).alias("level"), content.alias("content"))
+
+
+# The outline of a generated text, its articles, a title without a number before an article.
+OUTLINE = r"(?s)<details>\s*<summary>📋 Esquema da Legislação</summary>(.*?)</details>"
+LISTED = r"^(?:##|\s*\*)\s*Art\.?\s*(\d+(?:\.\d{3})*)[º°]?(?:-[A-Z])?\s*$"
+SUBTITLE = r"^\*\s+([A-ZÀÁÂÃÇÉÊÍÓÔÕÚ][^*\n]{3,80})$"
+
+
+def outline_articles(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, n, number, part: the articles that a text's outline lists, once for each part (preamble, annex), in order. Letters behind a number are left out."""
+    rows = lines(docs.select(id, F.regexp_extract(text, OUTLINE, 1).alias("outline")), id, "outline")
+    rows = rows.withColumn("annexed", F.max(F.col("line").rlike(ANNEX)).over(Window.partitionBy(id).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.select(id, "pos", F.regexp_extract("line", LISTED, 1).alias("number"), F.when(F.col("annexed"), "anexo").otherwise("preambulo").alias("part")).where("number <> ''")
+    first = rows.groupBy(id, "part", "number").agg(F.min("pos").alias("pos"))
+    return first.select(id, F.row_number().over(Window.partitionBy(id).orderBy("pos")).alias("n"), "number", "part")
+
+
+def subtitle(before: Column, most: int = 20) -> Column:
+    """The nearest title without a number among the last lines before an article; one behind a heading or item that names an article, or a bold one, doesn't count."""
+    last = F.reverse(F.slice(F.split(before, "\n", -1), F.greatest(F.size(F.split(before, "\n", -1)) - most + 1, F.lit(1)), F.lit(most)))
+    last = F.transform(last, lambda x: F.regexp_replace(x, r"(?U)\A\s+|\s+\z", ""))
+    is_title = lambda x: x.rlike(SUBTITLE)
+    stops = lambda x: (x.startswith("#") | x.startswith("*")) & (F.contains(x, F.lit("Art.")) | F.contains(x, F.lit("**")))
+    found = F.get(F.filter(last, lambda x: is_title(x) | stops(x)), F.lit(0))
+    return F.when(is_title(found), F.regexp_replace(found, r"(?U)\A\*+\s*", ""))
+
+
 def articles(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, chunk_id, article_number, part, hierarchy columns, hierarchy, content: the first text of each article of each part (preamble, annex).
 

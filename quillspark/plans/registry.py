@@ -125,15 +125,6 @@ def e7_line_classes(spark, sf):
     return rows.where("class is not null").groupBy("doc_id", "class").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(r"""
-WITH t AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS x FROM documents)
-SELECT doc_id, 0::BIGINT AS section, 'Introdução' AS title, md5(x) AS content_md5 FROM t WHERE length(x) >= 100
-""")
-def e1_markdown_sections(spark, sf):
-    """The documents hold no headings, so each is its own introduction; tests have texts with headings."""
-    return structure.markdown_sections(_t(spark, sf, "documents")).select("doc_id", F.col("section").cast("long").alias("section"), "title", F.md5(F.col("content").cast("binary")).alias("content_md5"))
-
-
 # --- F: chunks
 
 
@@ -157,11 +148,8 @@ WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v FROM embeddings), n AS
 SELECT (SELECT count(*) FROM embeddings) AS n, (SELECT max(dim) FROM n)::BIGINT AS dim, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS low, round(max(v), 6) AS high, (SELECT round(avg(norm), 6) FROM n) AS mean_norm FROM x
 """)
 def g3_embedding_stats(spark, sf):
-    e = _t(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    norms = e.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("e")).cast("long").alias("dim"), F.round(F.avg(F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, v: s + v * v))), 6).alias("mean_norm"))
-    v = e.select(F.explode("e").alias("v"))
-    stats = v.agg(*(F.round(f("v"), 6).alias(n) for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("low", F.min), ("high", F.max))))
-    return norms.join(F.broadcast(stats), how="cross").select("n", "dim", "mean", "std", "low", "high", "mean_norm")
+    found = analytics.embedding_stats(_t(spark, sf, "embeddings"), "embedding")
+    return found.select("n", "dim", *(F.round(c, 6).alias(c) for c in ("mean", "std", "low", "high", "mean_norm")))
 
 
 @query("""
@@ -216,7 +204,7 @@ e AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id
 
 def _overlap(spark, sf, index, k) -> DataFrame:
     q = _questions(spark, sf).select("query_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("term"))
-    return retrieval.top(q.join(index.postings, "term").groupBy("query_id", "id").agg((F.count(F.lit(1)) / 100).alias("score")), k)
+    return retrieval.top(index.hits(q).groupBy("query_id", "id").agg((F.count(F.lit(1)) / 100).alias("score")), k)
 
 
 @query(f"""
@@ -293,13 +281,6 @@ def i5_input_validation(spark, sf):
     return rows.select("conv_id", "turn", F.size(guardrails.validate_input(F.col("text"))["errors"]).alias("n_errors"))
 
 
-@query()
-def i9_output_validation(spark, sf):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = _t(spark, sf, "conversations").withColumn("question", F.lag("text").over(w)).where("role = 'assistant' and question is not null")
-    return rows.select("conv_id", "turn", guardrails.validate_output(F.col("text"), F.col("question"), F.col("question")).alias("v")).select("conv_id", "turn", "v.*")
-
-
 @query("""
 WITH s AS (SELECT conv_id, turn, """ + ", ".join("(" + " + ".join(f"contains(lower(text), '{w}')::INT" for w in v) + f") AS {k}" for k, v in answers.QUERY_TYPES.items()) + """ FROM conversations WHERE role = 'user')
 SELECT conv_id, turn, CASE WHEN greatest(deductions, calculation, deadlines, income, dependents) = 0 THEN 'rag_default' """ + " ".join(f"WHEN {k} = greatest(deductions, calculation, deadlines, income, dependents) THEN '{k}'" for k in answers.QUERY_TYPES) + """ END AS kind FROM s
@@ -331,20 +312,6 @@ def k4_answer_relevance(spark, sf):
     return rows.select("conv_id", "turn", F.round(answers.answer_relevance(F.col("text"), F.col("question")), 9).alias("relevance"))
 
 
-@query()
-def k8_rag_scores(spark, sf):
-    """Scores of each answer against the user's turns of its conversation."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = _t(spark, sf, "conversations").withColumn("question", F.lag("text").over(w))
-    chunks = rows.where("role = 'user'").groupBy("conv_id").agg(F.collect_list("text").alias("chunks"))
-    rows = rows.where("role = 'assistant' and question is not null").join(chunks, "conv_id")
-    a, q, c = F.col("text"), F.col("question"), F.col("chunks")
-    joined = F.array_join(c, " ")
-    rows = rows.select("conv_id", "turn", answers.faithfulness(a, joined).alias("faithfulness"), answers.answer_relevance(a, q).alias("relevance"), answers.context_relevance(c, q).alias("context"), answers.hallucination(a, joined).alias("hallucination"))
-    one = F.lit(1.0)
-    return rows.withColumn("overall", answers.overall(one, one, F.col("faithfulness"), F.col("relevance"), F.col("context"), F.col("hallucination")))
-
-
 # --- L, M, N: analytics, cache, conversations
 
 
@@ -383,27 +350,12 @@ def l10_distribution(spark, sf):
     return analytics.distribution(_t(spark, sf, "documents"), "lang").withColumn("percent", F.round("percent", 6))
 
 
-@query(r"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE trim(line) = '') AS n_blank, count(*) FILTER (WHERE regexp_matches(line, '^#{1,6} ')) AS n_headings, count(*) FILTER (WHERE contains(line, '|')) AS n_tables, max(length(line))::BIGINT AS longest FROM l GROUP BY doc_id
-""")
-def l13_document_audit(spark, sf):
-    lines = _t(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
-    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(F.trim("line") == "").alias("n_blank"), F.count_if(F.col("line").rlike("^#{1,6} ")).alias("n_headings"), F.count_if(F.contains("line", F.lit("|"))).alias("n_tables"), F.max(F.length("line")).cast("long").alias("longest"))
-
-
 @query("SELECT CASE WHEN length(text) < 200 THEN '0-200' WHEN length(text) < 500 THEN '200-500' WHEN length(text) < 800 THEN '500-800' WHEN length(text) < 1000 THEN '800-1000' ELSE '1000+' END AS bucket, count(*) AS n, min(length(text))::BIGINT AS low, max(length(text))::BIGINT AS high FROM documents GROUP BY 1")
 def l16_size_buckets(spark, sf):
     n = F.length("text")
     return _t(spark, sf, "documents").groupBy(analytics.size_bucket(n).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min(n).cast("long").alias("low"), F.max(n).cast("long").alias("high"))
 
 
-@query("SELECT text, min(conv_id) AS first_conv, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY text")
-def m1_answer_cache(spark, sf):
-    """Equal questions are answered once."""
-    return _t(spark, sf, "conversations").where("role = 'user'").groupBy("text").agg(F.min("conv_id").alias("first_conv"), F.count(F.lit(1)).alias("n"))
-
-
 @query("SELECT conv_id, count(*) AS n_turns, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS history_md5, max_by(text, turn) AS last_text FROM conversations GROUP BY conv_id")
 def n1_history(spark, sf):
     rows = _t(spark, sf, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("said")))).alias("t"), F.max_by("text", "turn").alias("last_text"))
@@ -412,33 +364,33 @@ def n1_history(spark, sf):
 
 # --- B, E, F: outlines, lines of laws, chunks of sections
 
-#: Lines of laws made of the documents alike in both engines, since the documents hold none.
-_LEGAL = "concat(CASE doc_id % 10 WHEN 0 THEN 'LIVRO II ' WHEN 1 THEN 'Título IV ' WHEN 2 THEN 'CAPÍTULO III ' WHEN 3 THEN 'Seção 2 ' WHEN 4 THEN 'Art. 5 ' WHEN 5 THEN 'Art. 7º, ' WHEN 6 THEN '§ 3º ' WHEN 7 THEN 'IV - ' WHEN 8 THEN 'b) ' ELSE 'Art. 9 e art. 2 ' END, replace(substr(text, 1, 40), chr(10), ' '))"
-_LINES = f"l AS (SELECT doc_id, regexp_replace({_LEGAL}, '^\\s+|\\s+$', '', 'g') AS x FROM documents)"
+#: All lines of the documents, each behind a made-up heading, alike in both engines, since the documents hold none.
+_LEGAL = "concat(CASE (doc_id + pos) % 10 WHEN 0 THEN 'LIVRO II ' WHEN 1 THEN 'Título IV ' WHEN 2 THEN 'CAPÍTULO III ' WHEN 3 THEN 'Seção 2 ' WHEN 4 THEN 'Art. 5 ' WHEN 5 THEN 'Art. 7º, ' WHEN 6 THEN '§ 3º ' WHEN 7 THEN 'IV - ' WHEN 8 THEN 'b) ' ELSE 'Art. 9 e art. 2 ' END, line)"
+_LINES = f"a AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents), l AS (SELECT doc_id, pos, regexp_replace({_LEGAL}, '^\\s+|\\s+$', '', 'g') AS x FROM a)"
 
 
 def _legal(spark, sf) -> DataFrame:
-    return _t(spark, sf, "documents").select("doc_id", text.strip(F.expr(_LEGAL)).alias("x"))
+    return structure.lines(_t(spark, sf, "documents")).select("doc_id", F.col("pos").cast("long").alias("pos"), text.strip(F.expr(_LEGAL)).alias("x"))
 
 
 @query(r"""
 WITH """ + _LINES + r""", v AS (SELECT *, CASE WHEN regexp_matches(x, '(?i)^LIVRO\s+[IVXLCDM]+\b') THEN 1 WHEN regexp_matches(x, '(?i)^TÍTULO\s+[IVXLCDM]+\b') THEN 2 WHEN regexp_matches(x, '(?i)^CAPÍTULO\s+[IVXLCDM0-9]+\b') THEN 3 WHEN regexp_matches(x, '(?i)^SEÇÃO\s+[IVXLCDM0-9]+\b') THEN 4 WHEN regexp_matches(x, '^Art\.\s*\d+') THEN 6 END AS level FROM l)
-SELECT doc_id, coalesce(level, 0) AS level, md5(CASE WHEN level = 6 THEN chr(10) || '###### ' || x || ' {#art-' || regexp_extract(x, '\d+') || '}' || chr(10) WHEN level IS NOT NULL THEN chr(10) || repeat('#', level) || ' ' || x || chr(10)
+SELECT doc_id, pos, coalesce(level, 0) AS level, md5(CASE WHEN level = 6 THEN chr(10) || '###### ' || x || ' {#art-' || regexp_extract(x, '\d+') || '}' || chr(10) WHEN level IS NOT NULL THEN chr(10) || repeat('#', level) || ' ' || x || chr(10)
   WHEN regexp_matches(x, '^§\s*\d') THEN chr(10) || '**' || x || '**' || chr(10) WHEN regexp_matches(x, '^[IVX]+\s*[-–—]') THEN '- ' || x WHEN regexp_matches(x, '^[a-z]\)') THEN '  - ' || x ELSE x END) AS markdown_md5 FROM v
 """)
 def e3_legal_lines(spark, sf):
     x = F.col("x")
-    return _legal(spark, sf).select("doc_id", F.coalesce(legal.heading_level(x), F.lit(0)).alias("level"), F.md5(legal.to_markdown_line(x).cast("binary")).alias("markdown_md5"))
+    return _legal(spark, sf).select("doc_id", "pos", F.coalesce(legal.heading_level(x), F.lit(0)).alias("level"), F.md5(legal.to_markdown_line(x).cast("binary")).alias("markdown_md5"))
 
 
 @query(r"""
 WITH """ + _LINES + r""", v AS (SELECT *, regexp_matches(x, '^Art\.\s*\d+') AS has, regexp_replace(regexp_replace(x, '^Art\.\s*\d+[º°]?\.?', ''), '^\s+', '') AS rest FROM l)
-SELECT doc_id, has AND (rest = '' OR regexp_matches(rest, '^\p{Lu}') OR NOT (starts_with(rest, ',') OR regexp_matches(rest, '(?i)^([^.]*\W)?art\.\s*\d+'))) AS is_start,
+SELECT doc_id, pos, has AND (rest = '' OR regexp_matches(rest, '^\p{Lu}') OR NOT (starts_with(rest, ',') OR regexp_matches(rest, '(?i)^([^.]*\W)?art\.\s*\d+'))) AS is_start,
   md5(CASE WHEN has THEN regexp_extract(x, '^Art\.\s*\d+[º°]?\.?') ELSE x END) AS head_md5, md5(CASE WHEN has THEN rest ELSE '' END) AS rest_md5 FROM v
 """)
 def e4_article_starts(spark, sf):
     head, rest = legal.article_head(F.col("x"))
-    return _legal(spark, sf).select("doc_id", legal.is_article_start(F.col("x")).alias("is_start"), F.md5(head.cast("binary")).alias("head_md5"), F.md5(rest.cast("binary")).alias("rest_md5"))
+    return _legal(spark, sf).select("doc_id", "pos", legal.is_article_start(F.col("x")).alias("is_start"), F.md5(head.cast("binary")).alias("head_md5"), F.md5(rest.cast("binary")).alias("rest_md5"))
 
 
 @query("""
@@ -587,18 +539,24 @@ def l21_experiment_grid(spark, sf):
 
 @query(f"""
 WITH {_BM25}, {_OVERLAP},
-dense AS (SELECT 'dense' AS method, query_id, id, rank FROM e WHERE rank <= 10), g AS (SELECT 'bm25' AS method, query_id, id, rank FROM b WHERE rank <= 10),
-r AS (SELECT * FROM dense UNION ALL SELECT * FROM g), k AS (SELECT * FROM (VALUES (3), (5), (10)) v(k)),
+weights AS (SELECT * FROM (VALUES ('hybrid_0.7', 0.7::DOUBLE), ('hybrid_0.5', 0.5::DOUBLE)) v(method, alpha)),
+fetched AS (SELECT query_id, id, a.rank AS dense_rank, z.rank AS sparse_rank FROM (SELECT * FROM e WHERE rank <= 20) a FULL JOIN (SELECT * FROM b WHERE rank <= 20) z USING (query_id, id)),
+fused AS (SELECT method, query_id, id, round(coalesce(alpha / (60 + dense_rank), 0) + coalesce((1 - alpha) / (60 + sparse_rank), 0), 12) AS score FROM fetched CROSS JOIN weights),
+r AS (SELECT 'dense' AS method, query_id, id, rank FROM e UNION ALL SELECT 'bm25', query_id, id, rank FROM b UNION ALL SELECT method, query_id, id, row_number() OVER (PARTITION BY method, query_id ORDER BY score DESC, id) FROM fused),
+k AS (SELECT * FROM (VALUES (3), (5), (10)) v(k)),
 n AS (SELECT method || '_k' || k AS config, query_id, count(*) AS n, md5(string_agg(id, ',' ORDER BY rank)) AS ids_md5 FROM r JOIN k ON rank <= k GROUP BY method, k, query_id),
-every AS (SELECT m || '_k' || k AS config, item_id AS query_id FROM (VALUES ('dense'), ('bm25')) v(m), k, benchmark UNION ALL SELECT 'baseline', item_id FROM benchmark)
+every AS (SELECT m || '_k' || k AS config, item_id AS query_id FROM (VALUES ('dense'), ('bm25'), ('hybrid_0.7'), ('hybrid_0.5')) v(m), k, benchmark UNION ALL SELECT 'baseline', item_id FROM benchmark)
 SELECT config, query_id, CAST(coalesce(n, 0) AS INTEGER) AS n_chunks, ids_md5 FROM every LEFT JOIN n USING (config, query_id)
 """)
 def l22_experiment_runs(spark, sf):
-    """The grid without its hybrids over the benchmark's questions."""
-    index, asked = _index(spark, sf), _questions(spark, sf)
-    part = lambda df, m: df.select(F.lit(m).alias("method"), F.lit(None).cast("double").alias("alpha"), "query_id", "id", "rank")
-    rankings = part(_overlap(spark, sf, index, 10), "dense").unionByName(part(index.search(asked, 10), "bm25"))
-    out = experiments.run(experiments.grid(spark).where("coalesce(method, '') <> 'hybrid'"), asked, rankings)
+    """The whole grid over the benchmark's questions; hybrids fuse what is fetched for the largest k."""
+    index, asked, fetched = _index(spark, sf), _questions(spark, sf), retrieval.fetch_k(10)
+    dense, sparse = _overlap(spark, sf, index, fetched), index.search(asked, fetched)
+    part = lambda df, m, alpha=None: df.select(F.lit(m).alias("method"), F.lit(alpha).cast("double").alias("alpha"), "query_id", "id", "rank")
+    rankings = part(dense, "dense").unionByName(part(sparse, "bm25"))
+    for alpha in (0.7, 0.5):
+        rankings = rankings.unionByName(part(retrieval.fuse_rrf(dense, sparse, 10, alpha), "hybrid", alpha))
+    out = experiments.run(experiments.grid(spark), asked, rankings)
     return out.select("config", "query_id", "n_chunks", F.md5(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")).alias("ids_md5"))
 
 
@@ -616,15 +574,16 @@ def e8_merged_headings(spark, sf):
 
 
 @query(r"""
-WITH """ + _LINES + r""", s AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(x, '[<&]', '', 'g'), '\s+', ' ', 'g'), '^ | $', '', 'g') AS x FROM l),
+WITH """ + _LINES + r""", s AS (SELECT doc_id, pos, regexp_replace(regexp_replace(regexp_replace(x, '[<&]', '', 'g'), '\s+', ' ', 'g'), '^ | $', '', 'g') AS x FROM l),
 v AS (SELECT *, CASE WHEN regexp_matches(x, '(?i)^CAP[IÍ]TULO\s+[IVX0-9]') THEN 3 WHEN regexp_matches(x, '(?i)^SE[ÇC][ÃA]O\s+[IVX0-9]') THEN 4 WHEN regexp_matches(x, '(?i)^Art\.?\s*\d') THEN 6 END AS level FROM s)
-SELECT doc_id, coalesce(level, 0) AS level, CASE WHEN level IS NULL THEN '' ELSE x END AS title, md5(CASE WHEN level IS NOT NULL THEN '' WHEN regexp_matches(x, '^§\s*\d') THEN '**' || x || '**' WHEN regexp_matches(x, '^([IVX]+\s*[-–—]|[a-z]\)\s)') THEN '- ' || x ELSE x END) AS content_md5 FROM v
+SELECT doc_id, pos, coalesce(level, 0) AS level, CASE WHEN level IS NULL THEN '' ELSE x END AS title, md5(CASE WHEN level IS NOT NULL THEN '' WHEN regexp_matches(x, '^§\s*\d') THEN '**' || x || '**' WHEN regexp_matches(x, '^([IVX]+\s*[-–—]|[a-z]\)\s)') THEN '- ' || x ELSE x END) AS content_md5 FROM v
 """)
 def a9_segmented_sections(spark, sf):
-    """Pages of one segment each, made of the lines above."""
+    """A page of one segment for each line."""
     html = F.concat(F.lit('<app-root><div class="segmento">'), F.regexp_replace("x", "[<&]", ""), F.lit("</div></app-root>"))
-    out = laws.segmented_sections(_legal(spark, sf).select("doc_id", html.alias("html")), "doc_id")
-    return out.select("doc_id", "level", "title", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+    out = laws.segmented_sections(_legal(spark, sf).select(F.concat_ws(":", "doc_id", "pos").alias("id"), html.alias("html")), "id")
+    key = F.split("id", ":")
+    return out.select(key[0].cast("long").alias("doc_id"), key[1].cast("long").alias("pos"), "level", "title", F.md5(F.col("content").cast("binary")).alias("content_md5"))
 
 
 #: Documents as one page with a heading line before the text, alike in both engines.
@@ -647,8 +606,8 @@ def a14_page_text_sections(spark, sf):
 
 # --- J, L: answers parsed, tables of reports
 
-#: Answers made of the documents alike in both engines.
-_REPLY = "concat(CASE doc_id % 5 WHEN 0 THEN 'Conforme o Art. 68 § 1º: ' WHEN 1 THEN 'Talvez R$ 10,50. ' WHEN 2 THEN 'Não encontrei. ' WHEN 3 THEN 'Poderia esclarecer a lei? ' ELSE 'artigo 7, talvez 5% ou talvez 6%, possivelmente. ' END, substr(text, 1, CAST(doc_id % 40 * 60 AS INTEGER)))"
+#: Made-up openings before whole texts, alike in both engines.
+_REPLY = "concat(CASE doc_id % 5 WHEN 0 THEN 'Conforme o Art. 68 § 1º: ' WHEN 1 THEN 'Talvez R$ 10,50. ' WHEN 2 THEN 'Não encontrei. ' WHEN 3 THEN 'Poderia esclarecer a lei? ' ELSE 'artigo 7, talvez 5% ou talvez 6%, possivelmente. ' END, text)"
 
 
 @query(r"""
@@ -689,73 +648,3 @@ def l15_coverage(spark, sf):
     labels = _t(spark, sf, "labels").select("doc_id", F.lit(True).alias("indexed")).distinct()
     files_ = _t(spark, sf, "documents").select("doc_id", text.word_count(F.col("text")).alias("words")).join(labels, "doc_id", "left")
     return reports.coverage(files_).withColumn("percent", F.round("percent", 6))
-
-
-# --- whole texts: the queries over made-up short inputs above, over all lines and characters
-
-_LINE = _LEGAL.replace("doc_id % 10", "(doc_id + pos) % 10").replace("replace(substr(text, 1, 40), chr(10), ' ')", "line")
-_ALL_LINES = f"a AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents), l AS (SELECT doc_id, pos, regexp_replace({_LINE}, '^\\s+|\\s+$', '', 'g') AS x FROM a)"
-
-
-def _every_line(name: str) -> str:
-    """The SQL of a query over one line of a document, over each line of its whole text."""
-    return SQL[name].replace(_LINES, "{lines}").replace("SELECT doc_id,", "SELECT doc_id, pos,").replace("{lines}", _ALL_LINES)
-
-
-def _legal_lines(spark, sf) -> DataFrame:
-    return structure.lines(_t(spark, sf, "documents")).select("doc_id", F.col("pos").cast("long").alias("pos"), text.strip(F.expr(_LINE)).alias("x"))
-
-
-@query(_every_line("e3_legal_lines"))
-def e3_whole_legal_lines(spark, sf):
-    x = F.col("x")
-    return _legal_lines(spark, sf).select("doc_id", "pos", F.coalesce(legal.heading_level(x), F.lit(0)).alias("level"), F.md5(legal.to_markdown_line(x).cast("binary")).alias("markdown_md5"))
-
-
-@query(_every_line("e4_article_starts"))
-def e4_whole_article_starts(spark, sf):
-    head, rest = legal.article_head(F.col("x"))
-    return _legal_lines(spark, sf).select("doc_id", "pos", legal.is_article_start(F.col("x")).alias("is_start"), F.md5(head.cast("binary")).alias("head_md5"), F.md5(rest.cast("binary")).alias("rest_md5"))
-
-
-@query(_every_line("a9_segmented_sections"))
-def a9_whole_segmented_sections(spark, sf):
-    """A page of one segment for each line."""
-    html = F.concat(F.lit('<app-root><div class="segmento">'), F.regexp_replace("x", "[<&]", ""), F.lit("</div></app-root>"))
-    out = laws.segmented_sections(_legal_lines(spark, sf).select(F.concat_ws(":", "doc_id", "pos").alias("id"), html.alias("html")), "id")
-    key = F.split("id", ":")
-    return out.select(key[0].cast("long").alias("doc_id"), key[1].cast("long").alias("pos"), "level", "title", F.md5(F.col("content").cast("binary")).alias("content_md5"))
-
-
-#: The made-up openings before whole texts.
-_WHOLE_REPLY = _REPLY.replace("substr(text, 1, CAST(doc_id % 40 * 60 AS INTEGER))", "text")
-
-
-@query(SQL["j8_parsed_answers"].replace(_REPLY, _WHOLE_REPLY))
-def j8_whole_parsed_answers(spark, sf):
-    found = replies.parsed(F.expr(_WHOLE_REPLY))
-    n = lambda c: F.size(found[c]).cast("long")
-    return _t(spark, sf, "documents").select("doc_id", n("citations").alias("n_citations"), F.round(found["confidence"], 6).alias("confidence"), found["has_answer"].alias("has_answer"), found["needs_clarification"].alias("needs_clarification"), n("warnings").alias("n_warnings"))
-
-
-@query(f"""
-WITH {_BM25}, {_OVERLAP},
-weights AS (SELECT * FROM (VALUES ('hybrid_0.7', 0.7::DOUBLE), ('hybrid_0.5', 0.5::DOUBLE)) v(method, alpha)),
-fetched AS (SELECT query_id, id, a.rank AS dense_rank, z.rank AS sparse_rank FROM (SELECT * FROM e WHERE rank <= 20) a FULL JOIN (SELECT * FROM b WHERE rank <= 20) z USING (query_id, id)),
-fused AS (SELECT method, query_id, id, round(coalesce(alpha / (60 + dense_rank), 0) + coalesce((1 - alpha) / (60 + sparse_rank), 0), 12) AS score FROM fetched CROSS JOIN weights),
-r AS (SELECT 'dense' AS method, query_id, id, rank FROM e UNION ALL SELECT 'bm25', query_id, id, rank FROM b UNION ALL SELECT method, query_id, id, row_number() OVER (PARTITION BY method, query_id ORDER BY score DESC, id) FROM fused),
-k AS (SELECT * FROM (VALUES (3), (5), (10)) v(k)),
-n AS (SELECT method || '_k' || k AS config, query_id, count(*) AS n, md5(string_agg(id, ',' ORDER BY rank)) AS ids_md5 FROM r JOIN k ON rank <= k GROUP BY method, k, query_id),
-every AS (SELECT m || '_k' || k AS config, item_id AS query_id FROM (VALUES ('dense'), ('bm25'), ('hybrid_0.7'), ('hybrid_0.5')) v(m), k, benchmark UNION ALL SELECT 'baseline', item_id FROM benchmark)
-SELECT config, query_id, CAST(coalesce(n, 0) AS INTEGER) AS n_chunks, ids_md5 FROM every LEFT JOIN n USING (config, query_id)
-""")
-def l22_whole_experiment_runs(spark, sf):
-    """The whole grid over the benchmark's questions; hybrids fuse what is fetched for the largest k."""
-    index, asked, fetched = _index(spark, sf), _questions(spark, sf), retrieval.fetch_k(10)
-    dense, sparse = _overlap(spark, sf, index, fetched), index.search(asked, fetched)
-    part = lambda df, m, alpha=None: df.select(F.lit(m).alias("method"), F.lit(alpha).cast("double").alias("alpha"), "query_id", "id", "rank")
-    rankings = part(dense, "dense").unionByName(part(sparse, "bm25"))
-    for alpha in (0.7, 0.5):
-        rankings = rankings.unionByName(part(retrieval.fuse_rrf(dense, sparse, 10, alpha), "hybrid", alpha))
-    out = experiments.run(experiments.grid(spark), asked, rankings)
-    return out.select("config", "query_id", "n_chunks", F.md5(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")).alias("ids_md5"))

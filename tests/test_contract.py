@@ -37,7 +37,7 @@ def test_streaming_ingest(spark, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", ["e3_whole_legal_lines", "e4_whole_article_starts", "a9_whole_segmented_sections"])
+@pytest.mark.parametrize("name", ["e3_legal_lines", "e4_article_starts", "a9_segmented_sections"])
 def test_every_line_is_processed(spark, name):
     lines = sum(r.text.count("\n") + 1 for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect())
     assert entry.queries()[name](spark, SF).count() == lines
@@ -46,12 +46,12 @@ def test_every_line_is_processed(spark, name):
 def test_whole_answers_are_parsed(spark, tmp_path):
     texts = [(40, "x " * 2000 + "Art. 9 e R$ 3"), (1, "x " * 2000 + "artigo 8")]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r for r in entry.queries()["j8_whole_parsed_answers"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r for r in entry.queries()["j8_parsed_answers"](spark, str(tmp_path)).collect()}
     assert (got[40].n_citations, got[1].n_citations) == (2, 1)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 def test_hybrids_are_run(spark):
-    rows = entry.queries()["l22_whole_experiment_runs"](spark, SF).collect()
+    rows = entry.queries()["l22_experiment_runs"](spark, SF).collect()
     found = {r.config for r in rows if r.n_chunks}
     assert len({r.config for r in rows}) == 13 and {f"hybrid_{a}_k{k}" for a in (0.7, 0.5) for k in (3, 5, 10)} <= found
