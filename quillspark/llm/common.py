@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import saved, shared_dir  # noqa: F401
+
 #: A word: a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]+"
@@ -25,32 +25,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Where the session names none: a temporary one in local mode, else an error."""
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not found:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """df as a table written to the shared folder: cuts the lineage, survives lost executors, computes df once.
-
-    The tables of an application lie in one folder, which its driver deletes as it ends.
-    """
-    spark = df.sparkSession
-    root = f"{shared_dir(spark)}/quillspark/{spark.sparkContext.applicationId}"
-    path = f"{root}/{uuid.uuid4().hex}"
-    df.write.option("parquet.block.size", 32 << 20).parquet(path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
     """Are the rows and the bytes of a saved df within the bounds?"""
     each = F.lit(16)
