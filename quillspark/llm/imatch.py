@@ -13,8 +13,8 @@ The likeness of two fingerprints comes from the levels that both have: of the la
 the share that agrees gives the share of terms in common (of a lane of random size, which is inverted: lanes of more
 terms break sooner), as twice the common terms over the sum of both. No agreeing lane gives 0, all of them give 1.
 
-Near copies are found by the least hash of three terms that follow each other: of the documents that share it one is
-counted; this is done for ROUNDS hashes in turn.
+Near copies are found by the least hash of three terms that follow each other: of the documents that share two of
+ROUNDS such hashes one is counted, for each two of them in turn.
 
 Defined cases: a null text is empty. A text of fewer than FEW lexicon terms keeps its common terms, too. A text without
 terms gets lanes from the hash of its lower-cased text. Rows that share a doc_id follow each other by text, largest
@@ -53,11 +53,12 @@ def _once(value: Column, f) -> Column:
 def counted_once(docs: DataFrame) -> DataFrame:
     """text of one document of each group of copies and near copies; rows alike in doc_id and text stay together."""
     shingles = lambda t: F.transform(t, lambda x, i: F.xxhash64(x, F.get(t, i + 1), F.get(t, i + 2)))
-    least = lambda s: F.array(*(F.array_min(F.transform(s, lambda x, k=k: F.xxhash64(F.lit(k), x))) for k in range(ROUNDS)))
+    salted = lambda k: lambda x: F.xxhash64(F.lit(k), x)
+    least = lambda s: F.array(*(F.array_min(F.transform(s, salted(k))) for k in range(ROUNDS)))
     hashed = docs.select("text", F.xxhash64("text").alias("h"), F.coalesce("doc_id", F.lit(-1)).alias("id"))
     first = hashed.select("h", "id", _once(terms_of(F.col("text")), lambda t: _once(shingles(t), least)).alias("keys"))
     for k in range(ROUNDS):
-        first = first.groupBy(F.col("keys")[k]).agg(F.min(F.struct("h", "id", "keys")).alias("f")).select("f.*")
+        first = first.groupBy(F.col("keys")[k], F.col("keys")[(k + 1) % ROUNDS]).agg(F.min(F.struct("h", "id", "keys")).alias("f")).select("f.*")
     return hashed.join(small(saved(first.select("h", "id"))), ["h", "id"], "left_semi").select("text")
 
 
