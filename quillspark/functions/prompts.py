@@ -5,7 +5,7 @@ The wording is this package's own; names, slots and the numbering of chunks are
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .answers import query_type
@@ -80,3 +80,13 @@ def display(text: Column, citations: Column, warnings: Column) -> Column:
     said = F.transform(warnings, lambda w: F.concat(F.lit("- "), w, F.lit("\n")))
     part = lambda title, items: F.when(F.size(items) > 0, F.concat(F.lit(f"\n\n{title}\n"), F.array_join(items, ""))).otherwise("")
     return F.concat(text, part("📚 **Referências:**", refs), part("⚠️ **Observações:**", said))
+
+
+def history(rows: DataFrame, id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """id, n_turns, turns (array of role, text in order; the role assistant is called model), last_text, prompt: the turns before the last one, and it."""
+    name = F.when(F.col(role) == "assistant", "model").otherwise(F.col(role))
+    out = rows.groupBy(id).agg(F.array_sort(F.collect_list(F.struct(F.col(turn).alias("turn"), name.alias("role"), F.col(text).alias("text")))).alias("t"))
+    out = out.select(id, F.size("t").alias("n_turns"), F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
+    said = F.array_join(F.transform(F.slice("turns", F.lit(1), F.size("turns") - 1), lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n")
+    last = F.element_at("turns", -1)["text"]
+    return out.select("*", last.alias("last_text"), F.concat_ws("\n\n", F.nullif(said, F.lit("")), F.concat(F.lit("Pergunta: "), F.coalesce(last, F.lit("")))).alias("prompt"))

@@ -17,42 +17,32 @@ def lines_of(text: Column) -> Column:
     return F.split(F.regexp_replace(text, r"\n\z", ""), "\n", -1)
 
 
-def measures(text: Column) -> dict[str, Column]:
-    """All measures of a text as expressions; a line counts as the first of heading, bold, clause, letter and body that it is."""
-    lines = F.when(text == "", F.array().cast("array<string>")).otherwise(lines_of(text))
-    blank = lambda x: F.regexp_replace(x, r"(?U)\s+", "") == ""
-    count = lambda on: F.size(F.filter(lines, on)).cast("long")
-    head = lambda x: x.rlike(HEADING)
-    level = lambda i: count(lambda x: x.rlike(f"^#{{{i}}}\\s+"))
-    kinds = [head, lambda x: x.rlike(BOLD), lambda x: x.rlike(CLAUSE), lambda x: x.rlike(LETTER)]
-
-    def only(i):
-        def on(x):
-            out = kinds[i](x)
-            for k in kinds[:i]:
-                out = out & ~k(x)
-            return out
-
-        return on
-
-    def body(x):
-        out = ~blank(x) & ~x.startswith("<") & ~x.startswith("|")
-        for k in kinds:
-            out = out & ~k(x)
-        return out
-
-    anchors = F.array_distinct(F.regexp_extract_all(text, F.lit(ANCHOR), F.lit(1)))
-    links = F.array_distinct(F.regexp_extract_all(text, F.lit(LINK), F.lit(1)))
-    run = F.aggregate(lines, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda s, x: F.struct(F.when(blank(x), s["now"] + 1).otherwise(0).alias("now"), F.greatest(s["most"], F.when(blank(x), s["now"] + 1).otherwise(0)).alias("most")), lambda s: s["most"])
-    wrong = F.concat(*(F.slice(F.regexp_extract_all(text, F.lit(p), F.lit(0)), 1, 3) for p in WRONG))
-    return {
-        **{f"h{i}": level(i) for i in range(1, 7)}, "headings": count(head), "articles": count(lambda x: x.rlike(HEADING_ARTICLE)),
-        "bold": count(only(1)), "clauses": count(only(2)), "letters": count(only(3)), "body_lines": count(body), "lines": F.size(lines).cast("long"),
-        "anchors": F.size(anchors).cast("long"), "links": F.size(links).cast("long"), "broken_links": F.array_except(links, anchors),
-        "mojibake": F.size(wrong) > 0, "mojibake_samples": F.slice(wrong, 1, 5), "blank_blocks": F.regexp_count(text, F.lit(r"\n{4,}")).cast("long"), "blank_run": run.cast("long"),
-        "chars": F.length(text).cast("long"), "words": F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")).cast("long"), "sha256": F.sha2(text.cast("binary"), 256),
-    }
+def _blank(x: Column) -> Column:
+    return F.regexp_replace(x, r"(?U)\s+", "") == ""
+
+
+def kind_of(line: Column) -> Column:
+    """1 to 6 for headings (with an A for articles), b, c, l for bold, clause and letter, a blank for blank lines, t for text, empty for others."""
+    level = F.length(F.regexp_extract(line, HEADING, 1)).cast("string")
+    return (
+        F.when(line.rlike(HEADING), F.concat(level, F.when(line.rlike(HEADING_ARTICLE), "A").otherwise(""))).when(line.rlike(BOLD), "b").when(line.rlike(CLAUSE), "c")
+        .when(line.rlike(LETTER), "l").when(_blank(line), " ").when(line.startswith("<") | line.startswith("|"), "").otherwise("t")
+    )
 
 
 def audit(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.select(id, *(c.alias(k) for k, c in measures(F.coalesce(F.col(text), F.lit(""))).items()))
+    """All measures of each text: each line is looked at once, as the first of heading, bold, clause, letter and body that it is."""
+    rows = docs.select(id, F.coalesce(F.col(text), F.lit("")).alias("x"))
+    rows = rows.withColumn("kinds", F.when(F.col("x") == "", F.array().cast("array<string>")).otherwise(F.transform(lines_of(F.col("x")), kind_of)))
+    rows = rows.withColumns({"anchors": F.array_distinct(F.regexp_extract_all("x", F.lit(ANCHOR), F.lit(1))), "links": F.array_distinct(F.regexp_extract_all("x", F.lit(LINK), F.lit(1)))})
+    rows = rows.withColumn("wrong", F.concat(*(F.slice(F.regexp_extract_all("x", F.lit(p), F.lit(0)), 1, 3) for p in WRONG)))
+    count = lambda on: F.size(F.filter("kinds", on)).cast("long")
+    run = F.aggregate("kinds", F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda s, k: F.struct(F.when(k == " ", s["now"] + 1).otherwise(0).alias("now"), F.greatest(s["most"], F.when(k == " ", s["now"] + 1).otherwise(0)).alias("most")), lambda s: s["most"])
+    begins, equals = lambda mark: lambda k: k.startswith(mark), lambda mark: lambda k: k == mark
+    found = {f"h{i}": count(begins(str(i))) for i in range(1, 7)}
+    found |= {"headings": count(lambda k: k.rlike("^[1-6]")), "articles": count(lambda k: k.endswith("A"))}
+    found |= {name: count(equals(mark)) for name, mark in (("bold", "b"), ("clauses", "c"), ("letters", "l"), ("body_lines", "t"))}
+    found |= {"lines": F.size("kinds").cast("long"), "anchors": F.size("anchors").cast("long"), "links": F.size("links").cast("long"), "broken_links": F.array_except("links", "anchors")}
+    found |= {"mojibake": F.size("wrong") > 0, "mojibake_samples": F.slice("wrong", 1, 5), "blank_blocks": F.regexp_count("x", F.lit(r"\n{4,}")).cast("long"), "blank_run": run.cast("long")}
+    found |= {"chars": F.length("x").cast("long"), "words": F.regexp_count("x", F.lit(r"(?U)\S+")).cast("long"), "sha256": F.sha2(F.col("x").cast("binary"), 256)}
+    return rows.select(id, *(c.alias(k) for k, c in found.items()))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import answers, guardrails, prompts, replies, text
 from ..operators import analytics, audit, experiments, pipeline, reports, retrieval, structure
-from ..sources import tables
+from ..sources import layouts, tables
 from .registry import _BM25, _has, _index, _keywords, _literal, _t, query
 
 _STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
@@ -542,3 +542,54 @@ def o13_cases(spark, sf):
     return _t(spark, sf, "conversations").select("conv_id", "turn", _md5(experiments.preview(F.col("text"), 100)).alias("question_md5"), _md5(experiments.preview(F.col("text"), 150)).alias("preview_md5"))
 
 
+
+
+# --- A, B, J, O: layouts, conversions, exports, chats
+
+_WRAP = """concat('<html><head><title> Page  ', page_id, '</title><meta name="author" content="a', page_id, '"></head><body>', CASE page_id % 3 WHEN 0 THEN '<app-root><p>x</p></app-root>' WHEN 1 THEN '<p id="a" class="x Artigo">Art. 1 Texto longo aqui</p>' ELSE '<p class="other">plain</p>' END, html)"""
+
+
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'segmented' WHEN 1 THEN 'styled' ELSE 'generic' END AS layout, 'Page ' || page_id AS title, 'a' || page_id AS author FROM pages")
+def a7_page_layouts(spark, sf):
+    """Whole pages behind a head and a paragraph that tell the layout."""
+    out = layouts.page_info(_t(spark, sf, "pages").select("page_id", F.expr(_WRAP).alias("html")))
+    return out.select("page_id", "layout", F.regexp_extract("title", r"^(Page \d+)", 1).alias("title"), F.col("metadata")["author"].alias("author"))
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'page' WHEN 1 THEN 'pages' WHEN 2 THEN 'office' END AS reader FROM documents")
+def a2_readers(spark, sf):
+    kind = F.expr("element_at(array('.HTML', '.pdf', '.docx', '.exe'), cast(doc_id % 4 as int) + 1)")
+    return _t(spark, sf, "documents").select("doc_id", layouts.extractor(kind).alias("reader"))
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (WHERE event_type <> 'error') AS success, count(*) FILTER (WHERE event_type = 'error') AS failure FROM events")
+def a17_conversion_counts(spark, sf):
+    return layouts.conversion_counts(_runs(spark, sf))
+
+
+@query(f"WITH r AS ({_RUN}) SELECT config, printf('%.2f', avg(faithfulness) * 7) AS faithfulness, printf('%.2f', avg(latency_ms)) AS latency_ms FROM r GROUP BY config")
+def b10_comparison_strings(spark, sf):
+    means = _scored(spark, sf).groupBy("config").agg((F.avg("faithfulness") * 7).alias("faithfulness"), F.avg("latency_ms").alias("latency_ms"))
+    return layouts.comparison_strings(means)
+
+
+@query("SELECT user_id, CAST(user_id % 3 AS VARCHAR) AS config_k, CASE WHEN user_id % 2 = 0 THEN 'bm25' END AS config_method, round(avg(value) FILTER (WHERE event_type = 'click'), 6) AS click, round(avg(value) FILTER (WHERE event_type = 'error'), 6) AS error, round(avg(value) FILTER (WHERE event_type = 'purchase'), 6) AS purchase, round(avg(value) FILTER (WHERE event_type = 'signup'), 6) AS signup, round(avg(value) FILTER (WHERE event_type = 'view'), 6) AS view FROM events GROUP BY user_id")
+def b11_flat_export(spark, sf):
+    means = _t(spark, sf, "events").groupBy("user_id", "event_type").agg(F.round(F.avg("value"), 6).alias("v")).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "v"))).alias("aggregated_metrics"))
+    config = F.map_filter(F.create_map(F.lit("k"), (F.col("user_id") % 3).cast("string"), F.lit("method"), F.when(F.col("user_id") % 2 == 0, "bm25")), lambda k, v: v.isNotNull())
+    return layouts.flat(means.withColumn("config", config))
+
+
+@query("SELECT '/in/' || doc_id || '.DOCX' AS source_file, sha256(text) AS source_hash, '.docx' AS file_type, strlen(text)::BIGINT AS file_size_bytes, strlen(source)::BIGINT AS markdown_size_bytes FROM documents")
+def o14_conversion_records(spark, sf):
+    rows = _t(spark, sf, "documents").select(F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".DOCX")).alias("path"), F.col("text").cast("binary").alias("content"), F.col("source").alias("markdown"))
+    return layouts.conversion_record(rows).drop("source_type")
+
+
+@query("""
+WITH t AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, turn, CASE WHEN role = 'assistant' THEN 'model' ELSE role END AS role FROM conversations)
+SELECT conv_id, md5(concat_ws(chr(10) || chr(10), string_agg(role || ': ' || text, chr(10) ORDER BY turn) FILTER (WHERE back > 1), 'Pergunta: ' || max(text) FILTER (WHERE back = 1))) AS prompt_md5 FROM t GROUP BY conv_id
+""")
+def j6_chat_prompts(spark, sf):
+    """What the model is asked for the last turn of each conversation."""
+    return prompts.history(_t(spark, sf, "conversations")).select("conv_id", _md5(F.col("prompt")).alias("prompt_md5"))

@@ -356,10 +356,10 @@ def l16_size_buckets(spark, sf):
     return _t(spark, sf, "documents").groupBy(analytics.size_bucket(n).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min(n).cast("long").alias("low"), F.max(n).cast("long").alias("high"))
 
 
-@query("SELECT conv_id, count(*) AS n_turns, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS history_md5, max_by(text, turn) AS last_text FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, CAST(count(*) AS INTEGER) AS n_turns, md5(string_agg(CASE WHEN role = 'assistant' THEN 'model' ELSE role END || ': ' || text, chr(10) ORDER BY turn)) AS history_md5, max_by(text, turn) AS last_text FROM conversations GROUP BY conv_id")
 def n1_history(spark, sf):
-    rows = _t(spark, sf, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("said")))).alias("t"), F.max_by("text", "turn").alias("last_text"))
-    return rows.select("conv_id", "n_turns", F.md5(F.array_join(F.transform("t", lambda t: t["said"]), "\n").cast("binary")).alias("history_md5"), "last_text")
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit(": "), t["text"])), "\n")
+    return prompts.history(_t(spark, sf, "conversations")).select("conv_id", "n_turns", F.md5(said.cast("binary")).alias("history_md5"), "last_text")
 
 
 # --- B, E, F: outlines, lines of laws, chunks of sections

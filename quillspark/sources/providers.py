@@ -14,6 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..functions.prompts import history
+
 
 class Embedder(Protocol):
     dimension: int
@@ -143,3 +145,8 @@ def answer(df: DataFrame, make: Callable[[], Answerer] = ExtractiveAnswerer, pro
 
     fields = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
     return df.mapInPandas(run, f"{fields}, answer string, error string, tokens long, latency_ms double")
+
+
+def chat(conversations: DataFrame, make: Callable[[], Answerer] = ExtractiveAnswerer, id: str = "conv_id") -> DataFrame:
+    """The model's reply to the last turn of each conversation (id, turn, role, text): one call for each, with the turns before it in the prompt."""
+    return answer(history(conversations, id).select(id, "n_turns", "prompt"), make)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text
 from quillspark.operators import analytics, audit, pipeline, reports, retrieval, structure
-from quillspark.sources import files, tables
+from quillspark.sources import files, layouts, providers, tables
 from quillspark.streaming import ingest as stream
 
 DOCS = [(1, "Contribuinte deve declarar rendimentos. Prazo termina em abril.", {"source": "a"}), (2, "Dependentes reduzem imposto devido. Limite anual aplicado.", {"source": "b"}), (3, "Multa por atraso incide sobre imposto.", {"source": "a"})]
@@ -174,3 +174,28 @@ def test_options():
     assert o.retrieval.top_k == 0 and o.cache_size == 0 and o.to_dict()["chunking"]["max_size"] == 1000
     with pytest.raises(TypeError):
         pipeline.Options().with_(retrieval={"unknown": 1})
+
+
+def test_sections_by_layout(spark):
+    html = ["<app-root><div class=\"segmento\">Art. 1 Texto</div></app-root>", "<p class='Artigo'>Art. 2 Outro texto</p>", "<h1>T</h1><p>body text</p>", None]
+    df = spark.createDataFrame(list(enumerate(html)), "page_id long, html string")
+    assert [r[0] for r in df.orderBy("page_id").select(layouts.layout(F.col("html"))).collect()] == ["segmented", "styled", "generic", "generic"]
+    got = {(r.page_id, r.title) for r in layouts.sections(df).collect()}
+    assert {(1, "Art. 2"), (2, "T")} <= got and any(p == 0 for p, _ in got) and not any(p == 3 for p, _ in got)
+
+
+def test_reports_as_files(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1.5, {"k": "3"}, {"f1": 0.25}), ("b", None, {"m": "x"}, {"mrr": 0.5})], "name string, score double, config map<string,string>, aggregated_metrics map<string,double>")
+    flat = layouts.flat(rows).orderBy("name")
+    assert flat.columns == ["name", "score", "config_k", "config_m", "f1", "mrr"]
+    layouts.write_flat(flat, str(tmp_path / "flat"))
+    (one,) = (tmp_path / "flat").glob("*.csv")
+    assert one.read_bytes().decode("utf-8").splitlines()[:2] == ["\ufeffname;score;config_k;config_m;f1;mrr", "a;1,5;3;;0,25;"]
+    layouts.write_report(flat, str(tmp_path / "r"), "Title")
+    assert spark.read.json(str(tmp_path / "r" / "json")).count() == 2 and "Title" in "".join(r.value for r in spark.read.text(str(tmp_path / "r" / "txt")).collect())
+
+
+def test_chat(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "[Trecho 1]\nUm prazo existe. Outro."), (1, 1, "assistant", "sim"), (1, 2, "user", "qual prazo existe?"), (2, 0, "user", None)], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in providers.chat(rows).collect()}
+    assert got[1].answer == "Um prazo existe. [Trecho 1]" and "model: sim" in got[1].prompt and got[2].error is None
