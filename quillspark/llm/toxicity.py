@@ -33,8 +33,10 @@ WINDOW = 3
 #: rows are taken once the texts taken have SAMPLE_TOTAL characters.
 SAMPLE, SAMPLE_CHARS, SAMPLE_TOTAL = 6000, 200_000, 40_000_000
 EPOCHS, BATCH, SEED = 5, 128, 11
+#: So many steps at least: a small sample goes through more epochs.
+STEPS = 30
 #: Rate of Adam, decay of embeddings, sharpness of the softmax over a text's windows, least share that gets a gradient.
-RATE, DECAY, SHARP, LEAST = 0.05, 0.5, 4.0, 0.01
+RATE, DECAY, SHARP, LEAST = 0.05, 0.5, 3.0, 0.01
 
 #: Bytes that words have: all above 127, letters and digits; others part words.
 _CLEAN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -128,7 +130,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> Model:
     e, m, v = rng.normal(0, 0.05, size), np.zeros(size), np.zeros(size)
     w, c = rng.normal(0, 1.0, (2, DIMENSIONS)), np.array([0.0, np.log(share / (1 - share))])
     rest = [(p, np.zeros_like(p), np.zeros_like(p)) for p in (w, c)]
-    step = 0
+    step, epochs = 0, max(epochs, -(-STEPS // -(-len(own) // BATCH)))
     for epoch in range(epochs):
         order = rng.permutation(len(own))
         for s in range(0, len(order), BATCH):
