@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 from .common import documents, looked_up, map_text, ranked, saved, small
 
 #: Ratio of neighbouring size bands, sets of a group that a task compares with each other, shingles of a tile's side, hashes that deal a set into parts.
-BAND, GROUP, SIDE, TURNS = 0.62, 16384, 2_000_000, 8
+BAND, GROUP, SIDE, TURNS = 0.62, 16384, 1_000_000, 8
+#: Bytes of text or of sets that a task works on at a time.
+BATCH = 1 << 20
 #: Of so many documents one looks for parts that many sets share, but not of fewer than SAMPLED; such a part has LIKELY of them.
 ONE_OF, SAMPLED, LIKELY = 64, 100_000, 32
 
@@ -236,7 +238,7 @@ def features(docs: DataFrame, k: int) -> DataFrame:
         sets = [shingles(t, k) for t in batch.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary())], names=["doc_id", "n", "digest"])
 
-    return map_text(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n long, digest binary")
+    return map_text(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n long, digest binary", limit=BATCH)
 
 
 def representatives(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
@@ -251,7 +253,7 @@ def representatives(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
         own = batch.take(pa.array(at, pa.int64()))
         return pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("digest"), pa.array([len(s) for s in sets], pa.int64()), pa.array(list(map(bitmap, sets)), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "digest", "n", "bits", "set"])
 
-    return map_text(texts.select("doc_id", "text", "digest"), run, "doc_id long, digest binary, n long, bits binary, set binary")
+    return map_text(texts.select("doc_id", "text", "digest"), run, "doc_id long, digest binary, n long, bits binary, set binary", limit=BATCH)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -300,14 +302,12 @@ def _edges(found: DataFrame) -> DataFrame:
 def _families(reps: DataFrame, num: int, den: int) -> DataFrame:
     """(node, component): representatives that may be similar are in one component."""
 
-    def sign(batches):
-        for batch in batches:
-            sets = [signatures(np.frombuffer(x, np.uint64), num, den) for x in batch.column("set").to_pylist()]
-            at = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-            all_sets = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(_longs(all_sets)), batch.column("doc_id").take(pa.array(at))], names=["sig", "doc_id"])
+    def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [signatures(np.frombuffer(x, np.uint64), num, den) for x in batch.column("set").to_pylist()]
+        at = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        return pa.RecordBatch.from_arrays([pa.array(_longs(np.concatenate(sets))), batch.column("doc_id").take(pa.array(at))], names=["sig", "doc_id"])
 
-    signed = lambda some: some.select("doc_id", "set").mapInArrow(sign, "sig long, doc_id long")
+    signed = lambda some: map_text(some.select("doc_id", "set"), sign, "sig long, doc_id long", limit=BATCH, column="set")
     one_of = max(ONE_OF, reps.count() // SAMPLED)
     hot = signed(reps.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_of)) == 0)).groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("centre"))
     hot = saved(hot.where(F.col("n") >= LIKELY).drop("n"))  # at most 1 / LIKELY of the sample's rows
