@@ -1,4 +1,4 @@
-"""Sections of documents: outlines of bounded length, chunks that carry the titles above them, Markdown.
+"""Sections of documents: outlines of bounded length, chunks that carry the titles above them, Markdown.
 
 Sections are rows (id, position, title, level, content) as pages.pages_to_sections gives them.
 """
@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import legal
+
 CHUNKS = "array<struct<content: string, section_title: string, section_level: int, has_context: boolean, part_number: int>>"
 
 
@@ -34,6 +36,76 @@ def markdown(sections: DataFrame, id: str = "doc_id") -> DataFrame:
     return rows.select(id, F.array_join(F.filter(F.transform("s", lambda s: s["piece"]), lambda p: p != ""), "\n\n").alias("markdown"))
 
 
+# Titles that begin a law's structure, first lines that name it, marks of paragraphs, clauses and letters.
+ANNEX, TOP, SUBSECTION = r"(?iU)^(?:ANEXO|REGULAMENTO)", r"(?iU)^(?:LIVRO|TÍTULO|CAPÍTULO)", r"(?iU)^Subse[çc][ãa]o"
+ENACTED = r"(?iU)^(?:DECRETO|LEI|INSTRUÇÃO NORMATIVA|PORTARIA|RESOLUÇÃO)"
+PARAGRAPH = r"(?isU)^(?:\*\*)?\s*((?:§|Parágrafo)\s*(?:único|\d+[º°]?)\.?)\s*(.*?)(?:\*\*)?$"
+CLAUSE, LETTER = r"(?sU)^-?\s*([IVX]+)\s*[-–—]\s*(.*)", r"(?sU)^-?\s*([a-z])\)\s*(.*)"
+BODY = "## 📖 Texto Normativo"
+
+
+def _depth(level: Column, annex: Column, article: Column, start: Column, position: Column) -> Column:
+    """A title's level among 1 to 10 (0: body): two below its own from the law's first book, title, chapter or annex on; articles are items."""
+    began = F.coalesce(start <= position, F.lit(False))
+    within = F.when(level.isin(1, 2, 4, 5), level + 2).when(level == 3, F.when(article, 7).otherwise(5)).when(level == 6, F.when(article, 7).otherwise(0)).otherwise(level)
+    return F.when(annex, 2).when(began, within).when(article & ((level != 0) | start.isNotNull()), 7).otherwise(level)
+
+
+def _spaces(n: Column) -> Column:
+    return F.repeat(F.lit(" "), n.cast("int"))
+
+
+def _heading(title: Column, depth: Column) -> Column:
+    bold = F.concat(F.lit("**"), title, F.lit("**"))
+    item = F.concat(F.lit("  * "), F.when(title.rlike(SUBSECTION), bold).otherwise(title))
+    nested = F.concat(_spaces(F.when(depth == 8, 2).when(depth == 9, 4).otherwise((depth - 8) * 2)), F.lit("- "), bold)
+    return F.when(depth == 0, bold).when(depth <= 6, F.concat(F.repeat(F.lit("#"), depth), F.lit(" "), title)).when(depth == 7, item).otherwise(nested)
+
+
+def _item(line: Column, pattern: str, depth: Column, article: Column, bold: bool, after: str = "") -> Column:
+    """A paragraph, clause or letter as a heading down to level 6, below that as an item of a list, deeper within an article."""
+    mark, body = F.concat(F.regexp_extract(line, pattern, 1), F.lit(after)), F.regexp_replace(F.regexp_extract(line, pattern, 2), r"(?U)^\s+|\s+$", "")
+    join = lambda m: F.when(body == "", m).otherwise(F.concat(m, F.lit(" "), body)) if bold else F.concat(m, F.lit(" "), body)
+    text = join(F.concat(F.lit("**"), mark, F.lit("**")) if bold else mark)
+    indent = F.when(depth == 7, 0).when(depth == 8, 2).when(depth == 9, 2 if bold else 4).otherwise((depth - 8) * 2)
+    listed = F.concat(_spaces(indent + F.when(article, 2).otherwise(0)), F.when(depth == 7, "* ").otherwise("- "), text)
+    return F.concat(F.lit("\n"), F.when(depth <= 6, F.concat(F.repeat(F.lit("#"), depth), F.lit(" "), join(mark))).otherwise(listed), F.lit("\n"))
+
+
+def _nested(content: Column, depth: Column, article: Column) -> Column:
+    below = lambda n: F.when(depth > 0, depth + n).otherwise(6 + n)
+
+    def line(raw: Column) -> Column:
+        x = F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")
+        return (
+            F.when(x == "", "").when(x.rlike(PARAGRAPH), _item(x, PARAGRAPH, below(1), article, True)).when(x.rlike(CLAUSE), _item(x, CLAUSE, below(2), article, False, " -"))
+            .when(x.rlike(LETTER), _item(x, LETTER, below(3), article, False, ")")).otherwise(raw)
+        )
+
+    return F.concat(F.array_join(F.transform(F.split(content, "\n", -1), line), "\n"), F.lit("\n"))
+
+
+def nested_markdown(sections: DataFrame, id: str = "doc_id") -> DataFrame:
+    """id, markdown: a law's sections with titles on levels 1 to 10, and paragraphs, clauses and letters nested below them (B2).
+
+    The title is the first line of a first section without level that names a law, else the id. Null levels are 0, null
+    titles and contents empty. One shuffle by id: the window and the aggregate share it.
+    """
+    own = Window.partitionBy(id)
+    rows = sections.select(id, "position", F.coalesce(F.col("level").cast("int"), F.lit(0)).alias("level"), *(F.coalesce(c, F.lit("")).alias(c) for c in ("title", "content")))
+    rows = rows.withColumns({"annex": F.col("title").rlike(ANNEX), "article": legal.is_article_start(F.col("title"))})
+    begins = F.col("annex") | (F.col("level") == 1) | ((F.col("level") > 1) & F.col("title").rlike(TOP))
+    rows = rows.withColumn("start", F.min(F.when(begins, F.col("position"))).over(own))
+    rows = rows.withColumn("depth", _depth(*(F.col(c) for c in ("level", "annex", "article", "start", "position"))))
+    head = F.when(F.col("title") != "", F.concat(F.lit("\n"), _heading(F.col("title"), F.col("depth")), F.lit("\n")))
+    body = F.when(F.col("content") != "", _nested(F.col("content"), F.col("depth"), F.col("article")))
+    name = F.regexp_replace(F.split("content", "\n", 2)[0], r"(?U)^\s+|\s+$", "")
+    rows = rows.select(id, F.struct("position", F.when((F.col("level") == 0) & name.rlike(ENACTED), name).alias("name"), F.concat_ws("\n", head, body).alias("piece")).alias("s"))
+    rows = rows.groupBy(id).agg(F.array_sort(F.collect_list("s")).alias("s"))
+    title = F.concat(F.lit("# "), F.coalesce(F.col("s")[0]["name"], F.col(id).cast("string")), F.lit("\n"))
+    return rows.select(id, F.concat_ws("\n", title, F.lit(f"{BODY}\n"), F.array_join(F.filter(F.transform("s", lambda s: s["piece"]), lambda p: p != ""), "\n")).alias("markdown"))
+
+
 def chunk(titles: list, levels: list, contents: list, max_size: int = 1000, with_context: bool = True, legacy: bool = False) -> list[dict]:
     """Chunks of one document's sections. The context holds the titles above a section, of levels 1 to 3; legacy drops the last
     of them also below a section that isn't among these levels itself. A long section is cut between paragraphs; a paragraph

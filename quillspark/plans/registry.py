@@ -408,6 +408,11 @@ def b1_page_markdown(spark, sf):
     return sections.markdown(pages.pages_to_sections(_t(spark, sf, "pages")), "page_id")
 
 
+@query()
+def b2_nested_markdown(spark, sf):
+    return sections.nested_markdown(pages.pages_to_sections(_t(spark, sf, "pages")), "page_id")
+
+
 @query()
 def f3_section_chunks(spark, sf):
     return sections.chunk_sections(pages.pages_to_sections(_t(spark, sf, "pages")), "page_id")

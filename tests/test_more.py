@@ -128,3 +128,37 @@ def test_experiments(spark):
     example, rest = experiments.few_shot_example(q, "id")
     assert [r.id for r in example.collect()] == [29] and rest.count() == 29
     assert one(spark, "abc", experiments.preview(F.col("x"), 2))[0] == "ab..."
+
+
+def nested(spark, *rows):
+    schema = "doc_id long, position int, title string, level int, content string"
+    return {r[0]: r[1] for r in sections.nested_markdown(spark.createDataFrame(list(rows), schema)).collect()}
+
+
+def test_nested_markdown_levels_follow_the_structure(spark):
+    out = nested(
+        spark,
+        (1, 0, None, 0, "DECRETO Nº 1\nEmenta"),
+        (1, 1, "Art. 1º Fica aprovado", 3, "§ 1º Vale já"),
+        (1, 2, "ANEXO", 1, ""),
+        (1, 3, "LIVRO I", 1, None),
+        (1, 4, "CAPÍTULO II", 3, "texto"),
+        (1, 5, "Subseção I", 5, ""),
+        (1, 6, "Art. 2º", 6, "§ 1º Dos casos\nI - um\na) letra\n\n  solto"),
+    )[1]
+    lines = [x for x in out.split("\n") if x.strip()]
+    assert lines == [
+        "# DECRETO Nº 1", "## 📖 Texto Normativo", "DECRETO Nº 1", "Ementa", "  * Art. 1º Fica aprovado", "    - **§ 1º** Vale já", "## ANEXO", "### LIVRO I", "##### CAPÍTULO II", "texto",
+        "  * **Subseção I**", "  * Art. 2º", "    - **§ 1º** Dos casos", "      - I - um", "      - a) letra", "  solto",
+    ]
+
+
+def test_nested_markdown_without_structure(spark):
+    out = nested(spark, (1, 0, "Nota", 0, "parágrafo único.\nII – dois\nb) três"), (2, 0, "Parte", 2, "§ 2º x\nI - um"), (3, 0, None, None, None), (4, 0, "Fim", 9, ""), (4, 1, "Fim", 10, ""))
+    short = {k: [x for x in v.split("\n") if x.strip()][2:] for k, v in out.items()}
+    assert short == {1: ["**Nota**", "* **parágrafo único.**", "  - II - dois", "    - b) três"], 2: ["## Parte", "### § 2º x", "#### I - um"], 3: [], 4: ["    - **Fim**", "    - **Fim**"]}
+    assert out[3].startswith("# 3\n")
+
+
+def test_nested_markdown_of_no_sections(spark):
+    assert spark.createDataFrame([], "doc_id long, position int, title string, level int, content string").transform(sections.nested_markdown).count() == 0
