@@ -101,5 +101,6 @@ def pages_to_sections(pages: DataFrame, id: str = "page_id", html: str = "html")
     def read(x: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([read_page(t) for t in x], columns=["title", "metadata", "sections"])
 
-    rows = pages.select(id, read(F.col(html)).alias("p"))
+    # Marked so that the filter which explode implies doesn't read each page a second time.
+    rows = pages.select(id, read.asNondeterministic()(F.col(html)).alias("p"))
     return rows.select(id, F.col("p.title").alias("page_title"), F.posexplode("p.sections").alias("position", "s")).select(id, "page_title", "position", "s.*")

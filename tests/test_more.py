@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import legal, prompts, questions
 from quillspark.operators import experiments, sections
-from quillspark.sources import providers
+from quillspark.sources import pages, providers
 
 
 def one(spark, value, *columns, schema="x string"):
@@ -162,3 +162,10 @@ def test_nested_markdown_without_structure(spark):
 
 def test_nested_markdown_of_no_sections(spark):
     assert spark.createDataFrame([], "doc_id long, position int, title string, level int, content string").transform(sections.nested_markdown).count() == 0
+
+
+def test_pages_are_read_once(spark):
+    html = spark.createDataFrame([(1, "<h1>Um</h1><p>Texto longo o bastante para ficar na seção</p>"), (2, None)], "page_id long, html string")
+    out = pages.pages_to_sections(html)
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [(r.page_id, r.position, r.title) for r in out.collect()] == [(1, 0, "Um")]
