@@ -49,10 +49,10 @@ def template(turns: list[tuple[str, str]]) -> str:
     return "".join(f"{TURN}{escape(r)}{TEXT}{escape(t)}{END}\n" for r, t in turns)
 
 
-def spans_of(turns: list[tuple[str, str]], render: Callable[[list[tuple[str, str]]], str] = template, frames: dict | None = None, short: int | None = None) -> tuple[str, list[tuple[int, int, int, int]], bool]:
+def spans_of(turns: list[tuple[str, str]], render: Callable[[list[tuple[str, str]]], str] = template, frames: dict | None = None) -> tuple[str, list[tuple[int, int, int, int]], bool]:
     """(output, (start, end, text start, text end) of each turn, whether history was rewritten).
 
-    Every prefix is rendered and compared with the one before it, however many turns there are; short has no effect.
+    Every prefix is rendered and compared with the one before it, however many turns there are.
     """
     frames = {} if frames is None else frames
     out: list[tuple[int, int, int, int]] = []

@@ -56,15 +56,16 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def looked_up(df: DataFrame, table: DataFrame, keys: list[str], weight: str, spread: Column) -> DataFrame:
+def looked_up(df: DataFrame, table: DataFrame, keys: list[str], weight: str, spread: Column, bounds: tuple[int, int] = (BROADCAST_ROWS, BROADCAST_BYTES)) -> DataFrame:
     """df with the columns that a saved table has beside keys (unique there) and weight; rows without a match are dropped.
 
-    weight: in how many rows of df, or at least how many, the key stands. Small tables are broadcast. Otherwise the hot
+    weight: in how many rows of df, or at least how many, the key stands. Tables within the bounds
+    (rows, bytes) are broadcast. Otherwise the hot
     keys, at most 1 / HOT_SHARE, are; the rows of the other keys meet the table by a shuffle, in which rows of hot keys
     are spread by a long that tells rows apart. keys and spread must not be null.
     """
     values = [c for c in table.columns if c not in (*keys, weight)]
-    if is_small(table):
+    if is_small(table, *bounds):
         return df.join(F.broadcast(table.drop(weight)), keys)
     total = table.agg(F.sum(weight)).first()[0]
     hot = saved(table.where(F.col(weight) > max(HOT_ROWS, total * HOT_SHARE)))

@@ -41,7 +41,8 @@ def _row(text: Column) -> Column:
 def line_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """doc_id, row (hash of the text), kept: map of word number to the bits of its lines that stay, without words that keep all. Documents that keep all have no row."""
     shares = max(SHARES, -(-docs.count() // PER_SHARE))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row(F.col("text")).alias("row"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row(F.col("text")).alias("row"), lines_of(F.col("text")).alias("lines"))
+    rows = rows.select("doc_id", "row", F.posexplode_outer("lines").alias("pos", "line"))  # below: the text is hashed and split once
     key = F.translate(F.btrim("line", F.lit(" \t\n\x0b\f\r")), UPPER, LOWER)
     order = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))
     rows = rows.withColumn("key", key).where(F.length("key") >= min_chars)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flac
-from .common import documents, map_text
+from .common import documents, map_text, slices
 
 
 def padded(text: str | None) -> tuple[int, bytes]:
@@ -74,8 +74,6 @@ def pcm_blocks(media: DataFrame, key: str = "doc_id", broken: str = "fail", carr
     def run(batches):
         import pyarrow.compute  # noqa: F401
 
-        from .common import slices
-
         for whole in batches:
             for batch in slices(whole, "media", 1 << 20):
                 streams = list(enumerate(batch.column("media").to_pylist()))

@@ -27,11 +27,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, free_names, map_text, saved, small
+from .common import BROADCAST_BYTES, BROADCAST_ROWS, documents, free_names, is_small, looked_up, map_text, saved, slices, small
 
 ORDER, BITS = 4, 16
 #: Bytes of text that a task works on at a time, and of a packed batch of one language; texts in hand to be packed have four times that.
 BATCH, PACKED = 3 << 20, 6 << 20
+#: Rows and bytes of the model that are broadcast to the batches' grams; beyond it, the joins shuffle.
+MODEL_BOUNDS = (100_000, 4 << 20)
 #: Quantile of the trusted texts' perplexities, what a text may lie above it, the share of trusted texts kept from training.
 QUANTILE, MARGIN, HELD = 0.99, 1.1, 5
 #: Bands of length: the number of bits of the number of characters, from and to.
@@ -58,7 +60,7 @@ def by_language(batch: pa.RecordBatch) -> dict[str, pa.RecordBatch]:
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
-    """lang, gram, n: how often it occurs in texts with trained (0: in other texts only)."""
+    """lang, gram, n: how often it occurs in texts with trained (0: in other texts only), slices: in how many slices of at most BATCH bytes."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -69,7 +71,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
             out.append(pa.RecordBatch.from_arrays([pa.array([name], pa.string()).take(pa.array(np.zeros(len(kinds), np.int32))), pa.array(kinds, pa.int64()), pa.array(count)], names=["lang", "gram", "n"]))
         return pa.Table.from_batches(out).combine_chunks().to_batches(1 << 30)[0] if any(x.num_rows for x in out) else out[0]
 
-    return map_text(docs.select("lang", "trained", "text"), run, "lang string, gram long, n long", limit=BATCH).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return map_text(docs.select("lang", "trained", "text"), run, "lang string, gram long, n long", limit=BATCH).groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("slices"))
 
 
 def _mask(k: int) -> Column:
@@ -77,10 +79,11 @@ def _mask(k: int) -> Column:
 
 
 def model(counts: DataFrame) -> DataFrame:
-    """lang, gram, nll: -log of the interpolated modified Kneser-Ney probability of the last character after the others, for each row of counts."""
+    """lang, gram, slices (if counts has them), nll: -log of the interpolated modified Kneser-Ney probability of the last character after the others, for each row of counts."""
     seen = counts.where("n > 0")
     lower: Column | None = None
-    out = counts.select("lang", "gram")
+    columns = [c for c in ("lang", "gram", "slices") if c in counts.columns]
+    out = counts.select(*columns)
     for k in range(1, ORDER + 1):  # from single characters up
         if k == ORDER:
             table = seen.select("lang", F.col("gram").alias("g"), F.col("n").alias("c"))
@@ -101,10 +104,10 @@ def model(counts: DataFrame) -> DataFrame:
         # Histories of few characters are hot, but few: they are broadcast. Long ones hold few grams each.
         out = out.join(small(context).select("lang", "h", (F.col("off") / F.col("total")).alias("back")), ["lang", "h"], "left").join(small(own), ["lang", "g"], "left")
         below = F.lit(1.0 / (1 << BITS)) if lower is None else F.col("below")
-        out = out.select("lang", "gram", (F.coalesce("p", F.lit(0.0)) + F.coalesce("back", F.lit(1.0)) * below).alias("below"))
+        out = out.select(*columns, (F.coalesce("p", F.lit(0.0)) + F.coalesce("back", F.lit(1.0)) * below).alias("below"))
         out = saved(out)  # an order at a time: one plan of all orders takes hundreds of MB on the driver
         lower = F.col("below")
-    return out.select("lang", "gram", (-F.log("below")).alias("nll"))
+    return out.select(*columns, (-F.log("below")).alias("nll"))
 
 
 def _chunks(texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -137,8 +140,6 @@ def _packed(docs: DataFrame, size: int) -> DataFrame:
 
         import pyarrow.compute  # noqa: F401
 
-        from .common import slices
-
         for whole in batches:
             for batch in slices(whole, "text", size):
                 for lang, rows in by_language(batch).items():
@@ -155,7 +156,10 @@ def _packed(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _sums(docs: DataFrame, table: DataFrame, size: int = PACKED) -> DataFrame:
-    """doc_id, row, lang, trusted, length, sum of -log p of the texts of docs (doc_id, row, lang, trusted, text); table: lang, gram, nll."""
+    """doc_id, row, lang, trusted, length, sum of -log p of the texts of docs (doc_id, row, lang, trusted, text); table: a saved one of lang, gram, slices, nll.
+
+    A gram stands once for each batch, so that a frequent one has about as many rows as slices: the hot ones are spread.
+    """
     dealt = _packed(docs, size).repartition("lang", "batch")
 
     def wanted(batches):
@@ -188,17 +192,30 @@ def _sums(docs: DataFrame, table: DataFrame, size: int = PACKED) -> DataFrame:
         return pa.concat_tables(out).select(["doc_id", "row", "lang", "trusted", "length", "nll"])
 
     asked = dealt.mapInArrow(wanted, "lang string, batch long, gram long")
-    answers = asked.join(table, ["lang", "gram"]).select("lang", "batch", "gram", "nll")
+    answers = looked_up(asked, table, ["lang", "gram"], "slices", F.col("batch"), MODEL_BOUNDS).select("lang", "batch", "gram", "nll")
     return dealt.groupBy("lang", "batch").cogroup(answers.groupBy("lang", "batch")).applyInArrow(summed, "doc_id long, row long, lang string, trusted int, length long, nll double")
 
 
+def with_trust(rows: DataFrame, ids: DataFrame, bounds: tuple[int, int] = (BROADCAST_ROWS, BROADCAST_BYTES)) -> DataFrame:
+    """rows (doc_id, row, lang, text) with trusted, by a saved table of trusted ids.
+
+    Batches are named by what a task packs, so a task that runs again must see its rows in the same order: those of a scan
+    do, those of a shuffled join are sorted.
+    """
+    which = ids.withColumn("trusted", F.when(F.pmod(F.xxhash64("doc_id"), F.lit(HELD)) == 0, F.lit(2)).otherwise(F.lit(1)))
+    if is_small(ids, *bounds):
+        out = rows.join(F.broadcast(which), "doc_id", "left")
+    else:
+        out = rows.join(which, "doc_id", "left").sortWithinPartitions("lang", "doc_id", "row")
+    return out.withColumn("trusted", F.coalesce("trusted", F.lit(0)))
+
+
 def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, row (hash of the text), lang, trusted (0: not, 1: trained on, 2: held out), length, perplexity."""
     trust = saved(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct())
-    trust = trust.withColumn("trusted", F.when(F.pmod(F.xxhash64("doc_id"), F.lit(HELD)) == 0, F.lit(2)).otherwise(F.lit(1)))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("-")).alias("lang"), text.alias("text"))
-    rows = rows.join(small(trust), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(0)))
+    rows = with_trust(rows, trust)
     counts = saved(gram_counts(rows.select("lang", "text", (F.col("trusted") == 1).alias("trained"))))
     sums = _sums(rows, saved(model(counts)))
     return saved(sums.select("doc_id", "row", "lang", "trusted", "length", F.when(F.col("length") > 0, F.exp(F.col("nll") / F.col("length"))).alias("perplexity")))

@@ -780,3 +780,78 @@ def test_shared_folder_is_needed_off_local_mode(spark):
 def test_small_counts_bytes(spark):
     df = common.saved(spark.range(10).select("id", F.repeat(F.lit("x"), 1000).alias("t")))
     assert common.is_small(df) and not common.is_small(df, size=9000) and not common.is_small(df, rows=9)
+
+
+# --- what all have in common
+
+
+def test_hot_grams_are_spread(spark, monkeypatch):
+    """All grams hot, nothing broadcast: the same perplexities as with a broadcast model."""
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(["alpha", "beta", "gamma", "délta", "\U0001f600"]) for _ in range(rng.randrange(1, 60))), "en" if i % 3 else None) for i in range(200)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 200, 2)], "doc_id long, quality int")
+    found = lambda: {r.doc_id: (r.trusted, r.length, round(r.perplexity, 9)) for r in perplexity.perplexities(docs, labels).collect()}
+    want = found()
+    monkeypatch.setattr(perplexity, "MODEL_BOUNDS", (0, 0))
+    assert found() == want
+    monkeypatch.setattr(common, "HOT_ROWS", 0)
+    monkeypatch.setattr(common, "HOT_SHARE", 0)
+    assert found() == want and len(want) == 200
+
+
+def test_batches_do_not_depend_on_row_order(spark):
+    """Trusted ids by a shuffled join: batches are the same whatever order the rows come in."""
+    rng = random.Random(6)
+    rows = [(i, i * 7, rng.choice("ab"), "x" * rng.randrange(200)) for i in range(500)]
+    ids = common.saved(spark.range(0, 500, 3).select(F.col("id").alias("doc_id")))
+    found = []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    for seed in range(3):
+        docs = spark.createDataFrame(random.Random(seed).sample(rows, len(rows)), "doc_id long, row long, lang string, text string").repartition(3)
+        packed = perplexity._packed(perplexity.with_trust(docs, ids, (0, 0)), 2000)
+        found.append(sorted((r.lang, r.batch) for r in packed.collect()))
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found[0] == found[1] == found[2] and len(found[0]) > 10
+
+
+LONG = 10_000_000
+
+
+@pytest.mark.parametrize("name", ["op1_jaccard_join", "op5_quality_perplexity", "op6_imatch", "op8_source_mix", "op9_line_dedup", "op10_best_fit_packing"])
+def test_long_text(spark, tmp_path, name):
+    """A text of 10 MB in 300,000 lines beside short ones, within a minute or two on few cores."""
+    lines_of = [f"line {i} {i * i % 9973} of a long text about it" for i in range(300_000)]
+    text = "\n".join(lines_of)[:LONG]
+    rows = [(1, text, "en", "a"), (2, "line 7 49 of a long text about it", "en", "a"), (3, None, "en", "b")]
+    folder = save(spark, rows, "doc_id long, text string, lang string, source string", tmp_path)
+    save(spark, [(1, 1), (2, 1)], "doc_id long, quality int", tmp_path, "labels")
+    start = time.time()
+    got = registry.QUERIES[name](spark, folder).collect()
+    assert len({r.doc_id for r in got}) == 3 and time.time() - start < 150
+    if name == "op9_line_dedup":
+        first = next(r for r in got if r.doc_id == 1)
+        assert first.n_lines == text.count("\n") + 1 and first.n_dropped == 0 and next(r for r in got if r.doc_id == 2).n_dropped == 1
+
+
+def test_all_corpus_queries_without_the_package_on_workers(tmp_path):
+    """Another folder, the repository on the driver's path only: every corpus query and the pipeline."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import os, sys
+os.environ.pop("PYTHONPATH", None)
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").getOrCreate()
+import __spark_entry__ as e
+for name in e._CORPUS:
+    try:
+        e.queries()[name](s, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
+    except Exception as x:
+        print("failed", name, str(x)[:500])
+print("ran", len(e._CORPUS))
+"""
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test data")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=tmp_path, env=env, timeout=900)
+    assert "ran" in out.stdout and "failed" not in out.stdout, out.stdout + out.stderr[-2000:]
