@@ -38,7 +38,7 @@ COMMON = "etaoinsrhldcumfpgwybvkxjqz"
 BANDS, BITS = 3, 20
 MIN_CHARS, MIN_COUNT, FACTOR = 7, 2, 10
 #: Distinct words that a task holds while it counts, words of an undivided group, words whose groups are compared at a time.
-HELD, BLOCK, CHUNK = 1 << 18, 1 << 16, 1 << 16
+HELD, BLOCK, CHUNK = 1 << 18, 1 << 13, 1 << 16
 #: Groups up to this size are compared in step, larger ones each for itself.
 STEP = 48
 
