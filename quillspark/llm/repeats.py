@@ -257,7 +257,7 @@ def _per_document(unite: bool) -> Callable[[pa.Table], Iterator[pa.RecordBatch]]
             begin = np.flatnonzero(new)
             d, row, pos, end = d[begin], row[begin], pos[begin], top[np.r_[begin[1:], len(top)] - 1]
         begin = np.flatnonzero(_new(d, row))
-        places = np.stack([pos, end], 1).astype("<i8")
+        places = np.stack([pos, end], 1).astype("<i4")  # a text has less than 2 GB
         blobs = [places[a:b].tobytes() for a, b in zip(begin, np.r_[begin[1:], len(d)], strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(d[begin]), pa.array(row[begin]), pa.array(blobs, pa.binary())], names=["d", "row", "places"])
 
@@ -288,7 +288,7 @@ def _fetched(texts: DataFrame, wanted: DataFrame, parts: int, crowd: np.ndarray)
             for batch in slices(whole, "text", SLICE):
                 data, offsets = _texts(batch)
                 for i, (d, row, blob) in enumerate(zip(batch.column("d").to_pylist(), batch.column("row").to_pylist(), batch.column("places").to_pylist(), strict=True)):
-                    at = np.frombuffer(blob, "<i8").reshape(-1, 2)
+                    at = np.frombuffer(blob, "<i4").reshape(-1, 2).astype(np.int64)
                     for some in np.array_split(at, max(1, int((at[:, 1] - at[:, 0]).sum()) // SLICE)):
                         size = some[:, 1] - some[:, 0]
                         first = np.cumsum(size) - size
@@ -411,7 +411,7 @@ def _crowded(texts: DataFrame, length: int, rows: int) -> np.ndarray:
 
 
 def covered(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, row (hash of the text), places: binary of little-endian longs, from and to of each maximal covered stretch in turn. Documents without one have no row. length is at least 24."""
+    """doc_id, row (hash of the text), places: binary of little-endian ints, from and to of each maximal covered stretch in turn. Documents without one have no row. length is at least 24."""
     if length < GRAM + 8:
         raise ValueError(f"passages of {length} bytes are too short for anchors of {GRAM}")
     texts = _keyed(docs)
@@ -440,7 +440,7 @@ def covered(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def _stretches(places: bytes | None) -> np.ndarray:
-    return np.frombuffer(places or b"", "<i8").reshape(-1, 2)
+    return np.frombuffer(places or b"", "<i4").reshape(-1, 2).astype(np.int64)
 
 
 def _rest(text: bytes, places: bytes | None) -> bytes:
