@@ -5,11 +5,14 @@ Sections are rows (id, position, title, level, content) as pages.pages_to_sectio
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import legal
+from .chunking import split_at
 
 CHUNKS = "array<struct<content: string, section_title: string, section_level: int, has_context: boolean, part_number: int>>"
 
@@ -106,38 +109,47 @@ def nested_markdown(sections: DataFrame, id: str = "doc_id") -> DataFrame:
     return rows.select(id, F.concat_ws("\n", title, F.lit(f"{BODY}\n"), F.array_join(F.filter(F.transform("s", lambda s: s["piece"]), lambda p: p != ""), "\n")).alias("markdown"))
 
 
-def chunk(titles: list, levels: list, contents: list, max_size: int = 1000, with_context: bool = True, legacy: bool = False) -> list[dict]:
-    """Chunks of one document's sections. The context holds the titles above a section, of levels 1 to 3; legacy drops the last
-    of them also below a section that isn't among these levels itself. A long section is cut between paragraphs; a paragraph
-    that is longer stays whole. Parts join paragraphs by two blanks and the last one stands behind a blank line."""
-    out: list[dict] = []
-    above: list[tuple[int, str]] = []
-    for title, level, content in zip(titles, levels, contents):
-        title, level, content = title or "", int(level or 0), content or ""
+class Cutter:
+    """Chunks of one document's sections, a section at a time in order. The context holds the titles above a section, of levels 1
+    to 3; legacy drops the last of them also below a section that isn't among these levels itself. A long section is cut
+    between paragraphs; a paragraph that is longer stays whole. Parts join paragraphs by two blanks and the last one stands
+    behind a blank line. What is kept between sections is the titles above."""
+
+    def __init__(self, max_size: int = 1000, with_context: bool = True, legacy: bool = False):
+        self.max_size, self.with_context, self.legacy = max_size, with_context, legacy
+        self.above: list[tuple[int, str]] = []
+
+    def add(self, title: str | None, level: int | None, content: str | None) -> Iterator[dict]:
+        title, level, content, above = title or "", int(level or 0), content or "", self.above
         while above and above[-1][0] >= level:
             above.pop()
         own = level <= 3
-        names = [t for _, t in (above[:-1] if legacy and not own else above)]
+        names = [t for _, t in (above[:-1] if self.legacy and not own else above)]
         if own:
             above.append((level, title))
-        context = " > ".join(names) + "\n\n" if with_context and names else ""
-        add = lambda body, part=None: out.append({"content": body.strip(), "section_title": title, "section_level": level, "has_context": bool(context), "part_number": part})  # noqa: B023, E731
-        if len(content) + len(context) <= max_size:
-            add(context + content)
-            continue
+        context = " > ".join(names) + "\n\n" if self.with_context and names else ""
+        made = lambda body, part=None: {"content": body.strip(), "section_title": title, "section_level": level, "has_context": bool(context), "part_number": part}
+        if len(content) + len(context) <= self.max_size:
+            yield made(context + content)
+            return
         held, size, part = [], len(context), 0
-        for p in filter(None, map(str.strip, content.split("\n\n"))):
-            if size + len(p) + 2 > max_size:
+        for p in filter(None, map(str.strip, split_at(content, "\n\n"))):
+            if size + len(p) + 2 > self.max_size:
                 if held:
                     part += 1
-                    add(context + "  ".join(held), part)
+                    yield made(context + "  ".join(held), part)
                 held, size = [p], len(context) + len(p)
             else:
                 held.append(p)
                 size += len(p) + 2
         if held:
-            add(f"{context}\n\n{'  '.join(held)}", part + 1)
-    return out
+            yield made(f"{context}\n\n{'  '.join(held)}", part + 1)
+
+
+def chunk(titles: list, levels: list, contents: list, max_size: int = 1000, with_context: bool = True, legacy: bool = False) -> list[dict]:
+    """Chunks of one document's sections."""
+    cutter = Cutter(max_size, with_context, legacy)
+    return [c for x in zip(titles, levels, contents) for c in cutter.add(*x)]
 
 
 def chunk_sections(sections: DataFrame, id: str = "doc_id", max_size: int = 1000, with_context: bool = True, legacy: bool = False) -> DataFrame:
@@ -147,7 +159,7 @@ def chunk_sections(sections: DataFrame, id: str = "doc_id", max_size: int = 1000
     def cut(titles: pd.Series, levels: pd.Series, contents: pd.Series) -> pd.Series:
         return pd.Series([chunk(t, v, c, max_size, with_context, legacy) for t, v, c in zip(titles, levels, contents)])
 
-    rows = sections.groupBy(id).agg(F.array_sort(F.collect_list(F.struct("position", "title", F.col("level").cast("int").alias("level"), "content"))).alias("s"))
+    rows = sections.groupBy(id).agg(F.array_sort(F.collect_list(F.struct("position", "title", F.coalesce(F.col("level").cast("int"), F.lit(0)).alias("level"), "content"))).alias("s"))
     field = lambda name: F.transform("s", lambda s: s[name])
     rows = rows.select(id, F.posexplode(cut(field("title"), field("level"), field("content"))).alias("n", "c"))
     return rows.select(id, F.concat(F.col(id).cast("string"), F.lit("_chunk_"), F.col("n").cast("string")).alias("chunk_id"), "n", "c.*")

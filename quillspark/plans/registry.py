@@ -128,18 +128,6 @@ def e7_line_classes(spark, sf):
 # --- F: chunks
 
 
-@query()
-def f5_chunks(spark, sf):
-    rows = chunking.chunked(_t(spark, sf, "documents").select("doc_id", "text"))
-    return rows.select("doc_id", "chunk_index", chunking.chunk_id(F.col("doc_id").cast("string"), F.col("chunk_index")).alias("chunk_id"), F.length("content").cast("long").alias("size"), F.md5(F.col("content").cast("binary")).alias("content_md5"))
-
-
-@query()
-def f1_markdown_chunks(spark, sf):
-    rows = chunking.chunked(_t(spark, sf, "documents").select("doc_id", "text"), method="markdown")
-    return rows.select("doc_id", "chunk_index", "chunk_method", "section", F.md5(F.col("content").cast("binary")).alias("content_md5"))
-
-
 # --- G, H: vectors and retrieval
 
 
@@ -413,11 +401,6 @@ def b2_nested_markdown(spark, sf):
     return sections.nested_markdown(pages.pages_to_sections(_t(spark, sf, "pages")), "page_id")
 
 
-@query()
-def f3_section_chunks(spark, sf):
-    return sections.chunk_sections(pages.pages_to_sections(_t(spark, sf, "pages")), "page_id")
-
-
 @query("""
 WITH n AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), f AS (SELECT lang, n, CAST(round_even(CAST(n AS DOUBLE) / max(n) OVER () * 15, 0) AS INTEGER) AS k FROM n)
 SELECT lang, n, repeat('█', k) || repeat('░', 15 - k) AS bar FROM f
@@ -573,11 +556,6 @@ def a8_styled_sections(spark, sf):
     return laws.styled_sections(_t(spark, sf, "pages"))
 
 
-@query()
-def e8_merged_headings(spark, sf):
-    return laws.merged(laws.styled_sections(_t(spark, sf, "pages")))
-
-
 @query(r"""
 WITH """ + _LINES + r""", s AS (SELECT doc_id, pos, regexp_replace(regexp_replace(regexp_replace(x, '[<&]', '', 'g'), '\s+', ' ', 'g'), '^ | $', '', 'g') AS x FROM l),
 v AS (SELECT *, CASE WHEN regexp_matches(x, '(?i)^CAP[IÍ]TULO\s+[IVX0-9]') THEN 3 WHEN regexp_matches(x, '(?i)^SE[ÇC][ÃA]O\s+[IVX0-9]') THEN 4 WHEN regexp_matches(x, '(?i)^Art\.?\s*\d') THEN 6 END AS level FROM s)

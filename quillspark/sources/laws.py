@@ -8,6 +8,7 @@ before the first heading is a section without title of level 0. Null or empty pa
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -204,20 +205,33 @@ def takes(title: str, next_title: str, next_empty: bool, joined: bool) -> bool:
     return bool(_OF.match(b)) if joined or _STRICT.match(a) else bool(_OPEN.match(a)) and not b.startswith("ART.")
 
 
-def merge_headings(sections: list[tuple[str, int, str]]) -> list[tuple[str, int, str]]:
-    """(title, level, content) by order: ' - ' joins the first title taken, a line break each further one; the first level stays."""
-    out: list[list] = []
-    taken = 0
-    for title, level, content in sections:
-        last = out[-1] if out else None
-        if last and last[0] and not last[2].strip() and takes(last[0], title, not content.strip(), taken > 0 or " - " in last[0]):
-            last[0] += ("\n" if taken or " - " in last[0] else " - ") + title
+class Folder:
+    """Headings without content take the next ones, a section at a time in order: ' - ' joins the first title taken, a line break each further one; the first level stays. One section is held."""
+
+    def __init__(self):
+        self.last: list | None = None
+        self.taken = 0
+
+    def add(self, title: str, level: int, content: str) -> Iterator[tuple[str, int, str]]:
+        last = self.last
+        if last and last[0] and not last[2].strip() and takes(last[0], title, not content.strip(), self.taken > 0 or " - " in last[0]):
+            last[0] += ("\n" if self.taken or " - " in last[0] else " - ") + title
             last[2] = content
-            taken += 1
-        else:
-            out.append([title, level, content])
-            taken = 0
-    return [tuple(s) for s in out]
+            self.taken += 1
+            return
+        yield from self.end()
+        self.last, self.taken = [title, level, content], 0
+
+    def end(self) -> Iterator[tuple[str, int, str]]:
+        if self.last:
+            yield tuple(self.last)
+            self.last = None
+
+
+def merge_headings(sections: list[tuple[str, int, str]]) -> list[tuple[str, int, str]]:
+    """(title, level, content) by order, with numbered headings and their texts in one title."""
+    folder = Folder()
+    return [*(s for x in sections for s in folder.add(*x)), *folder.end()]
 
 
 def merged(sections: DataFrame, id: str = "page_id") -> DataFrame:
@@ -227,6 +241,6 @@ def merged(sections: DataFrame, id: str = "page_id") -> DataFrame:
     def fold(titles: pd.Series, levels: pd.Series, contents: pd.Series) -> pd.Series:
         return pd.Series([[dict(zip(("title", "level", "content"), s)) for s in merge_headings([(t or "", int(v or 0), c or "") for t, v, c in zip(*x)])] for x in zip(titles, levels, contents)])
 
-    rows = sections.groupBy(id).agg(F.array_sort(F.collect_list(F.struct("position", "title", F.col("level").cast("int").alias("level"), "content"))).alias("s"))
+    rows = sections.groupBy(id).agg(F.array_sort(F.collect_list(F.struct("position", "title", F.coalesce(F.col("level").cast("int"), F.lit(0)).alias("level"), "content"))).alias("s"))
     field = lambda name: F.transform("s", lambda s: s[name])
     return rows.select(id, F.posexplode(fold(field("title"), field("level"), field("content"))).alias("position", "x")).select(id, "position", "x.*")
