@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import answers, guardrails, prompts, text
 from ..sources import files, providers
 from ..sources.tables import collection_stats, saved
+from ..streaming import cache
 from . import retrieval
 from .chunking import chunk_id, chunked
 
@@ -79,30 +80,12 @@ def auto_corrected(x: Column, least: int = 3, most: int = 2000) -> Column:
     return F.struct(v["is_valid"].alias("is_valid"), v["errors"].alias("errors"), warnings.alias("warnings"), v["sanitized"].alias("sanitized"))
 
 
-def cache_slots(asked: DataFrame, size: int, query: str = "query", order: str = "n") -> DataFrame:
+def cache_slots(asked: DataFrame, size: int, query: str = "query", order: str = "n", ttl: int | None = None, at: str | None = None, shards: int = 1) -> DataFrame:
     """asked with hit: was the question's answer in a cache of the last `size` different questions, put in as they were first asked (first in, first out)?
 
-    A question is in the cache while fewer than `size` others were put in after it. When it was put out and is asked
-    again it is put in anew, which depends on all questions before; so a batch goes through in order, in one task: the
-    history of one cache, not of the corpus.
+    See streaming/cache.py; shards split the cache, so that they run side by side.
     """
-
-    def run(frames):
-        from collections import OrderedDict
-
-        held: OrderedDict = OrderedDict()
-        for frame in frames:
-            hits = []
-            for q in frame[query]:
-                hits.append(q in held)
-                if size > 0 and q not in held:
-                    if len(held) >= size:
-                        held.popitem(last=False)
-                    held[q] = True
-            yield frame.assign(hit=hits)
-
-    kinds = ", ".join(f"`{c}` {t}" for c, t in asked.dtypes)
-    return asked.repartition(1).sortWithinPartitions(order).mapInPandas(run, f"{kinds}, hit boolean")
+    return cache.slots(asked, size, ttl, shards, query, order, at)
 
 
 class Pipeline:

@@ -505,15 +505,24 @@ def l19_dataset_stats(spark, sf):
 # --- M, N, O: cache, pipeline, examples
 
 
-@query("""
-WITH q AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS n, left(text, 1) AS query FROM conversations WHERE role = 'user' AND text <> ''), f AS (SELECT query, min(n) AS first FROM q GROUP BY query)
-SELECT CAST(n AS INTEGER) AS n, n > first AS hit FROM q JOIN f USING (query)
+_ASKED = "q AS (SELECT conv_id * 1000 + turn AS n, text AS query, CAST(conv_id * 10 + turn AS BIGINT) AS t, CAST(CAST('0x' || left(md5(text), 7) AS BIGINT) % 16 AS INTEGER) AS shard FROM conversations WHERE role = 'user' AND text <> '' UNION ALL SELECT conv_id * 1000 + turn + 500, text, CAST(conv_id * 10 + turn + 200 AS BIGINT), CAST(CAST('0x' || left(md5(text), 7) AS BIGINT) % 16 AS INTEGER) FROM conversations WHERE role = 'user' AND text <> '' AND (conv_id + turn) % 3 > 0)"
+
+
+@query(f"""
+WITH RECURSIVE {_ASKED}, o AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY t, n) AS i FROM q),
+r AS (
+  SELECT shard, 0::BIGINT AS i, NULL::BIGINT AS n, false AS hit, []::STRUCT(query VARCHAR, t BIGINT)[] AS held FROM (SELECT DISTINCT shard FROM o)
+  UNION ALL
+  SELECT shard, i, n, hit, CASE WHEN hit THEN live ELSE CASE WHEN len(live) >= 8 THEN live[2:] ELSE live END || [{{'query': query, 't': t}}] END
+  FROM (SELECT *, list_contains(list_transform(live, lambda y: y.query), query) AS hit FROM (SELECT o.shard, o.i, o.n, o.query, o.t, list_filter(r.held, lambda y: y.t + 600 > o.t) AS live FROM r JOIN o ON o.shard = r.shard AND o.i = r.i + 1)))
+SELECT n, hit FROM r WHERE i > 0
 """)
 def m1_answer_cache(spark, sf):
-    """Questions' first letters through a cache that holds them all; tests have one that forgets."""
-    rows = _t(spark, sf, "conversations").where("role = 'user' and text <> ''")
-    rows = rows.select((F.row_number().over(Window.orderBy("conv_id", "turn")) - 1).alias("n"), F.substring("text", 1, 1).alias("query"))
-    return pipeline.cache_slots(rows, 1_000_000).select("n", "hit")
+    """Whole questions, two thirds of them asked again later, through a cache of 128 answers in 16 shards that live for 600 seconds."""
+    rows = _t(spark, sf, "conversations").where("role = 'user' and text <> ''").select("conv_id", "turn", F.col("text").alias("query"))
+    first = rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("n"), "query", (F.col("conv_id") * 10 + F.col("turn")).alias("at"))
+    again = rows.where("(conv_id + turn) % 3 > 0").select((F.col("conv_id") * 1000 + F.col("turn") + 500).alias("n"), "query", (F.col("conv_id") * 10 + F.col("turn") + 200).alias("at"))
+    return pipeline.cache_slots(first.unionByName(again), 128, ttl=600, at="at", shards=16).select("n", "hit")
 
 
 @query(f"""
