@@ -252,11 +252,6 @@ def i4_pii_summary(spark, sf):
     return _t(spark, sf, "documents").agg(*(F.sum(c).alias(k) for k, c in guardrails.pii_counts(F.col("text")).items()))
 
 
-@query()
-def i3_redacted(spark, sf):
-    return _t(spark, sf, "documents").select("doc_id", F.md5(guardrails.redactor("type")(F.col("text")).cast("binary")).alias("redacted_md5"))
-
-
 _BAD = " OR ".join(f"regexp_matches(text, '(?i){p}')" for p in guardrails.INJECTION if "'" not in p)
 
 
