@@ -14,6 +14,11 @@ def grid(spark: SparkSession, ks: tuple[int, ...] = (3, 5, 10)) -> DataFrame:
     return spark.createDataFrame([*rows, ("baseline", None, None, 0)], "config string, method string, alpha double, k int")
 
 
+def planned(configs: DataFrame, questions: DataFrame) -> DataFrame:
+    """Every question under every configuration; the grid is a small table by its making, so it is broadcast."""
+    return questions.join(F.broadcast(configs), how="cross")
+
+
 def run(configs: DataFrame, questions: DataFrame, rankings: DataFrame, query: str = "query_id") -> DataFrame:
     """config, query, ids (by rank), n_chunks: each question under each configuration.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,10 +51,13 @@ def a6_mojibake(spark, sf):
     return rows.select("doc_id", text.has_mojibake(F.col("x")).alias("broken"), _md5(text.repair_mojibake(F.col("x"), "utf-8")).alias("repaired_md5"))
 
 
-@query("SELECT item_id, text FROM benchmark ORDER BY item_id LIMIT 7")
+@query("SELECT row_number() OVER (ORDER BY item_id) - 1 AS n, item_id, text FROM benchmark ORDER BY item_id LIMIT 7")
 def a20_first_questions(spark, sf):
-    """A query set with a limit."""
-    return _t(spark, sf, "benchmark").orderBy("item_id").limit(7).select("item_id", "text")
+    """The first questions of a question set in a JSON file, written from the benchmark."""
+    folder = f"{tables.shared_dir(spark)}/quillspark/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    asked = _t(spark, sf, "benchmark").agg(F.array_sort(F.collect_list(F.struct("item_id", "text"))).alias("questions"))
+    asked.write.json(folder)
+    return tables.read_questions(spark, folder, 7).select(F.col("n").cast("long").alias("n"), "item_id", "text")
 
 
 @query("SELECT doc_id, lang, source FROM documents WHERE doc_id IN (SELECT item_id FROM benchmark)")
@@ -126,12 +131,17 @@ def c9_without_empty(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", F.array_join(F.array_sort(F.map_keys(reports.without_empty(held))), ",").alias("keys"))
 
 
-@query("""
-WITH m(name, method, alpha) AS (VALUES ('dense', 'dense', NULL), ('bm25', 'bm25', NULL), ('hybrid_0.7', 'hybrid', '0.7'), ('hybrid_0.5', 'hybrid', '0.5'))
-SELECT name || '_k' || k AS config, concat_ws(', ', method, 'k=' || k, 'α=' || alpha) AS label FROM m, (VALUES (3), (5), (10)) v(k) UNION ALL SELECT 'baseline', 'No RAG'
+_CONFIG = "event_type <> 'error' AS used, CASE WHEN event_id % 4 > 0 THEN event_type END AS method, CASE WHEN event_id % 5 > 0 THEN event_id % 7 END AS k, CASE WHEN event_id % 3 = 0 THEN '0.7' END AS alpha"
+
+
+@query(f"""
+SELECT CASE WHEN NOT used THEN 'No RAG' WHEN concat_ws(', ', method, 'k=' || k, 'α=' || alpha) = '' THEN 'RAG' ELSE concat_ws(', ', method, 'k=' || k, 'α=' || alpha) END AS label, count(*) AS n
+FROM (SELECT {_CONFIG} FROM events) GROUP BY label
 """)
 def c10_config_labels(spark, sf):
-    return experiments.grid(spark).select("config", reports.config_label(F.col("method").isNotNull(), F.col("method"), F.col("k"), F.col("alpha")).alias("label"))
+    """Events stand for runs; fields of their configurations are missing in turn."""
+    rows = _t(spark, sf, "events").selectExpr(*_CONFIG.split(", "))
+    return rows.groupBy(reports.config_label(F.col("used"), F.col("method"), F.col("k"), F.col("alpha")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _LINKED = "concat(text, ' see https://a.example/x?y=1 and www.b.example/', doc_id, ' end')"
