@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import sqlnames
 from ..operators import summaries
-from ..sources.tables import saved
+from ..sources.tables import saved, shared_dir
+from ..sources.versions import VersionedTable
 from .registry import _keywords, _t, _tokens, query
 
 
@@ -45,3 +48,20 @@ def p_sql_functions(spark, sf):
         SELECT doc_id, cast(size(quill_tokens(text)) AS bigint) AS n_tokens, cast(size(quill_keywords(text)) AS bigint) AS n_keywords, quill_words(text) AS n_words, quill_estimated_tokens(text) AS n_estimated,
                quill_chunk_id(source, cast(doc_id % 7 AS int)) AS chunk_id, md5(quill_without_urls(concat(text, ' www.a.example/', doc_id))) AS without_urls, cast(length(quill_strip(concat('  ', text, char(10)))) AS bigint) AS stripped
         FROM {docs}""", docs=docs)
+
+
+@query("""
+WITH v0 AS (SELECT vec_id, label FROM embeddings), v1 AS (SELECT vec_id, CASE WHEN vec_id % 50 = 3 THEN label + 100 ELSE label END AS label FROM v0 UNION ALL SELECT vec_id + 1000000, label FROM v0 WHERE vec_id % 50 = 3),
+v2 AS (SELECT * FROM v1 WHERE vec_id % 90 <> 4), v AS (SELECT 0 AS version, * FROM v0 UNION ALL SELECT 1, * FROM v1 UNION ALL SELECT 2, * FROM v2)
+SELECT version, count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS ids, CAST(sum(label) AS BIGINT) AS labels FROM v GROUP BY version
+""")
+def b7_versions(spark, sf):
+    """Three versions of the vectors: as they are, after an upsert, after a deletion; each is still there to be read."""
+    rows = _t(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    some = rows.where("vec_id % 50 = 3")
+    table = VersionedTable(spark, f"{shared_dir(spark)}/quillspark/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}", "vec_id")
+    table.create(rows)
+    table.upsert(some.withColumn("label", F.col("label") + 100).unionByName(some.withColumn("vec_id", F.col("vec_id") + 1_000_000)))
+    table.delete(rows.where("vec_id % 90 = 4"))
+    total = lambda v: table.read(v).agg(F.count(F.lit(1)).alias("n"), F.sum("vec_id").alias("ids"), F.sum("label").alias("labels")).select(F.lit(v).alias("version"), "*")
+    return total(0).unionByName(total(1)).unionByName(total(2))
