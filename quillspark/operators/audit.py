@@ -18,15 +18,15 @@ def lines_of(text: Column) -> Column:
 
 
 def _blank(x: Column) -> Column:
-    return F.regexp_replace(x, r"(?U)\s+", "") == ""
+    return ~x.rlike(r"(?U)\S")
 
 
 def kind_of(line: Column) -> Column:
-    """1 to 6 for headings (with an A for articles), b, c, l for bold, clause and letter, a blank for blank lines, t for text, empty for others."""
+    """1 to 6 for headings (with an A for articles), b, c, l for bold, clause and letter, a blank for blank lines, t for text, empty for others. A line's first characters tell which patterns it can match."""
     level = F.length(F.regexp_extract(line, HEADING, 1)).cast("string")
     return (
-        F.when(line.rlike(HEADING), F.concat(level, F.when(line.rlike(HEADING_ARTICLE), "A").otherwise(""))).when(line.rlike(BOLD), "b").when(line.rlike(CLAUSE), "c")
-        .when(line.rlike(LETTER), "l").when(_blank(line), " ").when(line.startswith("<") | line.startswith("|"), "").otherwise("t")
+        F.when(line.startswith("#") & line.rlike(HEADING), F.concat(level, F.when(line.rlike(HEADING_ARTICLE), "A").otherwise(""))).when(line.startswith("**") & line.rlike(BOLD), "b").when(line.startswith("-") & line.rlike(CLAUSE), "c")
+        .when((F.substring(line, 3, 1) == "-") & line.rlike(LETTER), "l").when(_blank(line), " ").when(line.startswith("<") | line.startswith("|"), "").otherwise("t")
     )
 
 
@@ -35,7 +35,8 @@ def audit(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     rows = docs.select(id, F.coalesce(F.col(text), F.lit("")).alias("x"))
     rows = rows.withColumn("kinds", F.when(F.col("x") == "", F.array().cast("array<string>")).otherwise(F.transform(lines_of(F.col("x")), kind_of)))
     rows = rows.withColumns({"anchors": F.array_distinct(F.regexp_extract_all("x", F.lit(ANCHOR), F.lit(1))), "links": F.array_distinct(F.regexp_extract_all("x", F.lit(LINK), F.lit(1)))})
-    rows = rows.withColumn("wrong", F.concat(*(F.slice(F.regexp_extract_all("x", F.lit(p), F.lit(0)), 1, 3) for p in WRONG)))
+    wrong = F.concat(*(F.slice(F.regexp_extract_all("x", F.lit(p), F.lit(0)), 1, 3) for p in WRONG))
+    rows = rows.withColumn("wrong", F.when(F.contains("x", F.lit("Ã")) | F.contains("x", F.lit("â")), wrong).otherwise(F.array().cast("array<string>")))
     count = lambda on: F.size(F.filter("kinds", on)).cast("long")
     run = F.aggregate("kinds", F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda s, k: F.struct(F.when(k == " ", s["now"] + 1).otherwise(0).alias("now"), F.greatest(s["most"], F.when(k == " ", s["now"] + 1).otherwise(0)).alias("most")), lambda s: s["most"])
     begins, equals = lambda mark: lambda k: k.startswith(mark), lambda mark: lambda k: k == mark
