@@ -515,11 +515,11 @@ def l19_dataset_stats(spark, sf):
 # --- M, N, O: cache, pipeline, examples
 
 
-_ASKED = "q AS (SELECT conv_id * 1000 + turn AS n, text AS query, CAST(conv_id * 10 + turn AS BIGINT) AS t, CAST(CAST('0x' || left(md5(text), 7) AS BIGINT) % 16 AS INTEGER) AS shard FROM conversations WHERE role = 'user' AND text <> '' UNION ALL SELECT conv_id * 1000 + turn + 500, text, CAST(conv_id * 10 + turn + 200 AS BIGINT), CAST(CAST('0x' || left(md5(text), 7) AS BIGINT) % 16 AS INTEGER) FROM conversations WHERE role = 'user' AND text <> '' AND (conv_id + turn) % 3 > 0)"
+_ASKED_AGAIN = "q AS (SELECT conv_id * 1000 + turn AS n, text AS query, CAST(conv_id * 10 + turn AS BIGINT) AS t, CAST(CAST('0x' || left(md5(text), 7) AS BIGINT) % 16 AS INTEGER) AS shard FROM conversations WHERE role = 'user' AND text <> '' UNION ALL SELECT conv_id * 1000 + turn + 500, text, CAST(conv_id * 10 + turn + 200 AS BIGINT), CAST(CAST('0x' || left(md5(text), 7) AS BIGINT) % 16 AS INTEGER) FROM conversations WHERE role = 'user' AND text <> '' AND (conv_id + turn) % 3 > 0)"
 
 
 @query(f"""
-WITH RECURSIVE {_ASKED}, o AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY t, n) AS i FROM q),
+WITH RECURSIVE {_ASKED_AGAIN}, o AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY t, n) AS i FROM q),
 r AS (
   SELECT shard, 0::BIGINT AS i, NULL::BIGINT AS n, false AS hit, []::STRUCT(query VARCHAR, t BIGINT)[] AS held FROM (SELECT DISTINCT shard FROM o)
   UNION ALL

@@ -17,7 +17,7 @@ def test_query_matches_sql(spark, name):
         assert len(got.columns)
         return
     con = duckdb.connect()
-    for t in ("events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
+    for t in ("events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations", "orders"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     want = con.execute(entry.oracle_sql()[name]).fetchdf()
     assert sorted(got.columns) == sorted(want.columns)
