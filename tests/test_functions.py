@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,6 +24,21 @@ def test_repeated_lines(spark):
     assert one(spark, "h\na\nh\n\nb\n h \n", text.remove_repeated_lines) == "a\n\nb\n"
 
 
+def test_repeated_lines_of_long_texts(spark):
+    """3,000 lines, a third of them three times: the work must not grow with the square of the lines."""
+    lines = [f"  line {i} " if i % 3 else f"line {i // 9 * 9}" for i in range(3000)]
+    begin = time.monotonic()
+    assert one(spark, "\n".join(lines), text.remove_repeated_lines) == "\n".join(x for x in lines if x.startswith(" "))
+    assert one(spark, "a" + " " * 100_000 + "b", text.strip) == "a" + " " * 100_000 + "b"
+    assert time.monotonic() - begin < 15
+
+
+def test_repeated_lines_edges(spark):
+    assert one(spark, None, text.remove_repeated_lines) is None
+    assert one(spark, "a\na\na", text.remove_repeated_lines) == ""
+    assert one(spark, "\n".join(["x" * 100] * 3 + ["b", "b", "", "", ""]), text.remove_repeated_lines) == "\n".join(["x" * 100] * 3 + ["b", "b", "", "", ""])
+
+
 def test_sentences(spark):
     assert one(spark, "Veja o Art. 5. Fim? Sim.", text.sentences) == ["Veja o Art. 5", "Fim", "Sim."]
 
