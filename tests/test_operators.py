@@ -63,6 +63,11 @@ def test_page():
     assert pages.table_to_markdown([["a|b", "c"], ["d"]]) == "| a\\|b | c |\n| --- | --- |\n| d |  |"
 
 
+def test_first_title():
+    page = pages.read_page("<head><title> Page 1</title></head><body><html><head><title>47 others</title></head><p>text</p></body>")
+    assert page["title"] == "Page 1" and page["sections"][0]["content"] == "text"
+
+
 def test_effect(spark):
     runs = spark.createDataFrame([("a", x) for x in (1.0, 2.0, 3.0)] + [("b", x) for x in (2.0, 3.0, 4.0)], "config string, value double")
     r = analytics.cohens_d(runs, "a", "b").first()
