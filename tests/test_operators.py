@@ -73,3 +73,30 @@ def test_effect(spark):
     r = analytics.cohens_d(runs, "a", "b").first()
     assert r.d == pytest.approx(-1.0) and r.effect == "large"
     assert analytics.t_p_value(2.0, 10) == pytest.approx(0.07339, abs=1e-4)
+
+
+def test_bm25_blocks_and_passes(spark, monkeypatch):
+    """All scores by hand, with blocks of few documents and several passes; a question's hits aren't shuffled, only the best rows of each task."""
+    texts = [" ".join(f"word{(i * i + 7 * j) % (j + 3)}" for j in range(i % 40)) for i in range(300)]
+    asked = {q: f"word{q} word{q + 1} word{q} nowhere" for q in range(20)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    questions = spark.createDataFrame(list(asked.items()), "query_id int, text string")
+    words = [t.split() for t in texts]
+    df = {t: sum(t in w for w in words) for w in words for t in w}
+    raw = {t: math.log(300 - n + 0.5) - math.log(n + 0.5) for t, n in df.items()}
+    idf = {t: r if r >= 0 else 0.25 * sum(raw.values()) / len(raw) for t, r in raw.items()}
+    mean = sum(map(len, words)) / 300
+    want = set()
+    for q, text in asked.items():
+        terms = [t for t in text.split() if t in idf]
+        score = {i: round(sum(idf[t] * w.count(t) * 2.5 / (w.count(t) + 1.5 * (0.25 + 0.75 * len(w) / mean)) for t in terms), 9) for i, w in enumerate(words)}
+        want |= {(q, i, round(score[i], 6), n + 1) for n, i in enumerate(sorted((i for i in score if score[i] > 0), key=lambda i: (-score[i], i))[:7])}
+    index = retrieval.BM25Index.build(docs, "id", "text")
+    for scores, rows in ((4_000_000, 500_000), (140, 500_000), (100, 20)):
+        monkeypatch.setattr(retrieval, "SCORES", scores)
+        monkeypatch.setattr(retrieval, "BROADCAST_TERMS", rows)
+        found = index.search(questions, 7)
+        assert {(r.query_id, r.id, round(r.score, 6), r["rank"]) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" in plan and not any("hashpartitioning(query_id" in x and "id#" in x.split("hashpartitioning(query_id", 1)[1].split(",", 1)[1] for x in plan.splitlines() if "Exchange" in x)
+    assert index.search(questions.where("query_id < 0")).count() == 0
