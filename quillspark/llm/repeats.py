@@ -5,9 +5,9 @@ buckets by what passages that are equal have in common: the least hash of the 16
 Successive passages with one anchor travel as one run of text, so that a byte is shuffled a few times, not length times.
 Runs are first known by anchor and hash: of runs that are equal as a whole all but those of the smallest document are
 covered, and anchors of one document only, or of one kind of run, are done. The runs of all other anchors are sent to
-their buckets as text, each kind by its smallest document, and sorted there as suffixes by a difference cover
-(suffixes.py): whole buckets of anchors at a time, within them a bucket of suffixes at a time, long ties by the ranks of
-the cover. Neighbours in that order that share length bytes form classes; a class's smallest document keeps its bytes.
+their buckets as text, each kind by its smallest document, and sorted there as suffixes by prefix doubling up to length
+bytes (suffixes.py), whole buckets of anchors at a time; suffixes that no other document can share leave between the
+steps. Those that share length bytes form classes; a class's smallest document keeps its bytes.
 Covered stretches go back to their documents and are united.
 
 Anchors that a sample of documents finds in very many of them are split by document before their runs are compared, and
@@ -311,22 +311,13 @@ def _anchor_of(x: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray
     return np.minimum.reduceat(h[at], np.cumsum(n) - n) & LOW
 
 
-def classes(text: np.ndarray, ends: np.ndarray, d: np.ndarray, length: int, cover: int = 13) -> np.ndarray:
+def classes(text: np.ndarray, ends: np.ndarray, d: np.ndarray, length: int) -> np.ndarray:
     """Places of passages of length bytes that a smaller document has too. ends: end of each byte's string, d: its document."""
-    at = np.flatnonzero(ends - np.arange(len(text)) >= length)
-    out = []
-    for order in suffixes.buckets(text, ends, at, cover):
-        n = len(order)
-        same = np.zeros(n, bool)
-        for a in range(1, n, 1 << 15):
-            b = min(n, a + (1 << 15))
-            x = text[order[a - 1 : b, None] + np.arange(length)]
-            same[a:b] = (x[1:] == x[:-1]).all(1)
-        begin = np.flatnonzero(~same)
-        who = d[order]
-        least = np.minimum.reduceat(who, begin) if n else who
-        out.append(order[who > np.repeat(least, np.diff(np.r_[begin, n]))])
-    return np.sort(np.concatenate(out)) if out else np.zeros(0, np.int64)
+    at, group = suffixes.repeated(text, ends, d, length)
+    if not len(at):
+        return at
+    who, begin = d[at], np.flatnonzero(_new(group))
+    return np.sort(at[who > np.minimum.reduceat(who, begin)[group]])
 
 
 def _sorted_buckets(parts: int, length: int, most: int) -> Callable[[pa.Table], Iterator[pa.RecordBatch]]:

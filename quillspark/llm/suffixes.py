@@ -1,4 +1,4 @@
-"""Suffix order of a text, a bucket at a time, by a difference cover.
+"""Suffix order of a text: down to a bounded length by prefix doubling (repeated), or whole, a bucket at a time, by a difference cover (buckets).
 
 A difference cover D of the residues modulo v has for any two residues a shift that takes both into D. The suffixes that
 begin at the residues of D are ranked first: by their first v bytes, then by doubling. All other suffixes are sorted a
@@ -117,3 +117,37 @@ def _sorted(text: np.ndarray, ends_of: np.ndarray, at: np.ndarray, rank: np.ndar
     out[starts + below] = p
     at[tied] = out
     return at
+
+
+def _groups(key: np.ndarray, at: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, numbers of their groups): at by key, without the groups that lie in one document."""
+    order = np.argsort(key)
+    key, at = key[order], at[order]
+    begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size, who = np.diff(np.r_[begin, len(at)]), d[at]
+    several = np.minimum.reduceat(who, begin) < np.maximum.reduceat(who, begin)
+    return at[np.repeat(several, size)], np.repeat(np.cumsum(several)[several] - 1, size[several])
+
+
+def repeated(text: np.ndarray, ends: np.ndarray, d: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, group numbers) of the suffixes, ordered by their first length (8 at least) bytes, which several documents share.
+
+    Prefix doubling that stops at length bytes: suffixes by their first 8 bytes, then by the ranks of two halves of twice
+    the width. A suffix whose half lies in one document only can't be shared and leaves. ends: end of each byte's string.
+    """
+    width = 8
+    at = np.flatnonzero(ends - np.arange(len(text)) >= width)
+    if not len(at):
+        return at, at
+    key = np.ndarray((len(text) - width + 1,), ">u8", np.ascontiguousarray(text).data, 0, (1,))[at].astype(np.uint64)
+    at, group = _groups(key, at, d)
+    while width < length:
+        step = min(width, length - width)
+        rank = np.full(len(text) + step, -1, np.int64)
+        rank[at] = group
+        width += step
+        at = np.flatnonzero((rank[: len(text)] >= 0) & (rank[step:] >= 0) & (ends - np.arange(len(text)) >= width))
+        if not len(at):
+            return at, at
+        at, group = _groups(rank[at] << 32 | rank[at + step], at, d)
+    return at, group

@@ -130,3 +130,22 @@ def test_empty_and_short(spark):
     few = spark.createDataFrame([(1, "a" * 50), (2, "a" * 50), (3, "a" * 49), (4, None)], "doc_id long, text string")
     assert [(r.doc_id, repeats._stretches(r.places).tolist()) for r in repeats.covered(few).collect()] == [(2, [[0, 50]])]
     assert repeats.without_repeats(few, repeats.covered(few)).where(F.length("text") == 0).count() == 1
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_passages_of_several_documents(seed):
+    """What bounded prefix doubling leaves, and the classes, against dictionaries of passages; few letters, so that many are shared."""
+    rng = np.random.default_rng(seed)
+    size = rng.integers(0, 90, rng.integers(1, 12))
+    text = rng.integers(97, 97 + rng.integers(1, 4), int(size.sum())).astype(np.uint8)
+    text = np.resize(text[:7], len(text)) if seed % 3 == 0 and len(text) else text
+    ends, d = np.repeat(np.cumsum(size), size), np.repeat(np.sort(rng.integers(0, 6, len(size))), size)
+    for length in (8, 13, 24, 50):
+        held: dict[bytes, list[int]] = {}
+        for p in range(len(text)):
+            if ends[p] - p >= length:
+                held.setdefault(text[p : p + length].tobytes(), []).append(p)
+        shared = {w: ps for w, ps in held.items() if len({d[p] for p in ps}) > 1}
+        at, group = suffixes.repeated(text, ends, d, length)
+        assert [sorted(at[group == g].tolist()) for g in range(len(shared))] == [shared[w] for w in sorted(shared)]
+        assert repeats.classes(text, ends, d, length).tolist() == sorted(p for ps in shared.values() for p in ps if d[p] > min(d[q] for q in ps))
