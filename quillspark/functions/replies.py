@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -47,10 +48,13 @@ def citations(x: Column) -> Column:
 
 def confidence(x: Column) -> Column:
     """A half, more for citations, numbers and a fair length, less for doubt and missing information; within 0 and 1."""
-    low = F.lower(x)
+    return _let(_read(x), _confidence)
+
+
+def _confidence(v: Column) -> Column:
     gain = lambda on, by: F.when(on, F.lit(by)).otherwise(0.0)
-    numbers = (F.size(money(x)) > 0) | (F.size(percentages(x)) > 0)
-    score = 0.5 + gain(F.size(citations(x)) > 0, 0.2) + gain(numbers, 0.1) + gain(F.length(x).between(50, 1000), 0.1) - gain(_any(low, UNCERTAIN), 0.2) - gain(_any(low, NO_INFORMATION), 0.3)
+    numbers = (F.size(v["money"]) > 0) | (F.size(v["percentages"]) > 0)
+    score = 0.5 + gain(F.size(v["citations"]) > 0, 0.2) + gain(numbers, 0.1) + gain(F.length(v["x"]).between(50, 1000), 0.1) - gain(_any(v["low"], UNCERTAIN), 0.2) - gain(_any(v["low"], NO_INFORMATION), 0.3)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
 
 
@@ -63,18 +67,44 @@ def needs_clarification(x: Column) -> Column:
 
 
 def warnings(x: Column) -> Column:
-    low, none = F.lower(x), F.size(citations(x)) == 0
+    return _let(_read(x), _warnings)
+
+
+def _warnings(v: Column) -> Column:
+    x, low, none = v["x"], v["low"], F.size(v["citations"]) == 0
     doubts = F.regexp_count(low, F.lit("talvez")) + F.regexp_count(low, F.lit("possivelmente"))
     rules = (
         (F.length(x) < 20, "Resposta muito curta"), (F.length(x) > 2000, "Resposta muito longa"),
         (_any(low, LEGAL_WORDS) & none, "Menciona legislação mas não cita artigos específicos"),
-        ((F.size(money(x)) > 0) & none, "Menciona valores mas sem referência legal"), (doubts > 2, "Muitas expressões de incerteza"),
+        ((F.size(v["money"]) > 0) & none, "Menciona valores mas sem referência legal"), (doubts > 2, "Muitas expressões de incerteza"),
     )
     return F.array_compact(F.array(*(F.when(on, F.lit(said)) for on, said in rules)))
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _read(x: Column) -> Column:
+    """x, its lower case and what patterns find in it."""
+    return F.struct(x.alias("x"), F.lower(x).alias("low"), citations(x).alias("citations"), money(x).alias("money"), percentages(x).alias("percentages"))
+
+
+#: What is read of an answer, by name, from what _read finds in it.
+PARTS: dict[str, Callable[[Column], Column]] = {
+    "clean_text": lambda v: v["x"], "citations": lambda v: v["citations"], "monetary_values": lambda v: v["money"], "percentages": lambda v: v["percentages"],
+    "dates": lambda v: dates(v["x"]), "articles": lambda v: F.array_sort(F.array_distinct(F.transform(v["citations"], lambda c: c["article"]))),
+    "key_terms": lambda v: key_terms(v["x"]), "confidence": _confidence, "has_answer": lambda v: has_answer(v["x"]),
+    "needs_clarification": lambda v: needs_clarification(v["x"]), "warnings": _warnings,
+}
+
+
+def parse(x: Column, *parts: str) -> Column:
+    """struct of the parts (all by default) of the raw text of an answer, whose patterns are sought once; a null text is an empty one."""
+    return _let(cleaned(x), lambda t: _let(_read(t), lambda v: F.struct(*(PARTS[k](v).alias(k) for k in parts or PARTS))))
+
+
 def parsed(x: Column) -> dict[str, Column]:
-    """All of it from the raw text of an answer; a null text is an empty one."""
-    x = cleaned(x)
-    articles = F.array_sort(F.array_distinct(F.transform(citations(x), lambda c: c["article"])))
-    return {"clean_text": x, "citations": citations(x), "monetary_values": money(x), "percentages": percentages(x), "dates": dates(x), "articles": articles, "key_terms": key_terms(x), "confidence": confidence(x), "has_answer": has_answer(x), "needs_clarification": needs_clarification(x), "warnings": warnings(x)}
+    """The parts as columns of their own; where several are asked for, parse reads the text once for all."""
+    return {k: parse(x, k)[k] for k in PARTS}

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import replies
@@ -43,3 +44,13 @@ def test_reports(spark):
     assert one(reports.config_label(F.lit(True), F.lit("hybrid"), F.lit(5), F.lit(0.7))) == "hybrid, k=5, α=0.7" and one(reports.config_label(F.lit(False), null.cast("string"), null, null)) == "No RAG"
     m = spark.createDataFrame([("a", {"f1": 0.1}), ("b", {"f1": 0.2}), ("c", {"x": 1.0})], "config string, metrics map<string, double>")
     assert [r.config for r in reports.metric_table(m, "f1").collect()] == ["b", "a"]
+
+
+def test_patterns_are_sought_once(spark):
+    """However many parts are asked for, the plan seeks articles twice: their numbers and what stands behind them."""
+    text = "Conforme o Art. 68 § 1º, talvez R$ 10,50 ou 5%. " * 3
+    rows = spark.createDataFrame([(text,), (None,)], "x string").select(replies.parse(F.col("x")).alias("p")).select("p.*")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Artigo") == 2
+    first, second = rows.collect()
+    assert len(first.citations) == 3 and first.citations[0].article == "Art. 68" and first.monetary_values == [10.5] * 3
+    assert (first.confidence, second.clean_text, second.has_answer) == (pytest.approx(0.7), "", False)
