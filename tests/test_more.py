@@ -169,3 +169,9 @@ def test_pages_are_read_once(spark):
     out = pages.pages_to_sections(html)
     assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
     assert [(r.page_id, r.position, r.title) for r in out.collect()] == [(1, 0, "Um")]
+
+
+def test_hash_embedder_holds_few_words():
+    model = providers.HashEmbedder()
+    model.embed([" ".join(f"w{i}" for i in range(a, a + 30_000)) for a in range(0, 120_000, 30_000)])
+    assert len(model.places) <= model.PLACES == 50_000
