@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import saved, shared_dir  # noqa: F401
+from ..sources.tables import saved, shared_dir, slices  # noqa: F401
 
 #: A word: a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -79,16 +79,6 @@ def looked_up(df: DataFrame, table: DataFrame, keys: list[str], weight: str, spr
     return out.select("*", "_found.*").drop("_hot", "_cold", "_found", "_salt")
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """Cuts a batch so that the bytes of a text column stay within limit, or the slice has one row."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0))
-    start = 0
-    while start < batch.num_rows:
-        end = start + max(1, int(np.searchsorted(np.cumsum(sizes[start:]), limit, side="right")))
-        yield batch.slice(start, end - start)
-        start = end
-
-
 def map_text(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, limit: int = 4 << 20, column: str = "text") -> DataFrame:
     """mapInArrow over batches of at most limit bytes of text each."""
 

@@ -11,12 +11,15 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import legal
 from .pages import MIN_TEXT, table_to_markdown
+from .tables import slices
 
 # Style classes with the level of their headings and articles; classes of quotations and of plain text.
 HEADING_CLASSES = {"livro": 1, "titulo": 2, "subtitulo": 2, "parte": 2, "capitulo": 3, "cap": 3, "secao": 4, "subsecao": 5, "tpicodeseo": 5}
@@ -29,7 +32,8 @@ BEGINS = {1: r"(?iU)^LIVRO\s", 2: r"(?iU)^T[ÍI]TULO\s", 3: r"(?iU)^CAP[IÍ]TULO
 ITEM = r"(?iU)^(?:(?:§|Parágrafo)\s*(?:único|\d)|[IVX]+\s*[-–]|[a-z]\))"
 BODY_WORDS = ("§", "art.", "lei nº", "decreto", "inciso", "alínea")
 
-ELEMENTS = "array<struct<kind: string, tag: string, classes: array<string>, text: string>>"
+#: Bytes of pages whose elements are held at a time.
+SLICE = 1 << 20
 _BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _ROLES = {"epigrafe-ato": "title", "caixinha-ementa": "summary", "area-ementa-ato": "summary", "segmento": "segment", "conteudo-segmento-ato": "inner"}
@@ -126,13 +130,19 @@ def read_elements(html: str | None) -> list[dict]:
 
 def elements(pages: DataFrame, id: str = "page_id", html: str = "html") -> DataFrame:
     """id, pos, kind, tag, classes, text."""
-
-    @F.pandas_udf(ELEMENTS)
-    def read(x: pd.Series) -> pd.Series:
-        return x.map(read_elements)
-
-    rows = pages.select(id, F.posexplode(read(F.col(html))).alias("pos", "e"))
-    return rows.select(id, "pos", "e.*")
+    rows = pages.select(F.col(id).alias("id"), F.col(html).cast("string").alias("html"))
+
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole, "html", SLICE):
+                found = [read_elements(t) for t in batch.column("html").to_pylist()]
+                n = [len(f) for f in found]
+                columns = {k: pa.array([e[k] for f in found for e in f], t) for k, t in (("kind", pa.string()), ("tag", pa.string()), ("classes", pa.list_(pa.string())), ("text", pa.string()))}
+                ids = batch.column("id").take(pa.array(np.repeat(np.arange(len(n)), n)))
+                yield pa.RecordBatch.from_pydict({"id": ids, "pos": pa.array([i for k in n for i in range(k)], pa.int32()), **columns})
+
+    out = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, pos int, kind string, tag string, classes array<string>, text string")
+    return out.withColumnRenamed("id", id)
 
 
 def _by_sections(rows: DataFrame, id: str) -> DataFrame:

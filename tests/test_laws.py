@@ -55,3 +55,11 @@ def test_segmented(spark):
 )
 def test_merge(sections, titles):
     assert [t for t, _, _ in laws.merge_headings(sections)] == titles
+
+
+def test_elements_of_many_pages(spark, monkeypatch):
+    """A few pages' elements are held at a time; a page larger than that goes alone."""
+    monkeypatch.setattr(laws, "SLICE", 40)
+    pages = spark.createDataFrame([(f"p{i}", None if i == 5 else "<p>abc</p>" * (i % 4)) for i in range(12)], "page_id string, html string").coalesce(1)
+    got = sorted((r.page_id, r.pos, r.kind, r.tag, list(r.classes), r.text) for r in laws.elements(pages).collect())
+    assert got == sorted((f"p{i}", j, "block", "p", [], "abc") for i in range(12) if i != 5 for j in range(i % 4))
